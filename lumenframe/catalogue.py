@@ -1,4 +1,733 @@
-"""Registered queries and their SQL."""
+"""Registered queries of the retrieval operators, each with its SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+The test tables stand in for the index: ``embeddings`` holds region vectors (one in four
+is the frame's own), ``lineitem`` / ``orders`` / ``customer`` are regions, frames and
+assets at scale, ``documents`` and ``pages`` hold recognised text, ``events`` are video
+frames of recordings (users).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import geometry as G
+from .functions import identity, vector
+from .functions import text as T
+from .operators import boxes, facets, lexical, metrics, predicates, ranking
+from .plans import licences, present
+from .sources import tables
+from .streaming import keyframes, windows
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# --- stand-in relations ---------------------------------------------------------------
+
+DIM, SCALE, BIAS = 64, 10.0, 0.0
+R = """
+WITH v AS (
+  SELECT vec_id AS point_id, vec_id // 4 AS frame_id, vec_id // 16 AS asset_id, label, CAST(embedding AS DOUBLE[]) AS e, vec_id % 4 = 0 AS own,
+         CASE WHEN vec_id % 3 = 0 THEN 'tile' ELSE 'object' END AS region_type,
+         CAST(vec_id % 7 AS DOUBLE) / 10 AS bx, CAST(vec_id % 5 AS DOUBLE) / 8 AS y, 0.1 + CAST(vec_id % 4 AS DOUBLE) / 16 AS w, 0.125 + CAST(vec_id % 3 AS DOUBLE) / 16 AS h
+  FROM embeddings
+), q AS (SELECT CAST(embedding AS DOUBLE[]) AS qe FROM embeddings WHERE vec_id = 1), q2 AS (SELECT CAST(embedding AS DOUBLE[]) AS qe FROM embeddings WHERE vec_id = 2),
+s AS (SELECT v.*, round(list_dot_product(e, qe), 6) AS score FROM v, q)
+"""
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    v = F.col("vec_id")
+    box = F.array(v % 7 / F.lit(10.0), v % 5 / F.lit(8.0), F.lit(0.1) + v % 4 / F.lit(16.0), F.lit(0.125) + v % 3 / F.lit(16.0))
+    return _t(spark, d, "embeddings").select(
+        v.alias("point_id"), F.floor(v / 4).alias("frame_id"), F.floor(v / 16).alias("asset_id"), "label", F.col("embedding").alias("vector"),
+        (v % 4 == 0).alias("own"), F.when(v % 3 == 0, "tile").otherwise("object").alias("region_type"), box.alias("bbox"),
+    )
+
+
+def _ask(spark: SparkSession, d: str, vec_id: int = 1):
+    """One stored vector as a literal (one row is read)."""
+    row = _t(spark, d, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()
+    return vector.literal(row[0] if row else [0.0] * DIM)
+
+
+def _scored(spark: SparkSession, d: str, vec_id: int = 1) -> DataFrame:
+    return _vectors(spark, d).withColumn("score", F.round(vector.dot(F.col("vector"), _ask(spark, d, vec_id)), 6))
+
+
+# --- predicates, joins, set operations ---------------------------------------------------
+
+E1 = "l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity > 30"
+E2 = "l_returnflag = 'A' AND l_discount >= 0.05"
+BAN = "l_shipdate >= TIMESTAMP '1998-06-01'"
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND (l_quantity = 10) IS DISTINCT FROM TRUE")
+def bound_filter(spark, d):
+    rows = _t(spark, d, "lineitem")
+    return rows.where(predicates.all_of({"l_returnflag": "R", "l_linestatus": "F"}, {"l_quantity": 10.0})).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT DISTINCT l_orderkey AS frame_id FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 50")
+def exact_filter_scan(spark, d):
+    rows = _t(spark, d, "lineitem").withColumnRenamed("l_orderkey", "frame_id")
+    return predicates.matching(rows, predicates.all_of({"l_returnflag": "R", "l_quantity": 50.0}), "frame_id")
+
+
+@query(f"""WITH a AS (SELECT l_orderkey AS frame_id, max(l_extendedprice) AS m FROM lineitem WHERE {E1} GROUP BY 1),
+b AS (SELECT l_orderkey AS frame_id, max(l_extendedprice) AS m FROM lineitem WHERE {E2} GROUP BY 1)
+SELECT frame_id, least(a.m, b.m) AS score FROM a JOIN b USING (frame_id)""")
+def entity_intersection(spark, d):
+    rows = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("frame_id"), F.col("l_extendedprice").alias("score"), "l_returnflag", "l_linestatus", "l_quantity", "l_discount")
+    return predicates.intersect_entities(rows, [F.expr(E1), F.expr(E2)], "frame_id", "score")
+
+
+@query(f"""SELECT o_orderkey AS frame_id, o_totalprice AS score FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE {E1})""")
+def negation_antijoin(spark, d):
+    banned = predicates.matching(_t(spark, d, "lineitem").withColumnRenamed("l_orderkey", "frame_id"), F.expr(E1), "frame_id")
+    frames = _t(spark, d, "orders").select(F.col("o_orderkey").alias("frame_id"), F.col("o_totalprice").alias("score"))
+    return predicates.without(frames, banned, "frame_id")
+
+
+@query("""SELECT o_orderkey AS frame_id FROM orders WHERE o_orderkey NOT IN (
+SELECT l_orderkey FROM lineitem WHERE (l_returnflag = 'R' AND l_linestatus = 'F') OR (l_returnflag = 'N' AND l_quantity = 1))""")
+def multi_negation_or(spark, d):
+    rows = _t(spark, d, "lineitem").withColumnRenamed("l_orderkey", "frame_id")
+    banned = predicates.matching(rows, predicates.any_of([{"l_returnflag": "R", "l_linestatus": "F"}, {"l_returnflag": "N", "l_quantity": 1.0}]), "frame_id")
+    return predicates.without(_t(spark, d, "orders").select(F.col("o_orderkey").alias("frame_id")), banned, "frame_id")
+
+
+@query(f"""SELECT c.c_custkey AS asset_id, CAST(count(*) AS BIGINT) AS frames, round(max(o.o_totalprice), 2) AS best FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o.o_orderkey AND {E1}) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o.o_orderkey AND {BAN}) GROUP BY 1""")
+def strict_pass_assets(spark, d):
+    """Frames with a wanted region and without a banned one, counted by asset."""
+    rows = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag", "l_linestatus", "l_quantity", "l_shipdate")
+    flags = rows.where(f"({E1}) OR ({BAN})").groupBy("o_orderkey").agg(F.max(F.expr(E1)).alias("want"), F.max(F.expr(BAN)).alias("ban"))
+    kept = flags.where("want AND NOT ban").select("o_orderkey")  # one shuffle serves the semi and the anti join
+    frames = _t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("asset_id"), "o_totalprice").join(kept, "o_orderkey", "left_semi")
+    assets = _t(spark, d, "customer").select(F.col("c_custkey").alias("asset_id"))
+    return frames.join(assets, "asset_id").groupBy("asset_id").agg(F.count("*").alias("frames"), F.round(F.max("o_totalprice"), 2).alias("best"))
+
+
+@query("""SELECT l_orderkey AS frame_id FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_orderkey FROM lineitem WHERE l_quantity = 50""")
+def frame_set_operations(spark, d):
+    rows = _t(spark, d, "lineitem").withColumnRenamed("l_orderkey", "frame_id")
+    both = predicates.matching(rows, F.col("l_returnflag") == "R", "frame_id").intersect(predicates.matching(rows, F.col("l_returnflag") == "A", "frame_id"))
+    return both.subtract(predicates.matching(rows, F.col("l_quantity") == 50, "frame_id"))
+
+
+@query("""WITH p AS (SELECT doc_id, lang, round(CAST(n_chars AS DOUBLE) / 1000, 6) AS score, round(1 / (1 + exp(-(CAST(n_chars % 97 AS DOUBLE) / 10 - 9))), 9) AS probability FROM documents),
+m AS (SELECT median(score) + 2 * stddev_pop(score) AS bar FROM p)
+SELECT doc_id, score, probability FROM p, m WHERE probability >= 0.01 OR score >= bar""")
+def stands_out_filter(spark, d):
+    p = F.round(vector.sigmoid(F.col("n_chars") % 97 / F.lit(10.0) - 9), 9)
+    rows = _t(spark, d, "documents").select("doc_id", F.round(F.col("n_chars") / F.lit(1000.0), 6).alias("score"), p.alias("probability"))
+    return predicates.stand_out(rows, "score", "probability")
+
+
+# --- nearest neighbours and rankings -------------------------------------------------------
+
+
+@query(R + "SELECT point_id, score FROM s ORDER BY score DESC, point_id LIMIT 10")
+def knn_cosine(spark, d):
+    return ranking.nearest(_vectors(spark, d), _ask(spark, d), 10, "vector", "point_id").select("point_id", "score")
+
+
+@query(R + "SELECT point_id, score FROM s WHERE region_type = 'object' AND label <> 3 ORDER BY score DESC, point_id LIMIT 10")
+def knn_filtered(spark, d):
+    where = (F.col("region_type") == "object") & (F.col("label") != 3)
+    return ranking.nearest(_vectors(spark, d), _ask(spark, d), 10, "vector", "point_id", where).select("point_id", "score")
+
+
+@query(R + """, h AS (SELECT s.*, list_sum(list_transform(range(1, 65), lambda i: CAST((e[i] > 0) <> (qe[i] > 0) AS INTEGER))) AS far FROM s, q),
+f AS (SELECT * FROM h ORDER BY far, point_id LIMIT 40) SELECT point_id, score FROM f ORDER BY score DESC, point_id LIMIT 10""")
+def knn_binary_rescored(spark, d):
+    return ranking.nearest_two_phase(_vectors(spark, d), _ask(spark, d), 10, "vector", "point_id", DIM).select("point_id", "score")
+
+
+@query(R + """SELECT point_id, round(list_dot_product(e, qe) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(qe, qe))), 6) AS cosine,
+round(1 / (1 + exp(-(list_dot_product(e, qe) * 113.73 - 15.94))), 6) AS probability FROM v, q""")
+def probability_sigmoid(spark, d):
+    q = _ask(spark, d)
+    v = F.col("vector")
+    return _vectors(spark, d).select("point_id", F.round(vector.cosine(v, q), 6).alias("cosine"), F.round(vector.probability(vector.dot(v, q)), 6).alias("probability"))
+
+
+@query(R + "SELECT label, round(list_sum(e) / sqrt(list_dot_product(e, e)), 5) AS unit_sum, point_id FROM v")
+def unit_vectors(spark, d):
+    total = F.aggregate(vector.unit(F.col("vector")), F.lit(0.0), lambda s, x: s + x)
+    return _vectors(spark, d).select("label", F.round(total, 5).alias("unit_sum"), "point_id")
+
+
+@query("""WITH c AS (SELECT label, unnest(range(1, 65)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings)
+SELECT label, CAST(i AS INTEGER) AS i, round(avg(x), 6) AS mean FROM c GROUP BY 1, 2""")
+def mean_vectors(spark, d):
+    m = _vectors(spark, d).groupBy("label").agg(vector.mean_vector(F.col("vector"), DIM).alias("m"))
+    return m.select("label", F.posexplode("m").alias("i", "mean")).select("label", (F.col("i") + 1).alias("i"), F.round("mean", 6).alias("mean"))
+
+
+_ROLL = R + """, b AS (SELECT point_id, frame_id, score, own FROM s WHERE {where}), w AS (
+SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY {order} score DESC, point_id) AS n FROM b),
+sib AS (SELECT frame_id, list_sort(list(point_id)) AS l FROM b WHERE NOT own GROUP BY 1)
+SELECT CAST(w.frame_id AS VARCHAR) AS frame_id, point_id, score, CAST(coalesce(len(l), 0) AS INTEGER) AS regions FROM w LEFT JOIN sib USING (frame_id) WHERE n = 1"""
+
+
+def _roll(spark, d, scope, cut=None):
+    s = _scored(spark, d)
+    regions, frames = s.where("not own"), s.where("own")
+    if cut is not None:
+        regions = regions.where(F.col("score") > cut)
+    out = ranking.roll_up(regions, frames, scope)
+    return out.select("frame_id", "point_id", "score", F.size("siblings").alias("regions"))
+
+
+@query(_ROLL.format(where="own OR score > 0.1", order="CAST(own AS INTEGER),"))
+def region_rollup_auto(spark, d):
+    return _roll(spark, d, "auto", 0.1)
+
+
+@query(_ROLL.format(where="own", order=""))
+def region_rollup_frames(spark, d):
+    return _roll(spark, d, "frames")
+
+
+@query(_ROLL.format(where="NOT own", order=""))
+def region_rollup_regions(spark, d):
+    return _roll(spark, d, "regions")
+
+
+@query(_ROLL.format(where="TRUE", order=""))
+def region_rollup_both(spark, d):
+    return _roll(spark, d, "both")
+
+
+def _runs(spark, d, depth=120):
+    out = None
+    for i in (1, 2):
+        run = ranking.nearest(_vectors(spark, d), _ask(spark, d, i), depth, "vector", "point_id").select("point_id", "frame_id", "score", F.lit(i).alias("channel"))
+        out = run if out is None else out.unionByName(run)
+    return out
+
+
+_RUNS = R + """, c AS (
+SELECT * FROM (SELECT point_id, frame_id, score, 1 AS channel FROM s ORDER BY score DESC, point_id LIMIT 120)
+UNION ALL SELECT * FROM (SELECT point_id, frame_id, round(list_dot_product(e, qe), 6) AS score, 2 AS channel FROM v, q2 ORDER BY score DESC, point_id LIMIT 120))"""
+
+
+@query(_RUNS + """, k AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY score DESC, point_id) AS n FROM c),
+f AS (SELECT point_id, round(sum((CASE WHEN channel = 1 THEN 3.0 ELSE 1.0 END)::DOUBLE / (60.0 + n)), 10) AS fused, max(CASE WHEN channel = 1 THEN score END) AS own, max(score) AS best FROM k GROUP BY 1)
+SELECT point_id, fused, coalesce(own, best) AS score FROM f ORDER BY fused DESC, point_id LIMIT 20""")
+def rrf_fuse_keys(spark, d):
+    return ranking.fuse_by_key(_runs(spark, d), "point_id", 1, 20)
+
+
+@query(_RUNS + """, b AS (SELECT *, row_number() OVER (PARTITION BY channel, frame_id ORDER BY score DESC, point_id) AS m FROM c),
+k AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY score DESC, frame_id) AS n FROM b WHERE m = 1)
+SELECT frame_id, round(sum((CASE WHEN channel = 1 THEN 3.0 ELSE 1.0 END)::DOUBLE / (60.0 + n)), 10) AS fused FROM k GROUP BY 1""")
+def rrf_by_frame(spark, d):
+    return ranking.fuse_by_frame(_runs(spark, d), "frame_id", 1)
+
+
+def _pool(spark, d):
+    """A bounded pool of results with made-up witnesses."""
+    top = ranking.nearest(_vectors(spark, d), _ask(spark, d), 60, "vector", "point_id")
+    from pyspark.sql import Window as W
+
+    return top.select(
+        "point_id", "asset_id", "score", F.row_number().over(W.orderBy(F.desc("score"), "point_id")).alias("position"),
+        F.round(vector.probability(F.col("score"), SCALE, BIAS), 6).alias("probability"),
+        F.when(F.col("point_id") % 3 == 0, F.col("point_id") % 7 / F.lit(8.0)).alias("entity_confidence"),
+        F.when(F.col("point_id") % 5 == 0, F.col("point_id") % 9 / F.lit(16.0)).alias("detection_confidence"),
+    )
+
+
+_POOL = R + """, top AS (SELECT point_id, asset_id, score FROM s ORDER BY score DESC, point_id LIMIT 60), p AS (
+SELECT *, row_number() OVER (ORDER BY score DESC, point_id) AS position, round(1 / (1 + exp(-(score * 10.0))), 6) AS probability,
+CASE WHEN point_id % 3 = 0 THEN CAST(point_id % 7 AS DOUBLE) / 8 END AS ec, CASE WHEN point_id % 5 = 0 THEN CAST(point_id % 9 AS DOUBLE) / 16 END AS dc FROM top)"""
+
+
+@query(_POOL + """, r AS (SELECT *, row_number() OVER (ORDER BY probability * coalesce(ec, 1.0) DESC, position) AS a, row_number() OVER (ORDER BY coalesce(ec, 0.0) DESC, position) AS b,
+row_number() OVER (ORDER BY coalesce(dc, 0.0) DESC, position) AS c FROM p), e AS (SELECT point_id, a, round(1.0::DOUBLE / (60 + a) + (1.0::DOUBLE / (60 + b) + 1.0::DOUBLE / (60 + c)), 10) AS evidence FROM r)
+SELECT point_id, evidence, CAST(row_number() OVER (ORDER BY evidence DESC, a) AS INTEGER) AS place FROM e""")
+def evidence_fusion(spark, d):
+    return ranking.fuse_evidence(_pool(spark, d)).select("point_id", "evidence", "place")
+
+
+@query(_POOL + """, w AS (SELECT point_id, asset_id, position, row_number() OVER (PARTITION BY asset_id ORDER BY position) AS n, count(*) OVER (PARTITION BY asset_id) AS c FROM p)
+SELECT point_id, asset_id, CAST(position AS INTEGER) AS position, CAST(c AS BIGINT) AS shot_frames FROM w WHERE n = 1""")
+def shot_collapse(spark, d):
+    return ranking.collapse_shots(_pool(spark, d), "asset_id").select("point_id", "asset_id", "position", "shot_frames")
+
+
+@query(R + """, m AS (SELECT unnest(range(1, 65)) AS i, unnest(e) AS x, point_id FROM v), pos AS (SELECT i, avg(x) AS x FROM m WHERE point_id IN (10, 11) GROUP BY 1), neg AS (SELECT i, avg(x) AS x FROM m WHERE point_id IN (20, 21) GROUP BY 1),
+mv AS (SELECT i, o.x + 0.75::DOUBLE * pos.x - 0.25::DOUBLE * neg.x AS x FROM (SELECT i, x FROM m WHERE point_id = 1) o JOIN pos USING (i) JOIN neg USING (i)), n AS (SELECT sqrt(sum(x * x)) AS n FROM mv)
+SELECT m.point_id, round(sum(m.x * mv.x / n), 5) AS score FROM m JOIN mv USING (i), n GROUP BY 1""")
+def rocchio(spark, d):
+    v = _vectors(spark, d)
+    marks = v.agg(*[vector.mean_vector(F.when(F.col("point_id").isin(*ids), F.col("vector")), DIM).alias(n) for ids, n in (((10, 11), "p"), ((20, 21), "n"))])
+    moved = F.broadcast(marks.select(vector.rocchio(_ask(spark, d), F.col("p"), F.col("n")).alias("q")))
+    return v.join(moved, how="cross").select("point_id", F.round(vector.dot(F.col("vector"), F.col("q")), 5).alias("score"))
+
+
+@query(_RUNS + """, k AS (SELECT DISTINCT point_id FROM c) SELECT k.point_id, s.score FROM k JOIN s USING (point_id)""")
+def canonical_rescore(spark, d):
+    hits = _runs(spark, d).select("point_id", "score").dropDuplicates(["point_id"])
+    return ranking.rescore(hits, _vectors(spark, d), _ask(spark, d), "point_id", "vector").select("point_id", "score")
+
+
+@query(_POOL + """, w AS (SELECT asset_id, min(position) AS place FROM p GROUP BY 1) SELECT asset_id, CAST(place AS INTEGER) AS place FROM w""")
+def assets_in_order(spark, d):
+    return _pool(spark, d).groupBy("asset_id").agg(F.min("position").alias("place"))
+
+
+# --- facets ----------------------------------------------------------------------------------
+
+P = R + """, cm AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(range(1, 65)) AS i, unnest(e) AS x FROM v) GROUP BY 1, 2), cn AS (SELECT label, sqrt(sum(x * x)) AS n FROM cm GROUP BY 1),
+cu AS (SELECT label, list(x / n ORDER BY i) AS u FROM cm JOIN cn USING (label) GROUP BY 1),
+raw AS (SELECT point_id, v.label, region_type, frame_id, round(list_dot_product(e, a.u) - list_dot_product(e, b.u), 6) AS r01, round(list_dot_product(e, b.u) - list_dot_product(e, c.u), 6) AS r12,
+round(list_dot_product(e, c.u) - list_dot_product(e, a.u), 6) AS r20, list_dot_product(e, a.u) AS d0, list_dot_product(e, b.u) AS d1, list_dot_product(e, c.u) AS d2
+FROM v, (SELECT u FROM cu WHERE label = 0) a, (SELECT u FROM cu WHERE label = 1) b, (SELECT u FROM cu WHERE label = 2) c)
+"""
+
+
+def _prototypes(spark, d) -> list[facets.Prototype]:
+    """Three contrastive prototypes from label centroids (ten rows are read)."""
+    m = _vectors(spark, d).where("label < 3").groupBy("label").agg(vector.mean_vector(F.col("vector"), DIM).alias("m")).select("label", vector.unit(F.col("m")).alias("u"))
+    u = {r["label"]: tuple(r["u"]) for r in m.collect()}
+    z = tuple([0.0] * DIM)
+    u = {i: u.get(i, z) for i in range(3)}
+    return [facets.Prototype("zero", u[0], u[1]), facets.Prototype("one", u[1], u[2], gate="zero"), facets.Prototype("two", u[2], u[0], kind="attribute", gate="zero"), facets.Prototype("plain", u[0])]
+
+
+def _raws(spark, d):
+    p = _prototypes(spark, d)
+    v = F.col("vector")
+    r = {f"r{n}": F.round(facets.raw_score(x, v, SCALE, BIAS), 6) for n, x in zip(("01", "12", "20"), p, strict=False)}
+    return _vectors(spark, d).select("point_id", "label", "region_type", *[c.alias(k) for k, c in r.items()])
+
+
+@query(P + "SELECT point_id, r01 AS raw, round(1 / (1 + exp(-r01 * 10.0)), 5) AS probability, r01 > 0 AS holds FROM raw")
+def facet_score_contrastive(spark, d):
+    r = _raws(spark, d)
+    return r.select("point_id", F.col("r01").alias("raw"), F.round(vector.sigmoid(F.col("r01") * SCALE), 5).alias("probability"), (F.col("r01") > 0).alias("holds"))
+
+
+@query(P + "SELECT point_id, round(1 / (1 + exp(-d0 * 10.0)), 5) AS probability FROM raw")
+def facet_score_absolute(spark, d):
+    p = _prototypes(spark, d)[3]
+    return _vectors(spark, d).select("point_id", F.round(facets.facet_probability(p, F.col("vector"), SCALE, BIAS), 5).alias("probability"))
+
+
+@query(P + "SELECT point_id, r01 AS s0, r12 AS s1, r20 AS s2 FROM raw")
+def facet_score_many(spark, d):
+    """All prototypes in one matrix product a batch."""
+    out = facets.score_many(_vectors(spark, d).select("point_id", "vector"), _prototypes(spark, d)[:3], "vector", SCALE, BIAS)
+    return out.select("point_id", *[F.round(F.col("raw")[i], 6).alias(f"s{i}") for i in range(3)])
+
+
+@query(P + """, f AS (SELECT point_id, r01, r12, r20, r01 > 0 AS g FROM raw)
+SELECT point_id, CASE WHEN r01 > 0 THEN TRUE END AS cat_zero, CASE WHEN g AND r12 > 0 THEN TRUE END AS cat_one, CASE WHEN g THEN r20 > 0 END AS attr_two FROM f""")
+def facet_apply_gated(spark, d):
+    out = facets.apply(_vectors(spark, d), _prototypes(spark, d)[:3], "vector", SCALE, BIAS)
+    return out.select("point_id", "cat_zero", "cat_one", "attr_two")
+
+
+@query(P + """SELECT CAST(count(*) AS BIGINT) AS scanned, CAST(count(*) FILTER (r01 > 0) AS BIGINT) AS updated, CAST(count(*) FILTER (r01 > 0) AS BIGINT) AS positive,
+CAST(count(*) FILTER (NOT r01 > 0) AS BIGINT) AS gated_out, round(CAST(count(*) FILTER (r01 > 0) AS DOUBLE) / count(*), 6) AS rate FROM raw""")
+def facet_report(spark, d):
+    return facets.report(facets.apply(_vectors(spark, d), _prototypes(spark, d)[:1], "vector", SCALE, BIAS), "cat_zero")
+
+
+@query(P + """, g AS (SELECT r01 AS v FROM raw WHERE r01 > 0 UNION ALL SELECT 0.0), o AS (SELECT v, row_number() OVER (ORDER BY v DESC) - 1 AS i, lead(v) OVER (ORDER BY v DESC) AS b FROM g),
+n AS (SELECT count(*) AS n FROM raw), l AS (SELECT max(i) AS l FROM o), h AS (SELECT v, b, i, v - b AS gap, greatest(1, least(l, floor(n * 0.25) + 1)) AS h1, greatest(1, least(l, floor(n * 0.6) + 1)) AS h2 FROM o, n, l WHERE b IS NOT NULL),
+a AS (SELECT (v + b) / 2 AS m, gap FROM h WHERE i < h1 ORDER BY gap DESC, i LIMIT 1), c AS (SELECT (v + b) / 2 AS m, gap FROM h WHERE i < h2 ORDER BY gap DESC, i LIMIT 1)
+SELECT round(CASE WHEN (SELECT count(*) FROM h) = 0 THEN 0.0 WHEN (SELECT gap FROM a) >= 0.01 THEN (SELECT m FROM a) WHEN (SELECT gap FROM c) >= 0.01 THEN (SELECT m FROM c) END, 6) AS threshold""")
+def gap_threshold(spark, d):
+    return facets.gap_threshold(_raws(spark, d).select("r01"), "r01").select(F.round("threshold", 6).alias("threshold"))
+
+
+@query(P + """, t AS (SELECT DISTINCT r01 AS c FROM raw), x AS (SELECT c, count(*) FILTER (r01 > c) AS said, count(*) FILTER (r01 > c AND label = 0) AS hit FROM t, raw GROUP BY 1),
+f AS (SELECT c, CASE WHEN hit = 0 THEN 0.0 ELSE round(2.0::DOUBLE * hit / (said + (SELECT count(*) FROM raw WHERE label = 0)), 12) END AS f1 FROM x)
+SELECT c AS threshold, round(f1, 6) AS f1 FROM f ORDER BY f.f1 DESC, c LIMIT 1""")
+def calibrate_f1(spark, d):
+    out = facets.calibrate(_raws(spark, d).withColumn("y", F.col("label") == 0), "r01", "y")
+    return out.select("threshold", F.round("f1", 6).alias("f1"))
+
+
+@query(P + """, o AS (SELECT point_id, region_type, list_reverse_sort([{'s': round(d0, 6), 'n': 'red'}, {'s': round(d1, 6), 'n': 'green'}, {'s': round(d2, 6), 'n': 'blue'}]) AS a FROM raw)
+SELECT point_id, CASE WHEN region_type = 'object' AND a[1].s > 0 AND round(a[1].s - a[2].s, 6) >= 0.01 THEN a[1].n END AS attr_color FROM o""")
+def exclusive_winner(spark, d):
+    p = _prototypes(spark, d)
+    v = F.col("vector")
+    dots = {n: F.round(vector.dot(v, vector.literal(x.positive)), 6) for n, x in zip(("red", "green", "blue"), p, strict=False)}
+    return facets.exclusive(_vectors(spark, d), "color", dots, F.col("region_type") == "object").select("point_id", "attr_color")
+
+
+@query("""SELECT k AS facet, round(avg(CAST(b AS INTEGER)), 6) AS share FROM (SELECT unnest(['returned', 'finished', 'discounted']) AS k, unnest([l_returnflag = 'R', l_linestatus = 'F', l_discount > 0.05]) AS b FROM lineitem) GROUP BY 1""")
+def facet_frequencies(spark, d):
+    rows = _t(spark, d, "lineitem")
+    one = rows.agg(*[F.round(F.avg(F.expr(e).cast("int")), 6).alias(n) for n, e in (("returned", "l_returnflag = 'R'"), ("finished", "l_linestatus = 'F'"), ("discounted", "l_discount > 0.05"))])
+    return one.unpivot([], ["returned", "finished", "discounted"], "facet", "share")
+
+
+# --- lexical layer ---------------------------------------------------------------------------
+
+TOK = r"""WITH w AS (SELECT doc_id, lower(text) AS t FROM documents WHERE doc_id < 200), x AS (SELECT doc_id, unnest(regexp_extract_all(t, '[\p{L}\p{Nl}\p{No}]+|\p{Nd}+')) AS tok FROM w),
+y AS (SELECT doc_id, tok, regexp_matches(tok, '^\p{Nd}') AS num FROM x), wd AS (SELECT doc_id, tok, num FROM y WHERE length(tok) >= 2 OR num),
+g AS (SELECT doc_id, tok AS term FROM wd UNION ALL SELECT doc_id, '#' || substr(tok, i, 3) FROM (SELECT doc_id, tok, unnest(range(1, CAST(length(tok) - 1 AS BIGINT))) AS i FROM wd WHERE length(tok) >= 4 AND NOT num))
+"""
+TOK_ALL = TOK.replace(" WHERE doc_id < 200", "")
+
+
+@query(TOK_ALL + "SELECT doc_id, CAST(count(*) AS BIGINT) AS tokens, CAST(count(DISTINCT term) AS BIGINT) AS kinds FROM g GROUP BY 1")
+def tokenize_terms(spark, d):
+    out = _t(spark, d, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term"))
+    return out.groupBy("doc_id", "term").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("tokens"), F.count("*").alias("kinds"))
+
+
+FNV = """, h AS (SELECT term, list_reduce([2166136261::BIGINT] || list_transform(range(0, octet_length(encode(term))), lambda i: CAST(('0x' || substr(hex(encode(term)), 2 * i + 1, 2)) AS BIGINT)),
+lambda a, b: (xor(a, b) * 16777619) % 4294967296) AS id FROM (SELECT DISTINCT term FROM g))"""
+
+
+@query(TOK_ALL + FNV + "SELECT term, id AS term_id FROM h")
+def fnv_term_id(spark, d):
+    out = _t(spark, d, "documents").select(F.explode(T.tokens(F.col("text"))).alias("term")).distinct()
+    return out.select("term", T.term_id(F.col("term")).alias("term_id"))
+
+
+@query(TOK_ALL + FNV + "SELECT doc_id, id AS term_id, CAST(count(*) AS BIGINT) AS tf FROM g JOIN h USING (term) GROUP BY 1, 2")
+def term_tf(spark, d):
+    return lexical.terms(_t(spark, d, "documents"), "doc_id", "text")
+
+
+ASK = "the thand reading of other station 1998"
+SPARSE = TOK_ALL + f""", qx AS (SELECT unnest(regexp_extract_all(lower('{ASK}'), '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+|\\p{{Nd}}+')) AS tok), qy AS (SELECT tok, regexp_matches(tok, '^\\p{{Nd}}') AS num FROM qx WHERE length(tok) >= 2),
+qt AS (SELECT tok AS term FROM qy UNION SELECT '#' || substr(tok, i, 3) FROM (SELECT tok, unnest(range(1, CAST(length(tok) - 1 AS BIGINT))) AS i FROM qy WHERE length(tok) >= 4 AND NOT num)),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM g JOIN qt USING (term) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), nn AS (SELECT count(*) AS n FROM documents),
+sc AS (SELECT doc_id, round(sum(tf * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))), 6) AS score FROM tf JOIN df USING (term), nn GROUP BY 1)
+"""
+
+
+@query(SPARSE + "SELECT doc_id, round(score, 4) AS score FROM sc ORDER BY sc.score DESC, doc_id LIMIT 50")
+def idf_sparse_search(spark, d):
+    return lexical.sparse_search(_t(spark, d, "documents"), "doc_id", "text", ASK, 50).withColumn("score", F.round("score", 4))
+
+
+@query(SPARSE + """, de AS (SELECT doc_id, round(CAST(n_chars % 1009 AS DOUBLE) / 1009, 6) AS score FROM documents), u AS (SELECT * FROM (SELECT doc_id, score, 'dense' AS c FROM de ORDER BY score DESC, doc_id LIMIT 100) UNION ALL SELECT * FROM (SELECT doc_id, score, 'sparse' AS c FROM sc ORDER BY score DESC, doc_id LIMIT 100)),
+k AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY score DESC, doc_id) AS n FROM u) SELECT doc_id, round(sum(1.0::DOUBLE / (60.0 + n)), 10) AS fused FROM k GROUP BY 1 ORDER BY fused DESC, doc_id LIMIT 30""")
+def hybrid_rrf(spark, d):
+    docs = _t(spark, d, "documents")
+    dense = docs.select("doc_id", F.round(F.col("n_chars") % 1009 / F.lit(1009.0), 6).alias("score"))
+    return lexical.hybrid(dense, lexical.sparse_search(docs, "doc_id", "text", ASK, 100), "doc_id", 30)
+
+
+COV = r"""WITH c AS (SELECT item_id, text, list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{Nl}\p{No}]+|\p{Nd}+'), lambda t: length(t) >= 2 OR regexp_matches(t, '^\p{Nd}'))) AS w FROM benchmark),
+a AS (SELECT list_distinct(list_filter(regexp_extract_all(lower('the report of the northern station and the reading'), '[\p{L}\p{Nl}\p{No}]+|\p{Nd}+'), lambda t: length(t) >= 2 OR regexp_matches(t, '^\p{Nd}'))) AS q)
+"""
+
+
+@query(COV + "SELECT item_id, round(CAST(len(list_intersect(q, w)) AS DOUBLE) / len(q), 6) AS share, coalesce(array_to_string(list_sort(list_intersect(q, w)), ', '), '') AS found FROM c, a")
+def lexical_coverage(spark, d):
+    q = F.lit("the report of the northern station and the reading")
+    t = _t(spark, d, "benchmark")
+    return t.select("item_id", F.round(T.coverage(q, F.col("text")), 6).alias("share"), F.array_join(T.matched(q, F.col("text")), ", ").alias("found"))
+
+
+@query(r"""WITH r AS (SELECT item_id, row_number() OVER (ORDER BY item_id) AS position, round(0.9 - CAST(item_id AS DOUBLE) / 100, 6) AS p FROM benchmark WHERE item_id % 2 = 0),
+h AS (SELECT item_id, round(CAST(len(list_intersect(['the', 'of', 'and', 'reading'], list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{Nl}\p{No}]+|\p{Nd}+'), lambda t: length(t) >= 2 OR regexp_matches(t, '^\p{Nd}'))))) AS DOUBLE) / 4, 6) AS c FROM benchmark WHERE item_id % 3 = 0),
+m AS (SELECT coalesce(r.item_id, h.item_id) AS item_id, greatest(coalesce(p, 0.0), coalesce(c, 0.0)) AS probability, c IS NOT NULL AS lexical, position FROM r FULL JOIN (SELECT * FROM h WHERE c >= 0.5) h ON r.item_id = h.item_id)
+SELECT item_id, probability, lexical, CAST(row_number() OVER (ORDER BY lexical DESC, CASE WHEN lexical THEN -probability END, position NULLS LAST, item_id) AS INTEGER) AS place FROM m""")
+def lexical_merge_full_outer(spark, d):
+    from pyspark.sql import Window as W
+
+    b = _t(spark, d, "benchmark")
+    results = b.where("item_id % 2 = 0").select("item_id", F.round(F.lit(0.9) - F.col("item_id") / F.lit(100.0), 6).alias("probability"), F.row_number().over(W.orderBy("item_id")).alias("position"))
+    out = lexical.merge_lexical(results, b.where("item_id % 3 = 0").select("item_id", F.col("text").alias("ocr_text")), "item_id", "the of and reading")
+    return out.select("item_id", "probability", "lexical", "place")
+
+
+@query(r"""WITH f AS (SELECT page_id, trim(regexp_replace(html, '[ \t\n\r\f\v]+', ' ', 'g')) AS t FROM pages)
+SELECT page_id, CASE WHEN lower(t) IN ('-', '—', '–', 'n/a') OR NOT regexp_matches(t, '[\p{L}\p{N}]') THEN '' ELSE substr(t, 1, 2000) END AS ocr FROM f""")
+def ocr_clean(spark, d):
+    return _t(spark, d, "pages").select("page_id", T.clean_recognised(F.col("html")).alias("ocr"))
+
+
+@query("""WITH s AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN text || ' слово' ELSE text || ' слово שלום' END AS t FROM documents)
+SELECT CASE WHEN regexp_matches(t, '[א-ת]') THEN 'he' WHEN regexp_matches(t, '[а-яА-Я]') THEN 'uk' ELSE 'en' END AS language, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY 1""")
+def detect_script(spark, d):
+    t = F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, F.concat("text", F.lit(" слово"))).otherwise(F.concat("text", F.lit(" слово שלום")))
+    return _t(spark, d, "documents").groupBy(T.script_language(t).alias("language")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT conv_id, turn, 'this is a photo of ' || lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) || '.' AS prompt FROM conversations WHERE role = 'user'""")
+def prepare_prompts(spark, d):
+    return _t(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", T.prepare_prompt(F.col("text")).alias("prompt"))
+
+
+# --- geometry ----------------------------------------------------------------------------------
+
+BOX = R + """, bx AS (SELECT frame_id, point_id, bx AS x, y, w, h FROM v WHERE NOT own)"""
+
+
+@query(BOX + """, o AS (SELECT a.frame_id, a.point_id AS a, b.point_id AS b, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS i, a.w * a.h AS sa, b.w * b.h AS sb
+FROM bx a JOIN bx b ON a.frame_id = b.frame_id AND a.point_id < b.point_id) SELECT frame_id, a, b, round(i / (sa + sb - i), 6) AS iou, round(i / sa, 6) AS inside FROM o""")
+def iou_pairs(spark, d):
+    return boxes.pair_overlaps(_vectors(spark, d).where("not own"), "frame_id", "point_id", "bbox")
+
+
+@query(BOX + "SELECT point_id, CAST(round_even(x * 1000, 0) AS BIGINT) AS l, CAST(round_even(y * 800, 0) AS BIGINT) AS t, CAST(least(1000, round_even((x + w) * 1000, 0)) AS BIGINT) AS r, CAST(least(800, round_even((y + h) * 800, 0)) AS BIGINT) AS b FROM bx")
+def to_pixels(spark, d):
+    p = G.to_pixels(F.col("bbox"), F.lit(1000), F.lit(800))
+    return _vectors(spark, d).where("not own").select("point_id", *[p[i].alias(n) for i, n in enumerate("ltrb")])
+
+
+@query(BOX + """, g AS (SELECT point_id, x, y, w, h, least(1.0, w * 1.5) AS gw, least(1.0, h * 1.5) AS gh FROM bx)
+SELECT point_id, round(least(greatest(0, x + w / 2 - gw / 2), 1 - gw), 6) AS x, round(least(greatest(0, y + h / 2 - gh / 2), 1 - gh), 6) AS y, round(gw, 6) AS w, round(gh, 6) AS h FROM g""")
+def bbox_context(spark, d):
+    c = G.with_context(F.col("bbox"))
+    return _vectors(spark, d).where("not own").select("point_id", *[F.round(c[i], 6).alias(n) for i, n in enumerate("xywh")])
+
+
+@query(BOX + """SELECT CAST(sum(CAST(a.x + a.w / 2 < b.x + b.w / 2 AS INTEGER)) AS BIGINT) AS left_of, CAST(sum(CAST(a.y + a.h / 2 < b.y + b.h / 2 AS INTEGER)) AS BIGINT) AS above
+FROM bx a JOIN bx b ON a.frame_id = b.frame_id AND a.point_id < b.point_id""")
+def geometry_predicates(spark, d):
+    r = _vectors(spark, d).where("not own").groupBy("frame_id").agg(F.sort_array(F.collect_list(F.struct("point_id", "bbox"))).alias("all"))
+    one = r.select("all", F.posexplode("all").alias("i", "a")).select("a", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("b"))
+    return one.agg(*[F.sum(G.relation(n, F.col("a.bbox"), F.col("b.bbox")).cast("long")).alias(n) for n in ("left_of", "above")])
+
+
+@query()
+def nms_deduplicate(spark, d):
+    """Greedy, order-dependent; tested against a plain loop."""
+    rows = _scored(spark, d).where("not own")
+    return boxes.deduplicate(rows, "frame_id", "bbox", "score", "point_id", 0.05, 0.3)
+
+
+@query()
+def distinct_instances(spark, d):
+    """Greedy, order-dependent; tested against a plain loop."""
+    rows = _scored(spark, d).where("not own").withColumn("facet", F.when(F.col("point_id") % 2 == 0, F.abs("score")))
+    return boxes.instances(rows, "frame_id", "point_id", "region_type", "bbox", "score", "facet")
+
+
+@query("""WITH RECURSIVE f AS (SELECT p_partkey AS frame_id, 300 + 40 * p_size AS w, 200 + 25 * p_size AS h FROM part), z(s) AS (SELECT 288 UNION ALL SELECT CAST(floor(s * 1.25) AS INTEGER) + 1 FROM z WHERE s < 65536),
+l AS (SELECT frame_id, w, h, s, greatest(1, CAST(floor(s * 0.75) AS INTEGER)) AS st FROM f, z WHERE w > 288 OR h > 288),
+n AS (SELECT *, CAST(ceil(greatest(0, w - s)::DOUBLE / st) AS INTEGER) + 1 AS c, CAST(ceil(greatest(0, h - s)::DOUBLE / st) AS INTEGER) + 1 AS r FROM l),
+k AS (SELECT frame_id, w, h, s, st, c, r, row_number() OVER (PARTITION BY frame_id ORDER BY s) AS o FROM n WHERE c * r <= 12 OR s >= greatest(w, h))
+SELECT frame_id, CAST(c * r AS BIGINT) AS tiles, CAST(least(s, w) AS BIGINT) AS tile_width, CAST(greatest(0, least((c - 1) * st, w - least(s, w))) AS BIGINT) AS last_left FROM k WHERE o = 1""")
+def tile_grid(spark, d):
+    f = _t(spark, d, "part").select(F.col("p_partkey").alias("frame_id"), (300 + 40 * F.col("p_size")).alias("w"), (200 + 25 * F.col("p_size")).alias("h"))
+    out = boxes.tile_grid(f, "frame_id", "w", "h", 288, 0.25, 12)
+    return out.groupBy("frame_id").agg(F.count("*").alias("tiles"), F.max("tile_width").alias("tile_width"), F.max("left").alias("last_left"))
+
+
+# --- evaluation --------------------------------------------------------------------------------
+
+EVAL = R + """, rk AS (SELECT qv.label AS query_id, s2.vec_id AS item, row_number() OVER (PARTITION BY qv.label ORDER BY round(list_dot_product(CAST(s2.embedding AS DOUBLE[]), CAST(qv.embedding AS DOUBLE[])), 6) DESC, s2.vec_id) AS rank
+FROM embeddings s2, (SELECT label, embedding FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)) qv), top AS (SELECT * FROM rk WHERE rank <= 30),
+tr AS (SELECT label AS query_id, vec_id AS item, CAST(1 + vec_id % 3 AS DOUBLE) AS gain, FALSE AS forbidden FROM embeddings WHERE vec_id % 5 = 0 UNION ALL SELECT (label + 1) % 10, vec_id, 0.0, TRUE FROM embeddings WHERE vec_id % 7 = 0),
+j AS (SELECT top.query_id, top.item, rank, gain, coalesce(gain > 0, FALSE) AS rel, coalesce(forbidden, FALSE) AS forb FROM top LEFT JOIN tr ON top.query_id = tr.query_id AND top.item = tr.item)
+"""
+
+
+def _ranked(spark, d):
+    from pyspark.sql import Window as W
+
+    e = _t(spark, d, "embeddings")
+    asked = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("q"))  # one row a label
+    s = e.select("vec_id", "embedding").join(F.broadcast(asked), how="cross").select(F.col("label").alias("query_id"), F.col("vec_id").alias("item"), F.round(vector.dot(F.col("embedding"), F.col("q")), 6).alias("score"))
+    return s.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "item"))).where("rank <= 30").select("query_id", "item", "rank")
+
+
+def _truth(spark, d):
+    e = _t(spark, d, "embeddings")
+    good = e.where("vec_id % 5 = 0").select(F.col("label").alias("query_id"), F.col("vec_id").alias("item"), (F.col("vec_id") % 3 + F.lit(1.0)).alias("gain"), F.lit(False).alias("forbidden"))
+    return good.unionByName(e.where("vec_id % 7 = 0").select(((F.col("label") + 1) % 10).alias("query_id"), F.col("vec_id").alias("item"), F.lit(0.0).alias("gain"), F.lit(True).alias("forbidden")))
+
+
+@query(EVAL + """, jj AS (SELECT *, sum(CAST(rel AS INTEGER)) OVER (PARTITION BY query_id ORDER BY rank) AS seen FROM j), n AS (SELECT query_id, count(*) FILTER (gain > 0) AS rel FROM tr GROUP BY 1),
+m AS (SELECT query_id, count(*) FILTER (rel AND rank <= 10) AS found, count(*) FILTER (rank <= 10) AS shown, sum(CASE WHEN rel THEN CAST(seen AS DOUBLE) / rank ELSE 0 END) AS ap, min(rank) FILTER (rel) AS first,
+sum(CASE WHEN rank <= 10 AND gain > 0 THEN gain / log2(rank + 1) ELSE 0 END) AS dcg, count(*) FILTER (forb AND rank <= 10) AS bad FROM jj GROUP BY 1),
+i AS (SELECT query_id, sum(CASE WHEN p <= 10 AND gain > 0 THEN gain / log2(p + 1) ELSE 0 END) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, item) AS p FROM tr) GROUP BY 1)
+SELECT query_id, round(CASE WHEN rel = 0 THEN 1.0 ELSE CAST(found AS DOUBLE) / rel END, 6) AS recall, round(CAST(found AS DOUBLE) / shown, 6) AS "precision", round(CASE WHEN rel = 0 THEN 1.0 ELSE ap / rel END, 6) AS average_precision,
+round(coalesce(1.0::DOUBLE / first, 0.0), 6) AS reciprocal_rank, round(dcg / idcg, 6) AS ndcg, CAST(bad AS BIGINT) AS forbidden_hits, round(1 - CAST(bad AS DOUBLE) / shown, 6) AS purity FROM m JOIN n USING (query_id) JOIN i USING (query_id)""")
+def retrieval_metrics(spark, d):
+    """Recall, precision, average precision, reciprocal rank, nDCG and purity at 10."""
+    return metrics.evaluate(_ranked(spark, d), _truth(spark, d), 10)
+
+
+@query(EVAL + """, n AS (SELECT query_id, max(rank) AS n FROM top GROUP BY 1), a AS (SELECT tr.query_id, forbidden, gain, coalesce(rank, n + 1) AS pl FROM tr LEFT JOIN n USING (query_id) LEFT JOIN top ON top.query_id = tr.query_id AND top.item = tr.item)
+SELECT query_id, coalesce(min(pl) FILTER (forbidden) <= max(pl) FILTER (gain > 0), FALSE) AS inverted FROM a GROUP BY 1""")
+def binding_inverted(spark, d):
+    return metrics.binding_inverted(_ranked(spark, d), _truth(spark, d))
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS most FROM events GROUP BY 1")
+def percentile_latency(spark, d):
+    return metrics.latency(_t(spark, d, "events"), "event_type", "value")
+
+
+@query("""WITH q AS (SELECT o_orderkey % 5000 AS query_id, [o_custkey] AS rel, CASE WHEN o_orderkey % 4 = 0 THEN [o_custkey + 100000000] ELSE [] END AS forb FROM orders WHERE o_orderkey % 3 = 0),
+a AS (SELECT query_id, 'repeated query id' AS problem FROM q GROUP BY 1 HAVING count(*) > 1), b AS (SELECT query_id, 'unknown forbidden asset ' || f AS problem FROM (SELECT query_id, unnest(forb) AS f FROM q) WHERE f NOT IN (SELECT c_custkey FROM customer)),
+c AS (SELECT query_id, 'unknown relevant asset ' || f AS problem FROM (SELECT query_id, unnest(rel) AS f FROM q) WHERE f NOT IN (SELECT c_custkey FROM customer)) SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c""")
+def golden_validation(spark, d):
+    none = F.array().cast("array<string>")
+    q = _t(spark, d, "orders").where("o_orderkey % 3 = 0").select((F.col("o_orderkey") % 5000).alias("query_id"), F.array(F.col("o_custkey").cast("string")).alias("relevant"), F.when(F.col("o_orderkey") % 4 == 0, F.array((F.col("o_custkey") + 100000000).cast("string"))).otherwise(none).alias("forbidden"))
+    return metrics.problems(_t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("asset_id")), q)
+
+
+@query("SELECT l_orderkey AS query_id, round(max(l_discount) - min(l_discount), 6) AS probability_spread, CAST(max(l_linenumber) - min(l_linenumber) AS BIGINT) AS rank_spread FROM lineitem GROUP BY 1")
+def phrasing_spread(spark, d):
+    return metrics.spread(_t(spark, d, "lineitem").withColumnRenamed("l_orderkey", "query_id"), "query_id", "l_discount", "l_linenumber")
+
+
+@query("SELECT l_shipmode_like AS configuration, mrr, recall FROM (SELECT l_returnflag AS l_shipmode_like, round(avg(1.0::DOUBLE / l_linenumber), 6) AS mrr, round(avg(l_discount), 6) AS recall FROM lineitem GROUP BY 1) ORDER BY mrr DESC, recall DESC, 1 LIMIT 1")
+def configuration_choice(spark, d):
+    rows = _t(spark, d, "lineitem").withColumnRenamed("l_returnflag", "configuration")
+    return metrics.best_configuration(rows, "configuration", F.lit(1.0) / F.col("l_linenumber"), F.col("l_discount"))
+
+
+# --- catalogue tables, identity ------------------------------------------------------------------
+
+
+@query("""WITH t AS (SELECT c_custkey AS asset_id, c_acctbal AS size, 1 AS version FROM customer), s AS (SELECT c_custkey + 500 AS asset_id, c_acctbal + 1 AS size, 2 AS version FROM customer WHERE c_custkey % 2 = 0)
+SELECT * FROM s UNION ALL SELECT * FROM t WHERE asset_id NOT IN (SELECT asset_id FROM s)""")
+def upsert_latest(spark, d):
+    c = _t(spark, d, "customer")
+    t = c.select(F.col("c_custkey").alias("asset_id"), F.col("c_acctbal").alias("size"), F.lit(1).alias("version"))
+    s = c.where("c_custkey % 2 = 0").select((F.col("c_custkey") + 500).alias("asset_id"), (F.col("c_acctbal") + 1).alias("size"), F.lit(2).alias("version"))
+    return tables.upsert(t, s, ["asset_id"])
+
+
+@query("""WITH t AS (SELECT s_suppkey AS frame_id, 'old' AS state FROM supplier), s AS (SELECT c_custkey AS frame_id, 'new' AS state FROM customer) SELECT * FROM t UNION ALL SELECT * FROM s WHERE frame_id NOT IN (SELECT frame_id FROM t)""")
+def insert_if_absent(spark, d):
+    t = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("frame_id"), F.lit("old").alias("state"))
+    return tables.insert_missing(t, _t(spark, d, "customer").select(F.col("c_custkey").alias("frame_id"), F.lit("new").alias("state")), ["frame_id"])
+
+
+@query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def latest_version(spark, d):
+    return tables.latest(_t(spark, d, "events"), ["user_id"], "ts", "event_id").select("user_id", "event_id", "value")
+
+
+@query("""SELECT d.doc_id, coalesce(k.h, sha256(d.text)) AS asset_id, k.h IS NOT NULL AS cached FROM documents d LEFT JOIN (SELECT doc_id, n_chars, sha256('cached ' || doc_id) AS h FROM documents WHERE doc_id % 2 = 0) k ON d.doc_id = k.doc_id AND d.n_chars = k.n_chars""")
+def hash_cache_lookup(spark, d):
+    docs = _t(spark, d, "documents")
+    known = docs.where("doc_id % 2 = 0").select("doc_id", "n_chars", identity.content_id(F.concat(F.lit("cached "), F.col("doc_id").cast("string"))).alias("h"))
+    out = docs.select("doc_id", "n_chars", "text").join(known, ["doc_id", "n_chars"], "left")
+    return out.select("doc_id", F.coalesce("h", identity.content_id(F.col("text"))).alias("asset_id"), F.col("h").isNotNull().alias("cached"))
+
+
+@query("""SELECT sha256(text) AS asset_id, min(doc_id) AS doc_id, CAST(count(*) AS BIGINT) AS copies FROM documents GROUP BY 1""")
+def content_dedup_sha256(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", identity.content_id(F.col("text")).alias("asset_id"))
+    return docs.groupBy("asset_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+@query("""WITH h AS (SELECT doc_id, sha1(from_hex('6f9619ff8b86d011b42d00c04fc964ff') || encode('doc:' || doc_id)) AS h FROM documents)
+SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST('0x' || substr(h, 17, 1) AS INTEGER) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM h""")
+def point_uuid5(spark, d):
+    return _t(spark, d, "documents").select("doc_id", identity.point_id(F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))).alias("point_id"))
+
+
+@query("""WITH n AS (SELECT c_custkey AS asset_id, 'f' || (c_custkey % 700) AS path FROM customer WHERE c_custkey % 3 = 0), f AS (SELECT 'f' || k AS path, CAST(k AS VARCHAR) AS now FROM (SELECT DISTINCT c_custkey % 500 AS k FROM customer))
+SELECT CAST(n.asset_id AS VARCHAR) AS asset_id, CASE WHEN f.now IS NULL THEN 'file missing' WHEN f.now <> CAST(n.asset_id AS VARCHAR) THEN 'content changed' WHEN n.asset_id > 300 THEN 'out of index' ELSE 'current' END AS state FROM n LEFT JOIN f USING (path)""")
+def notes_state(spark, d):
+    c = _t(spark, d, "customer")
+    key = F.col("c_custkey")
+    notes = c.where("c_custkey % 3 = 0").select(key.cast("string").alias("asset_id"), F.concat(F.lit("f"), (key % 700).cast("string")).alias("path"))
+    files = c.select((key % 500).alias("k")).distinct().select(F.concat(F.lit("f"), F.col("k").cast("string")).alias("path"), F.col("k").cast("string").alias("sha256"))
+    out = tables.notes_with_state(notes, c.where("c_custkey <= 300").select(key.cast("string").alias("asset_id")), files)
+    return out.select("asset_id", "state")
+
+
+@query("""SELECT k AS key, s AS stored, w AS wanted FROM (SELECT coalesce(a.k, b.k) AS k, s, w FROM (SELECT n_name AS k, CAST(n_regionkey AS VARCHAR) AS s FROM nation WHERE n_nationkey < 20) a FULL JOIN (SELECT n_name AS k, CAST(n_regionkey % 3 AS VARCHAR) AS w FROM nation WHERE n_nationkey > 4) b ON a.k = b.k) WHERE s IS DISTINCT FROM w""")
+def signature_check(spark, d):
+    n = _t(spark, d, "nation")
+    stored = n.where("n_nationkey < 20").select(F.col("n_name").alias("key"), F.col("n_regionkey").cast("string").alias("value"))
+    return tables.signature_differences(stored, n.where("n_nationkey > 4").select(F.col("n_name").alias("key"), (F.col("n_regionkey") % 3).cast("string").alias("value")))
+
+
+@query("""SELECT n_name AS model, CASE n_nationkey % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'rejected' WHEN 2 THEN 'unverified' ELSE 'unknown' END AS verdict, n_nationkey % 4 IN (1, 3) AS blocks_release FROM nation""")
+def licence_audit(spark, d):
+    ids = F.element_at(F.array(*map(F.lit, ("MIT", "AGPL-3.0", "UNVERIFIED", "WTFPL"))), (F.col("n_nationkey") % 4 + 1).cast("int"))
+    return licences.audit(_t(spark, d, "nation").select(F.col("n_name").alias("model"), ids.alias("license"))).select("model", "verdict", "blocks_release")
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_discount >= 0.10 THEN printf('%.0f%%', l_discount * 100) WHEN l_discount >= 0.01 THEN printf('%.1f%%', l_discount * 100) ELSE printf('%.2f%%', l_discount * 100) END AS shown FROM lineitem""")
+def format_confidence(spark, d):
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", T.confidence(F.col("l_discount")).alias("shown"))
+
+
+@query("""SELECT source, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE vec_id % 4 WHEN 0 THEN 'frame' WHEN 1 THEN 'tile' ELSE 'object' END AS source FROM embeddings) GROUP BY 1""")
+def sources_summary(spark, d):
+    k = F.when(F.col("vec_id") % 4 == 1, "tile").when(F.col("vec_id") % 4 > 1, "object")
+    return present.sources_summary(_t(spark, d, "embeddings").select(k.alias("kind")), "kind")
+
+
+# --- video and event time ------------------------------------------------------------------------
+
+
+def _frames(spark, d):
+    """Events as frames: 16-bit pieces of a hash repeat, so neighbours can be alike."""
+    e = _t(spark, d, "events")
+    digest = F.xxhash64(F.col("event_type"), F.floor(F.col("value") / 25))
+    ms = F.unix_micros(F.col("ts").cast("timestamp")) / 1000
+    return e.select(F.col("user_id").alias("recording"), F.floor(ms).cast("long").alias("ts_ms"), digest.alias("digest"), "event_id")
+
+
+@query()
+def keyframe_sampling(spark, d):
+    """A stateful fold; tested against a plain loop and against the stream."""
+    return keyframes.select(_frames(spark, d), interval_ms=3_600_000)
+
+
+@query("""WITH f AS (SELECT event_id, user_id, ts, CAST(floor(value) AS BIGINT) AS h FROM events) SELECT event_id, CAST(coalesce(bit_count(xor(h, lag(h) OVER (PARTITION BY user_id ORDER BY ts, event_id))), 64) AS INTEGER) AS distance FROM f""")
+def dhash_hamming(spark, d):
+    from pyspark.sql import Window as W
+
+    h = F.floor("value").cast("long")
+    e = _t(spark, d, "events").select("event_id", "user_id", "ts", h.alias("h"))
+    before = F.lag("h").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    return e.select("event_id", F.coalesce(F.bit_count(F.col("h").bitwiseXOR(before)), F.lit(64)).alias("distance"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def tumbling_windows(spark, d):
+    return windows.tumbling(_t(spark, d, "events"), "ts", "event_type", "value")
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events), k AS (SELECT user_id, ts, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT min(ts) AS session_start, user_id, CAST(count(*) AS BIGINT) AS n FROM k GROUP BY user_id, k""")
+def session_windows(spark, d):
+    return windows.sessions(_t(spark, d, "events"), "ts", "user_id")
+
+
+@query("""SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag) * 2 + grouping(l_linestatus) AS BIGINT) AS level, CAST(count(*) AS BIGINT) AS regions, round(avg(l_discount), 4) AS score FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")
+def facet_cube(spark, d):
+    return _t(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.grouping_id().alias("level"), F.count("*").alias("regions"), F.round(F.avg("l_discount"), 4).alias("score"))
+
+
+@query("""WITH c AS (SELECT e.vec_id, r.i AS copy, e.label FROM embeddings e, (SELECT unnest(range(0, 10)) AS i) r) SELECT label, CAST(count(*) AS BIGINT) AS points, CAST(count(*) FILTER (vec_id % 5 = 0) AS BIGINT) AS banned FROM c GROUP BY 1""")
+def scale_inflate_negation(spark, d):
+    """Ten noisy copies of every seed; payload and bans follow the seed."""
+    e = _t(spark, d, "embeddings").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    noisy = vector.unit(F.transform("embedding", lambda x: x + F.lit(0.08) * (F.rand(7) - 0.5)))
+    return e.withColumn("embedding", noisy).groupBy("label").agg(F.count("*").alias("points"), F.sum((F.col("vec_id") % 5 == 0).cast("long")).alias("banned"))
