@@ -186,7 +186,7 @@ def mean_vectors(spark, d):
 _ROLL = R + """, b AS (SELECT point_id, frame_id, score, own FROM s WHERE {where}), w AS (
 SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY {order} score DESC, point_id) AS n FROM b),
 sib AS (SELECT frame_id, list_sort(list(point_id)) AS l FROM b WHERE NOT own GROUP BY 1)
-SELECT CAST(w.frame_id AS VARCHAR) AS frame_id, point_id, score, CAST(coalesce(len(l), 0) AS INTEGER) AS regions FROM w LEFT JOIN sib USING (frame_id) WHERE n = 1"""
+SELECT w.frame_id AS frame_id, point_id, score, CAST(coalesce(len(l), 0) AS INTEGER) AS regions FROM w LEFT JOIN sib USING (frame_id) WHERE n = 1"""
 
 
 def _roll(spark, d, scope, cut=None):

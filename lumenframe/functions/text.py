@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Fixed values of the tokeniser and of text clean-up.
 MIN_TOKEN, NGRAM, NGRAM_MIN_WORD, MAX_TEXT = 2, 3, 4, 2000
@@ -15,7 +16,7 @@ TOKEN = r"[\p{L}\p{Nl}\p{No}]+|\p{Nd}+"
 FNV_OFFSET, FNV_PRIME = 2166136261, 16777619
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _folded(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
 

@@ -49,11 +49,11 @@ def roll_up(regions: DataFrame, frames: DataFrame, scope: str = "auto", frame: s
     r = regions.select(key, frame, "score").withColumn("region", F.lit(True))
     f = frames.select(key, frame, "score").withColumn("region", F.lit(False))
     rows = {"regions": lambda: r, "frames": lambda: f}.get(scope, lambda: r.unionByName(f))()
-    best = F.struct(F.col("region").cast("int") if scope == "auto" else F.lit(0), "score", -F.col("_order"), F.col(key))
-    rows = rows.withColumn(frame, F.coalesce(F.col(frame).cast("string"), F.concat(F.lit("point "), F.col(key).cast("string"))))
-    rows = rows.withColumn("_order", F.col(key))
-    out = rows.groupBy(frame).agg(F.max(best).alias("b"), F.sort_array(F.collect_list(F.when(F.col("region"), F.col(key)))).alias("siblings"))
-    return out.select(frame, F.col(f"b.{key}").alias(key), F.col("b.score").alias("score"), "siblings")
+    region_first = (~F.col("region")).cast("int") if scope == "auto" else F.lit(0)
+    best = F.min(F.struct(region_first.alias("r"), (-F.col("score")).alias("s"), F.col(key))).alias("b")
+    alone = F.when(F.col(frame).isNull(), F.col(key)).alias("_alone")  # a row without a frame stands for itself
+    out = rows.groupBy(frame, alone).agg(best, F.sort_array(F.collect_list(F.when(F.col("region"), F.col(key)))).alias("siblings"))
+    return out.select(frame, F.col(f"b.{key}").alias(key), (-F.col("b.s")).alias("score"), "siblings")
 
 
 def reciprocal_ranks(runs: DataFrame, key: str, channel: str = "channel", score: str = "score", weight: Column | None = None, digits: int = 10) -> DataFrame:
