@@ -48,6 +48,16 @@ def discard(df: DataFrame) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def in_small_batches(df: DataFrame, rows: int = 256) -> DataFrame:
+    """The same frame; from here on the session hands texts to Python in batches of
+    ``rows`` rows at most, so that a batch of long texts stays small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return df
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """crc32 of the id's decimal text, modulo 4, is 2 (null id: false)."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out
+from .common import bounded_sample, held_out, in_small_batches
 
 #: Bounds of the model: documents in the sample, words kept a language, n-grams kept of a length.
 MOST_DOCUMENTS, MOST_WORDS, MOST_GRAMS = 16_000, 20_000, 60_000
 LONGEST = 4
 #: Words whose scores a worker keeps.
-MOST_CACHED = 200_000
+MOST_CACHED = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -137,7 +137,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         if told:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*told, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "word", "n"])
 
-    counts = rows.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = in_small_batches(rows.select("lang", "text")).mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     order = W.partitionBy("lang").orderBy(F.col("word").isNull().desc(), F.col("n").desc(), "word")
     top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MOST_WORDS + 1).select("lang", "word", "n").toPandas()
     shares: dict[str, int] = {}
@@ -161,5 +161,5 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], ["id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(run, "id long, lang_pred string, score double")
+    out = in_small_batches(rows).mapInArrow(run, "id long, lang_pred string, score double")
     return out.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "lang_pred", "score")

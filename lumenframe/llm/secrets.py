@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_small_batches
+
 #: Names that announce a secret, and words about other long strings.
 SECRET_NAMES = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "auth", "bearer", "credential", "private_key", "client_secret")
 OTHER_NAMES = ("sha", "md5", "hash", "checksum", "digest", "commit", "revision", "uuid", "guid", "id", "file", "image", "version", "build", "order", "number", "phone", "card", "page", "ref")
@@ -253,7 +255,7 @@ def scan(docs: DataFrame, forest: Forest | None = None, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in told], pa.int64()), pa.array(kept, kind)], ["id", "candidates", "secrets"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(path_col).cast("string").alias("path"))
-    return rows.mapInArrow(run, "id long, candidates long, secrets array<struct<start: long, end: long, score: double>>").withColumnRenamed("id", id_col)
+    return in_small_batches(rows).mapInArrow(run, "id long, candidates long, secrets array<struct<start: long, end: long, score: double>>").withColumnRenamed("id", id_col)
 
 
 def redact(docs: DataFrame, forest: Forest | None = None, text_col: str = "text", path_col: str = "source", mark: str = "[secret]", threshold: float = 0.5) -> DataFrame:
@@ -276,4 +278,4 @@ def redact(docs: DataFrame, forest: Forest | None = None, text_col: str = "text"
             cols[it] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=list(b.schema.names))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_small_batches(docs).mapInArrow(run, docs.schema)

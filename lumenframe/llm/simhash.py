@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise
+from .common import connected_components, in_small_batches, materialise
 
 SEED = 42
 BITS = 64
@@ -91,7 +91,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, fp long")
+    return in_small_batches(rows).mapInArrow(run, "id long, fp long")
 
 
 def _key(offset: int, width: int) -> Column:

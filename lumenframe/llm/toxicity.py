@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bayes import fit_evidence
-from .common import bounded_sample, held_out, materialise
+from .common import bounded_sample, held_out, in_small_batches, materialise
 
 #: Bounds of the fit: labelled documents read, candidate terms counted, terms kept.
 MOST_LABELLED, MOST_CANDIDATES, MOST_TERMS = 12_000, 40_000, 160
@@ -276,7 +276,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         mine = rows.where(F.col("bad") == bad)
         if among is None:  # copies of one text say no more than the text
             mine = mine.groupBy(F.xxhash64("text").alias("h")).agg(F.first("bad").alias("bad"), F.first("text").alias("text")).select("bad", "text")
-        sums = mine.mapInArrow(run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        sums = in_small_batches(mine).mapInArrow(run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
         sums = sums.where("key = '' or n >= 4").orderBy(F.col("key") != "", F.desc("n"), "key").limit(MOST_CANDIDATES)
         out = Counter({r["key"]: r["n"] for r in sums.collect()})
         return out, out.pop("", 0)
@@ -293,7 +293,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tolist() for v in x], pa.list_(pa.float64()))], ["bad", "x"])
 
     width = len(model.terms) + 2
-    pdf = rows.mapInArrow(featured, "bad boolean, x array<double>").toPandas()
+    pdf = in_small_batches(rows).mapInArrow(featured, "bad boolean, x array<double>").toPandas()
     x = np.array(pdf["x"].tolist(), float).reshape(-1, width)
     order = np.lexsort(x.T)  # rows arrive in no fixed order
     w, centre, scale = fit_evidence(x[order], pdf["bad"].to_numpy(float)[order], ridge=2.0)
@@ -311,7 +311,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in out], pa.float64()), pa.array([n for _, n in out], pa.int64())], ["id", "score", "hits"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(run, "id long, score double, hits long")
+    out = in_small_batches(rows).mapInArrow(run, "id long, score double, hits long")
     return out.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "hits")
 
 
@@ -324,4 +324,4 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text", th
             keep = [model.judge(t.as_py())[0] < threshold for t in b.column(at)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_small_batches(docs).mapInArrow(run, docs.schema)
