@@ -32,10 +32,12 @@ from .bayes import fit_evidence
 from .common import bounded_sample, held_out, in_small_batches, materialise
 
 #: Bounds of the fit: labelled documents read, candidate terms counted, terms kept.
-MOST_LABELLED, MOST_CANDIDATES, MOST_TERMS = 12_000, 40_000, 160
+MOST_LABELLED, MOST_CANDIDATES, MOST_INCIDENT, MOST_TERMS = 12_000, 40_000, 2_000, 160
+#: Evidence (G squared) that a term needs.
+LEAST_RATIO = 25.0
 SHORTEST, LONGEST_STEM = 4, 8
 #: Words whose look-up a worker keeps.
-MOST_CACHED = 300_000
+MOST_CACHED = 150_000
 #: What a hit counts as: misspelled; mentioned (quoted or reported).
 MISSPELLED, MENTIONED = 0.6, 0.35
 #: Characters about a hit that its window holds.
@@ -119,17 +121,19 @@ class ToxicityModel:
         self.stems = {t: i for i, (t, stem) in reversed(list(enumerate(self.terms))) if stem}
         self.stem_sizes = sorted({len(t) for t in self.stems}, reverse=True)
         # a word within d edits of a term holds one of d + 1 parts of the term, moved by d at most
-        self.parts: dict[str, set[int]] = {}
+        self.parts: dict[tuple[int, str], list[tuple[int, int]]] = {}
         for t, stem in self.terms:
             if d := allowed(len(t), stem):
                 cuts = [len(t) * k // (d + 1) for k in range(d + 2)]
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    for move in range(-d, d + 1):
-                        if a + move >= 0:
-                            self.parts.setdefault(t[a:b], set()).add(a + move)
-        self.places = sorted({(at, len(p)) for p, ats in self.parts.items() for at in ats})
-        self.sizes = (min((len(t) for t, s in self.terms if allowed(len(t), s)), default=99) - 2, max((len(t) for t, s in self.terms if not s), default=0) + 2)
-        self.long_stems = any(s and allowed(len(t), s) for t, s in self.terms)
+                sizes = (len(t) - d, len(t) + d if not stem else 1 << 30)
+                for x, y in zip(cuts, cuts[1:], strict=False):
+                    for at in range(max(0, x - d), x + d + 1):
+                        held = self.parts.setdefault((at, t[x:y]), [])
+                        if sizes not in held:
+                            held.append(sizes)
+        self.places = sorted({(at, at + len(p)) for at, p in self.parts})
+        self.shortest = min((a for held in self.parts.values() for a, _ in held), default=1 << 30)
+        self.longest = max((b for held in self.parts.values() for _, b in held), default=0)
 
     def lookup(self, word: str) -> tuple[int, int] | None:
         """(distance, term) of a lower-case word."""
@@ -139,12 +143,12 @@ class ToxicityModel:
             if (i := self.stems.get(word[:n])) is not None:
                 return 0, i
         n = len(word)
-        if n < self.sizes[0] or n > self.sizes[1] and not self.long_stems or n > 40:
-            return None
-        parts = self.parts
-        for at, size in self.places:
-            if at in parts.get(word[at : at + size], ()):
-                return intersect(word, self.trie)
+        if self.shortest <= n <= self.longest:
+            parts = self.parts
+            for x, y in self.places:
+                held = parts.get((x, word[x:y]))
+                if held is not None and any(a <= n <= b for a, b in held):
+                    return intersect(word, self.trie)
         return None
 
     def hits(self, text: str | None) -> tuple[int, list[tuple[int, float]]]:
@@ -227,31 +231,52 @@ def _keys(text: str) -> set[str]:
     return out
 
 
-def choose_terms(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, most: int = MOST_TERMS) -> list[tuple[str, bool]]:
-    """Terms whose documents are toxic far beyond chance (signed log-likelihood ratio),
-    the strongest first; of nested terms with about the same documents only one."""
+def likelihood_ratio(a: float, c: float, n_toxic: float, n_clean: float) -> float:
+    """G squared of a term in ``a`` toxic and ``c`` clean documents; zero unless it is much
+    more frequent in toxic ones."""
+    if (a + 0.5) / (n_toxic + 1) < 2.5 * (c + 0.5) / (n_clean + 1):
+        return 0.0
+    p = (a + c) / (n_toxic + n_clean)
+    return 2 * (a * math.log(max(a, 1e-9) / (n_toxic * p)) + (c * math.log(c / (n_clean * p)) if c else 0.0))
 
-    def gain(k: str) -> float:
-        a, c = toxic[k], clean[k]
-        ra, rc = (a + 0.5) / (n_toxic + 1), (c + 0.5) / (n_clean + 1)
-        if ra < 2.5 * rc:
-            return 0.0
-        p = (a + c) / (n_toxic + n_clean)
-        return 2 * (a * math.log(max(a, 1e-9) / (n_toxic * p)) + (c * math.log(c / (n_clean * p)) if c else 0.0))
 
+def candidate_terms(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> list[str]:
+    """Keys that mark toxic documents beyond chance, the strongest first."""
     least = max(4, 0.004 * n_toxic)
-    scored = [(g, k) for k, a in toxic.items() if a >= least and (g := gain(k)) > 25]
+    scored = [(g, k) for k, a in toxic.items() if a >= least and (g := likelihood_ratio(a, clean[k], n_toxic, n_clean)) > LEAST_RATIO]
     scored.sort(key=lambda x: (-round(x[0], 6), x[1].endswith("*"), -len(x[1]), x[1]))
+    return [k for _, k in scored[:MOST_INCIDENT]]
+
+
+def choose_terms(keys: list[str], held: list[list[int]], clean: Counter, n_toxic: int, n_clean: int, most: int = MOST_TERMS) -> list[tuple[str, bool]]:
+    """A greedy cover: the key that says most about toxic documents not yet covered twice,
+    again and again.  Keys that only copies of few documents share, or that are nested in
+    chosen ones, find nothing left to cover.  ``held``: keys of each toxic document."""
+    of: dict[int, list[int]] = {}
+    for d, ks in enumerate(held):
+        for k in ks:
+            of.setdefault(k, []).append(d)
+    need = [2] * len(held)
+    open_ = {k: len(v) for k, v in of.items()}
+    least = max(4, 0.004 * n_toxic)
     out: list[str] = []
-    for _, k in scored:
-        bare = k.rstrip("*")
-        if any(bare.startswith(o.rstrip("*")) and o.endswith("*") for o in out):
-            continue  # a beginning that is listed holds it
-        if k.endswith("*") and any(o.startswith(bare) and toxic[o] >= 0.8 * toxic[k] for o in out):
-            continue  # hardly more than a listed word
-        out.append(k)
-        if len(out) == most:
+    while open_ and len(out) < most:
+        gain = {k: likelihood_ratio(a, clean[keys[k]], n_toxic, n_clean) for k, a in open_.items() if a >= least}
+        best = min(gain, key=lambda k: (-round(gain[k], 6), k), default=None)
+        if best is None or gain[best] < LEAST_RATIO:
             break
+        out.append(keys[best])
+        for d in of[best]:
+            if need[d]:
+                need[d] -= 1
+                if not need[d]:
+                    for k in held[d]:
+                        if k in open_:
+                            open_[k] -= 1
+        del open_[best]
+        bare = keys[best].rstrip("*")
+        for k in [k for k in open_ if (x := keys[k].rstrip("*")).startswith(bare) and keys[best].endswith("*") or bare.startswith(x) and x != bare and open_[k] < 1.25 * len(of[best])]:
+            del open_[k]
     return [(k.rstrip("*"), k.endswith("*")) for k in out]
 
 
@@ -266,26 +291,39 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def counted(bad: bool, among: frozenset | None) -> tuple[Counter, int]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found: Counter = Counter()
-            n = 0
             for b in batches:
-                for t in b.column(1).to_pylist():
-                    n += 1
-                    found.update(_keys(t) if among is None else among & _keys(t))
-            yield pa.RecordBatch.from_arrays([pa.array(["", *found]), pa.array([n, *found.values()], pa.int64())], ["key", "n"])
-
-        mine = rows.where(F.col("bad") == bad)
-        if among is None:  # copies of one text say no more than the text
-            mine = mine.groupBy(F.xxhash64("text").alias("h")).agg(F.first("bad").alias("bad"), F.first("text").alias("text")).select("bad", "text")
-        sums = in_small_batches(mine).mapInArrow(run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+                for t in b.column(1):
+                    found[""] += 1
+                    found.update(_keys(t.as_py()) if among is None else among & _keys(t.as_py()))
+                    if len(found) > 100_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array(list(found.values()), pa.int64())], ["key", "n"])
+                        found.clear()
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array(list(found.values()), pa.int64())], ["key", "n"])
+
+        sums = in_small_batches(distinct_texts(bad)).mapInArrow(run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
         sums = sums.where("key = '' or n >= 4").orderBy(F.col("key") != "", F.desc("n"), "key").limit(MOST_CANDIDATES)
         out = Counter({r["key"]: r["n"] for r in sums.collect()})
         return out, out.pop("", 0)
 
+    def distinct_texts(bad: bool) -> DataFrame:  # copies of one text say no more than the text
+        once = rows.where(F.col("bad") == bad).groupBy(F.xxhash64("text").alias("h")).agg(F.first("bad").alias("bad"), F.first("text").alias("text"))
+        return once.select("bad", "text")
+
     toxic, n_toxic = counted(True, None)
     clean, n_clean = counted(False, frozenset(toxic))
     if not n_toxic or not n_clean:
         return ToxicityModel([], bias_only=-30.0 if not n_toxic else 30.0)
-    model = ToxicityModel(choose_terms(toxic, clean, n_toxic, n_clean))
+    keys = candidate_terms(toxic, clean, n_toxic, n_clean)
+    place = {k: i for i, k in enumerate(keys)}
+
+    def incidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [sorted(place[k] for k in _keys(t.as_py()) if k in place) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.int32()))], ["held"])
+
+    held = sorted(list(r["held"]) for r in in_small_batches(distinct_texts(True)).mapInArrow(incidence, "held array<int>").collect())
+    model = ToxicityModel(choose_terms(keys, held, clean, n_toxic, n_clean))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
