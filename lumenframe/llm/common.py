@@ -35,7 +35,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # no direct buffers, unlike the default
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out

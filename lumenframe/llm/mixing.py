@@ -67,33 +67,34 @@ def targets(sizes: dict[str | None, int], weights: Sequence[float] = WEIGHTS, sh
     return out
 
 
-def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
-    """(src, below): the rows of ``sizes`` (src, h, size) with ``h < below`` sum to about
-    the source's ``budget``.  The row at the boundary is taken if that comes nearer."""
-    state = budgets.select("src", "budget", F.lit(0).cast("long").alias("below"), F.lit(0).cast("long").alias("sum"))
-    rows = sizes
+def thresholds(sizes: DataFrame, budgets: dict[str, float]) -> dict[str, int]:
+    """By source: the rows of ``sizes`` (src, h, size) with ``h < below`` sum to about the
+    source's budget.  The row at the boundary is taken if that comes nearer.
+
+    What is known of a source (its boundary so far and the sum before it) stands in the
+    plan as a small table; one row a source returns from each level."""
+    spark = sizes.sparkSession
+    state = {s: (b, 0, 0) for s, b in budgets.items()}  # budget, below, sum before it
+    few = len(state) <= MOST_BROADCAST
     for level in range(LEVELS):
         shift = LEVEL_BITS * (LEVELS - 1 - level)
-        state = materialise(state, "thresholds")
-        few = state.count() <= MOST_BROADCAST
-        mine = state.select("src", "below")
+        table = spark.createDataFrame([(s, *x) for s, x in state.items()], "src string, budget double, below long, sum long").coalesce(1)
+        rows = sizes.join(F.broadcast(table) if few else table, "src")
         if level:  # only the boundary bucket of each source
-            at = rows.join(F.broadcast(mine) if few else mine, "src")
-            rows = at.where(F.shiftright("h", shift + LEVEL_BITS) == F.shiftright("below", shift + LEVEL_BITS)).select("src", "h", "size")
-        sums = rows.groupBy("src", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("size"))
-        run = sums.withColumn("run", F.sum("size").over(W.partitionBy("src").orderBy("bucket")))
-        fit = run.join(F.broadcast(state) if few else state, "src")
+            rows = rows.where(F.shiftright("h", shift + LEVEL_BITS) == F.shiftright("below", shift + LEVEL_BITS))
+        sums = rows.groupBy("src", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("size"), F.first("budget").alias("budget"), F.first("sum").alias("sum"))
+        run = sums.withColumn("run", F.col("sum") + F.sum("size").over(W.partitionBy("src").orderBy("bucket")))
         # the first bucket that doesn't fit is the boundary; before it everything is taken
-        first = fit.where(F.col("sum") + F.col("run") > F.col("budget")).groupBy("src").agg(F.min_by(F.struct("bucket", "run", (F.col("run") - F.col("size")).alias("before")), "bucket").alias("f"))
-        nearer = F.lit(level == LEVELS - 1) & (F.col("sum") + F.col("f.run") - F.col("budget") < F.col("budget") - F.col("sum") - F.col("f.before"))
-        told = state.join(first, "src", "left")
-        state = told.select(
-            "src",
-            "budget",
-            F.when(F.col("f").isNotNull(), F.shiftleft(F.col("f.bucket"), shift) + F.when(nearer, 1).otherwise(0)).otherwise(F.lit(1 << (LEVEL_BITS * LEVELS)) if level == 0 else F.col("below")).alias("below"),
-            (F.col("sum") + F.coalesce(F.col("f.before"), F.lit(0))).alias("sum"),
-        )
-    return state.select("src", "below")
+        first = run.where(F.col("run") > F.col("budget")).groupBy("src").agg(F.min_by(F.struct("bucket", "run", "size"), "bucket").alias("f"))
+        found = {r["src"]: r["f"] for r in first.collect()}
+        for s, (budget, below, before) in state.items():
+            if (f := found.get(s)) is None:
+                state[s] = (budget, below if level else 1 << (LEVEL_BITS * LEVELS), before)
+                continue
+            before = f["run"] - f["size"]
+            nearer = level == LEVELS - 1 and f["run"] - budget < budget - before
+            state[s] = (budget, (f["bucket"] << shift) + nearer, before)
+    return {s: below for s, (_, below, _) in state.items()}
 
 
 def _source_key(source: Column) -> Column:
@@ -112,13 +113,10 @@ def _plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SH
     sizes = _sizes(docs, id_col, text_col, source_col) if sizes is None else sizes
     totals = {r["src"]: (r["source"], r["n"]) for r in sizes.groupBy("src").agg(F.first("source").alias("source"), F.sum("size").alias("n")).collect()}
     want = targets({s: n for s, n in totals.values()}, weights, share, most_copies)
-    rows = []
-    for src, (s, n) in totals.items():
-        whole = min(int(want[s] // n), int(most_copies)) if n else 0
-        rows.append((src, n, want[s], whole, want[s] - whole * n))
-    plan = sizes.sparkSession.createDataFrame(rows, "src string, source_size long, target double, whole int, budget double")
-    below = thresholds(sizes.select("src", "h", "size"), plan.select("src", "budget"))
-    return materialise(plan.join(below, "src"), "mixing_plan"), len(rows)
+    whole = {src: min(int(want[s] // n), int(most_copies)) if n else 0 for src, (s, n) in totals.items()}
+    below = thresholds(sizes.select("src", "h", "size"), {src: want[s] - whole[src] * n for src, (s, n) in totals.items()})
+    rows = [(src, n, want[s], whole[src], below[src]) for src, (s, n) in totals.items()]
+    return sizes.sparkSession.createDataFrame(rows, "src string, source_size long, target double, whole int, below long").coalesce(1), len(rows)
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most_copies: float = MOST_COPIES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
