@@ -22,6 +22,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -36,6 +37,20 @@ MOST_UNITS, LONGEST_UNIT = 300_000, 48
 _UNIT = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 
 
+class _Units(dict):
+    """Ids by unit; an unknown unit is encoded, and kept unless it is long."""
+
+    def __init__(self, of: PieceModel):
+        super().__init__()
+        self._of = of
+
+    def __missing__(self, unit: str) -> tuple[int, ...]:
+        ids = tuple(self._of.encode_unit(unit))
+        if len(unit) <= LONGEST_UNIT:
+            self[unit] = ids
+        return ids
+
+
 class PieceModel:
     """A BPE model file of the sentencepiece library, read for encoding and decoding."""
 
@@ -72,7 +87,7 @@ class PieceModel:
             raise ValueError("pieces that reach over a space aren't supported")
         self.chars = {c for p in self.id for c in p}
         self._fits: dict[tuple[str, str], bool] = {}
-        self._units: dict[str, tuple[list[int], str]] = {}
+        self._units = _Units(self)
         # a piece that its own text isn't merged to is never the result of merging
         self.rank = {p: -1.0 if len(p) == 1 else -s for p, s in self.score.items()}
         merged = {p: self._merged(p) for p in self.id}
@@ -205,17 +220,10 @@ class PieceModel:
         """Ids of a whole text, without begin or end ids."""
         if not text:
             return []
-        known, out = self._units, []
-        for unit in _UNIT.findall(self.prefix + text.replace(" ", SPACE)):
-            ids = known.get(unit)
-            if ids is None:
-                ids = self.encode_unit(unit)
-                if len(unit) <= LONGEST_UNIT:
-                    if len(known) >= MOST_UNITS:
-                        known.clear()
-                    known[unit] = ids
-            out += ids
-        return out
+        if len(self._units) > MOST_UNITS:
+            self._units.clear()
+        units = _UNIT.findall(self.prefix + text.replace(" ", SPACE))
+        return list(chain.from_iterable(map(self._units.__getitem__, units)))
 
     def decode(self, ids: Sequence[int]) -> str:
         """Text of ids.  Bytes that are no UTF-8 become one U+FFFD each, as in the library."""
