@@ -1,7 +1,8 @@
 """From raw documents to token digests: five stages, each written and read again.
 
-Every stage reads all that its predecessor kept.  Nulls, empty texts, repeated rows and
-further columns are handled as the operators' docstrings say.
+Every stage reads all that its predecessor kept and works on the columns of documents;
+others are left out.  Nulls, empty texts, repeated rows and
+empty tables are handled as the operators' docstrings say.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted to be toxic go; repeated ids are judged by their own text."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels)
-    return toxicity.keep_clean(docs, model).select(*COLUMNS)
+    return toxicity.keep_clean(docs.select(*COLUMNS), model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays."""
-    return simhash.keep_one(docs).select(*COLUMNS)
+    return simhash.keep_one(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document stands in the result as often as the mixture takes it."""
-    return mixing.take(docs).select(*COLUMNS)
+    return mixing.take(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
