@@ -116,7 +116,8 @@ class Catalog:
     def assert_compatible(self, wanted: Mapping[str, str]) -> None:
         """Raises with the differing settings if the index was made with others."""
         rows = self.spark.createDataFrame(sorted(wanted.items()), "key string, value string")
-        bad = signature_differences(self.read("meta"), rows).orderBy("key").collect()
+        settings = self.read("meta").where(~F.col("key").contains(":"))  # others are remembered thresholds
+        bad = signature_differences(settings, rows).orderBy("key").collect()
         if bad:
             raise ValueError("index made with other settings: " + ", ".join(f"{r['key']}: {r['stored']} != {r['wanted']}" for r in bad))
 
