@@ -731,3 +731,133 @@ def scale_inflate_negation(spark, d):
     e = _t(spark, d, "embeddings").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(9))))
     noisy = vector.unit(F.transform("embedding", lambda x: x + F.lit(0.08) * (F.rand(7) - 0.5)))
     return e.withColumn("embedding", noisy).groupBy("label").agg(F.count("*").alias("points"), F.sum((F.col("vec_id") % 5 == 0).cast("long")).alias("banned"))
+
+
+# --- further functions and operators ----------------------------------------------------------------
+
+
+@query(r"""SELECT page_id, lower(regexp_extract(url, '(\.[^./?#]+)([?#].*)?$', 1)) AS suffix, CASE WHEN page_id % 4 = 0 THEN 'image' WHEN page_id % 4 = 1 THEN 'video' WHEN page_id % 4 = 2 THEN 'image' END AS media_type,
+CASE WHEN page_id % 4 = 2 THEN '.heic can''t be decoded: convert it to JPEG or PNG' END AS problem FROM pages WHERE page_id % 4 < 3""")
+def media_types(spark, d):
+    """File names by suffix; undecodable pictures are kept with a reason."""
+    from .sources.media import _told
+
+    ends = F.element_at(F.array(*map(F.lit, (".JPG", ".mp4", ".HEIC", ".txt"))), (F.col("page_id") % 4 + 1).cast("int"))
+    suffix = F.lower(F.regexp_extract("url", r"(\.[^./?#]+)([?#].*)?$", 1))
+    files = _t(spark, d, "pages").select("page_id", suffix.alias("suffix"), F.concat(F.lit("/data/x"), ends).alias("path"))
+    return _told(files).select("page_id", "suffix", "media_type", "problem")
+
+
+@query("""WITH m(w, c) AS (VALUES ('person', 'person'), ('phone', 'phone'), ('the', NULL), ('night', 'night'), ('bag', 'bag')), t AS (SELECT item_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(text || CASE item_id % 3 WHEN 0 THEN ' a Person with a bag, at NIGHT' WHEN 1 THEN ' license plate; bagged' ELSE '' END), '[^\\w]+'), lambda x: x <> ''), ' ') || ' ' AS j FROM benchmark)
+SELECT item_id, CASE WHEN contains(j, ' person ') THEN 'person,' ELSE '' END || CASE WHEN contains(j, ' license plate ') THEN 'license_plate,' ELSE '' END || CASE WHEN contains(j, ' bag ') THEN 'bag,' ELSE '' END || CASE WHEN contains(j, ' night ') THEN 'night,' ELSE '' END AS found FROM t""")
+def literal_categories(spark, d):
+    """Whole words or phrases of a text that name a category."""
+    from .plans.query import CATEGORIES
+
+    extra = F.when(F.col("item_id") % 3 == 0, " a Person with a bag, at NIGHT").when(F.col("item_id") % 3 == 1, " license plate; bagged").otherwise("")
+    words = F.filter(F.split(F.lower(F.concat("text", extra)), r"[^\w]+"), lambda x: x != "")
+    joined = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    named = [F.when(F.contains(F.col("j"), F.lit(f" {c.replace('_', ' ')} ")), F.lit(c + ",")).otherwise("") for c in CATEGORIES]
+    return _t(spark, d, "benchmark").select("item_id", joined.alias("j")).select("item_id", F.concat(*named).alias("found"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN TRUE WHEN '2-HIGH' THEN FALSE WHEN '3-MEDIUM' THEN TRUE END AS holds FROM orders""")
+def attribute_truth(spark, d):
+    """Yes and no in two languages; anything else is unknown."""
+    value = F.create_map(*[F.lit(x) for kv in (("1-URGENT", "Yes "), ("2-HIGH", "ні"), ("3-MEDIUM", "ТАК"), ("5-LOW", "maybe")) for x in kv])
+    return _t(spark, d, "orders").select("o_orderkey", T.as_boolean(value[F.col("o_orderpriority")]).alias("holds"))
+
+
+@query("""WITH m(value, facet, expected) AS (VALUES ('BUILDING', 'gender_male', 'true'), ('MACHINERY', 'gender_male', 'false'), ('AUTOMOBILE', 'hair', 'dark'), ('FURNITURE', 'hair', 'grey_hair'))
+SELECT c_custkey, coalesce(facet, 'wearing') AS facet, coalesce(expected, 'household') AS expected FROM customer LEFT JOIN m ON c_mktsegment = m.value""")
+def attribute_to_facet(spark, d):
+    """Attribute values of a query become facet equalities by one small mapping table."""
+    from .plans.query import FACETS
+
+    rows = [(a, v, f, str(x).lower()) for (a, v), (f, x) in FACETS.items()]
+    table = spark.createDataFrame(rows, "name string, value string, facet string, expected string")
+    told = {"BUILDING": ("gender", "male"), "MACHINERY": ("gender", "female"), "AUTOMOBILE": ("hair", "brunette"), "FURNITURE": ("hair", "gray"), "HOUSEHOLD": ("wearing", "household")}
+    pick = lambda i: F.create_map(*[F.lit(x) for k, v in told.items() for x in (k, v[i])])[F.col("c_mktsegment")]
+    asked = _t(spark, d, "customer").select("c_custkey", pick(0).alias("name"), pick(1).alias("value"))
+    out = asked.join(F.broadcast(table), ["name", "value"], "left")
+    return out.select("c_custkey", F.coalesce("facet", "name").alias("facet"), F.coalesce("expected", "value").alias("expected"))
+
+
+@query(BOX + """, o AS (SELECT a.frame_id, a.point_id AS a, b.point_id AS b, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS i, least(a.w * a.h, b.w * b.h) AS s, greatest(a.w * a.h, b.w * b.h) AS l
+FROM bx a JOIN bx b ON a.point_id % 35 = b.point_id % 35 AND a.point_id // 420 = b.point_id // 420 AND a.point_id < b.point_id) SELECT a, b FROM o WHERE i / (s + l - i) >= 0.55 OR (l / s <= 3 AND i / s >= 0.8)""")
+def same_instances(spark, d):
+    """Pairs of boxes that show one instance."""
+    r = _vectors(spark, d).where("not own").groupBy(F.col("point_id") % 35, F.floor(F.col("point_id") / 420)).agg(F.sort_array(F.collect_list(F.struct("point_id", "bbox"))).alias("all"))
+    two = r.select("all", F.posexplode("all").alias("i", "a")).select("a", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("b"))
+    return two.where(G.same_instance(F.col("a.bbox"), F.col("b.bbox"))).select(F.col("a.point_id").alias("a"), F.col("b.point_id").alias("b"))
+
+
+@query(BOX + "SELECT point_id, round(0.25 + x * 0.5, 6) AS x, round(0.125 + y * 0.25, 6) AS y, round(w * 0.5, 6) AS w, round(h * 0.25, 6) AS h, w * h >= 0.03 AS large FROM bx")
+def map_into_frame(spark, d):
+    """Boxes of a tile in the frame's coordinates."""
+    m = G.map_into(F.col("bbox"), F.array(*map(F.lit, (0.25, 0.125, 0.5, 0.25))))
+    return _vectors(spark, d).where("not own").select("point_id", *[F.round(m[i], 6).alias(n) for i, n in enumerate("xywh")], (G.area(F.col("bbox")) >= 0.03).alias("large"))
+
+
+@query(R + """, t AS (SELECT point_id, score, row_number() OVER (ORDER BY score DESC, point_id) AS place FROM s ORDER BY score DESC, point_id LIMIT 24)
+SELECT point_id, '#' || place || ' · ' || CASE WHEN p >= 0.1 THEN printf('%.0f%%', p * 100) WHEN p >= 0.01 THEN printf('%.1f%%', p * 100) ELSE printf('%.2f%%', p * 100) END || ' · f' || point_id || '.jpg' || CASE WHEN point_id % 2 = 0 THEN printf(' · %02d:%04.1f', (point_id * 700) // 60000, CAST((point_id * 700) % 60000 AS DOUBLE) / 1000) ELSE '' END AS caption
+FROM (SELECT *, round(1 / (1 + exp(-(score * 10.0 - 4))), 4) AS p FROM t)""")
+def captions(spark, d):
+    from pyspark.sql import Window as W
+
+    top = ranking.nearest(_vectors(spark, d), _ask(spark, d), 24, "vector", "point_id")
+    p = F.round(vector.probability(F.col("score"), 10.0, -4.0), 4)
+    path = F.concat(F.lit("/media/f"), F.col("point_id").cast("string"), F.lit(".jpg"))
+    ms = F.when(F.col("point_id") % 2 == 0, F.col("point_id") * 700)
+    place = F.row_number().over(W.orderBy(F.desc("score"), "point_id"))
+    return top.select("point_id", place.alias("place"), p.alias("p"), path.alias("path"), ms.alias("ms")).select("point_id", present.caption(F.col("place"), F.col("p"), F.col("path"), F.col("ms")).alias("caption"))
+
+
+@query("""SELECT event_type, CAST(count(*) AS BIGINT) AS n, min(event_id) AS first_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type, CAST(floor(value) AS BIGINT) ORDER BY event_id) AS k FROM events) WHERE k = 1 GROUP BY 1""")
+def content_first_seen(spark, d):
+    """One row a content; the stream twin forgets contents with the watermark."""
+    e = _t(spark, d, "events").withColumn("content", F.concat_ws(":", "event_type", F.floor("value").cast("string")))
+    first = e.groupBy("content").agg(F.min("event_id").alias("event_id"), F.first("event_type").alias("event_type"))
+    return first.groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+
+
+@query(r"""SELECT conv_id, turn, regexp_matches(lower(text), '\b(without|no|not|без|не|немає|ohne|bez)\b') AS negated FROM conversations WHERE role = 'user'""")
+def negation_markers(spark, d):
+    from .plans.query import NEGATIONS
+
+    found = F.lower("text").rlike(r"(?U)\b(" + "|".join(NEGATIONS) + r")\b")
+    return _t(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", found.alias("negated"))
+
+
+@query("""SELECT event_id, last_order FROM (SELECT e.event_id, o.o_orderkey AS last_order, row_number() OVER (PARTITION BY e.event_id ORDER BY o.o_orderdate DESC, o.o_orderkey DESC) AS n
+FROM events e JOIN orders o ON o.o_custkey = e.user_id AND o.o_orderdate <= e.ts) WHERE n = 1""")
+def as_of_orders(spark, d):
+    """Extension: per event, the last order of the same key not later than it; both sides
+    are put on one time line and one window walks it, instead of a range join."""
+    from pyspark.sql import Window as W
+
+    e = _t(spark, d, "events").select(F.col("user_id").alias("k"), F.col("ts").alias("t"), "event_id", F.lit(None).cast("long").alias("o"))
+    o = _t(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("t"), F.lit(None).cast("long").alias("event_id"), F.col("o_orderkey").alias("o"))
+    w = W.partitionBy("k").orderBy("t", F.col("o").isNull(), "o").rowsBetween(W.unboundedPreceding, W.currentRow)
+    line = e.unionByName(o).withColumn("last_order", F.last("o", ignorenulls=True).over(w))
+    return line.where("event_id is not null and last_order is not null").select("event_id", "last_order")
+
+
+@query()
+def search_dense(spark, d):
+    """The whole search plan by similarity; invariants are tested."""
+    return _searcher(spark, d).search("a street at night", 20, hide_weak=False).results
+
+
+@query()
+def search_strict(spark, d):
+    """The whole search plan with an excluded object; invariants are tested."""
+    return _searcher(spark, d).search("anything", 20, exclusions=[{"cat_vehicle": True}], hide_weak=False).results
+
+
+def _searcher(spark, d):
+    from .plans.plugins import HashEmbedder
+    from .plans.search import Searcher
+
+    v = _vectors(spark, d).withColumn("cat_person", F.when(F.col("label") < 4, True)).withColumn("cat_vehicle", F.when(F.col("label") == 4, True))
+    return Searcher(v.where("own").drop("region_type", "bbox"), v.where("not own"), HashEmbedder(DIM))
