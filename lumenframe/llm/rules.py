@@ -4,6 +4,7 @@ Each rule is a short conjunction of thresholds over text statistics.  Rules are
 one condition at a time on two thirds of the labelled rows (highest information gain),
 pruned on the remaining third (drop last conditions while (p - n) / (p + n) doesn't
 fall), kept while they are precise enough there, and the rows they cover are set aside.
+Thresholds are moved to the middle of the gap between what they hold and keep out.
 The list becomes one ordered ``CASE WHEN`` expression, so that judging documents is a
 plain projection.
 
@@ -102,7 +103,7 @@ def _grow(x: dict[str, np.ndarray], y: np.ndarray, most: int) -> Rule:
                         best, gain0 = Condition(name, up, float(t)), gain
         if best is None:
             break
-        rule.conditions.append(best)
+        rule.conditions = [c for c in rule.conditions if (c.feature, c.above) != (best.feature, best.above)] + [best]
         here &= best.covers(x)
     return rule
 
@@ -113,6 +114,18 @@ def _worth(rule: Rule, x: dict[str, np.ndarray], y: np.ndarray) -> float:
     return (p - n) / (p + n) if p + n else -1.0
 
 
+def _centre(rule: Rule, x: dict[str, np.ndarray], y: np.ndarray) -> None:
+    """Moves each threshold to the middle between the bad rows that its condition holds
+    and the good rows that it alone keeps out, where these lie apart."""
+    for i, c in enumerate(rule.conditions):
+        others = Rule(rule.conditions[:i] + rule.conditions[i + 1 :]).covers(x, len(y))
+        inside = c.covers(x)
+        sign, v = (1 if c.above else -1), x[c.feature]
+        bad, good = sign * v[others & inside & y], sign * v[others & ~inside & ~y]
+        if bad.size and good.size and good.max() < bad.min():
+            rule.conditions[i] = Condition(c.feature, c.above, float(sign * (good.max() + bad.min()) / 2))
+
+
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, most_rules: int = 12, most_conditions: int = 4, precision: float = 0.8, least: int = 3) -> DecisionList:
     """A list of rules for ``bad`` rows.  ``precision``: what a rule must reach on the
     rows kept apart for pruning.  The split depends on the row's position alone."""
@@ -132,6 +145,7 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, most_rules: int = 12, most_
         rule.positives, rule.negatives = int((hit & bad).sum()), int((hit & ~bad).sum())
         if not rule.conditions or rule.positives < least or _worth(rule, apart, bad[b]) < 2 * precision - 1:
             break
+        _centre(rule, {k: v[left] for k, v in x.items()}, bad[left])
         out.rules.append(rule)
         left &= ~hit
     return out
