@@ -7,8 +7,9 @@ otherwise tries shorter prefixes; a place from which nothing fits is marked in a
 and never tried again.  A sequence whose neighbours are all compatible is the sequence
 that merging would have given.
 
-A text is cut where no piece can reach across: before a run of spaces and around
-characters that no piece holds.  Each distinct unit is encoded once a worker; the memory
+A text is cut where no piece can reach across: before a run of spaces, after letters that
+something else follows, and around characters that no piece holds (the model's pieces are
+checked for this when it is read).  Each distinct unit is encoded once a worker; the memory
 for that is bounded.
 
 Rows
@@ -34,7 +35,12 @@ from .common import in_small_batches
 SPACE = "▁"
 #: Units kept a worker, and their longest length in characters.
 MOST_UNITS, LONGEST_UNIT = 300_000, 48
-_UNIT = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
+#: Pairs of pieces whose compatibility is kept.
+MOST_PAIRS = 300_000
+_OTHER = r"\d_\u00b2\u00b3\u00b9\u00bc-\u00be"  # digits, and what re counts among word characters besides
+_LETTER = rf"[^\W{_OTHER}]"
+_UNIT = re.compile(rf"{SPACE}*{_LETTER}+|{SPACE}*(?:[^\w{SPACE}\n]|[{_OTHER}])+{_LETTER}*|{SPACE}+|\n")
+_CUT = re.compile(rf"{_LETTER}[\W{_OTHER}]|\n|[^{SPACE}]{SPACE}")
 
 
 class _Units(dict):
@@ -83,10 +89,11 @@ class PieceModel:
                 self.text[i], self.unknown = m.trainer_spec.unk_surface, i
             else:
                 self.text[i] = ""
-        if any(SPACE in p.lstrip(SPACE) for p in self.id):
-            raise ValueError("pieces that reach over a space aren't supported")
+        if any(_CUT.search(p) for p in self.id):
+            raise ValueError("pieces that reach over the border of two units aren't supported")
         self.chars = {c for p in self.id for c in p}
-        self._fits: dict[tuple[str, str], bool] = {}
+        self._fits: dict[str, dict[str, bool]] = {}
+        self._pairs = 0
         self._units = _Units(self)
         # a piece that its own text isn't merged to is never the result of merging
         self.rank = {p: -1.0 if len(p) == 1 else -s for p, s in self.score.items()}
@@ -147,11 +154,16 @@ class PieceModel:
         The merges are taken back, the latest first; at each state the two symbols at the
         border must not have been joined before one of them was used up otherwise.
         """
-        known = self._fits.get((a, b))
-        if known is None:
-            if len(self._fits) >= MOST_UNITS:
+        after = self._fits.get(a)
+        if after is None:
+            if self._pairs >= MOST_PAIRS:
                 self._fits.clear()
-            known = self._fits[a, b] = self._border(a, b)
+                self._pairs = 0
+            after = self._fits[a] = {}
+        known = after.get(b)
+        if known is None:
+            self._pairs += 1
+            known = after[b] = self._border(a, b)
         return known
 
     def _border(self, a: str, b: str) -> bool:
@@ -174,19 +186,35 @@ class PieceModel:
 
     def pieces(self, text: str) -> list[str]:
         """Pieces of a text all of whose characters are known, by backtracking."""
-        longest = [0] * len(text)
+        fits, size = self._fits, len(text)
+        out: list[str] = []
+        pos, last = 0, None
+        # the longest matches one after another, as long as each fits the one before
+        for end, n in self.matches.iter_long(text):
+            piece = text[pos : pos + n]
+            if last is not None:
+                ok = known.get(piece) if (known := fits.get(last)) is not None else None
+                if ok is None:
+                    ok = self.fits(last, piece)
+                if not ok:
+                    break
+            out.append(piece)
+            pos, last = end + 1, piece
+        if pos == size:
+            return out
+        longest = [0] * size
         for end, n in self.matches.iter(text):
             if n > longest[end - n + 1]:
                 longest[end - n + 1] = n
-        out: list[str] = []
-        open_ = bytearray(b"\x01") * (len(text) + 1)
-        known, size = self._fits, len(text)
-        pos, piece, last = 0, text[: longest[0]], None
+        failed = 0  # bit i: nothing fits from place i on
+        piece = text[pos : pos + longest[pos]]
         while pos < size:
             end = pos + len(piece)
-            ok = open_[end]
-            if ok and last is not None and (ok := known.get((last, piece))) is None:
-                ok = self.fits(last, piece)
+            ok = not failed >> end & 1
+            if ok and last is not None:
+                ok = known.get(piece) if (known := fits.get(last)) is not None else None
+                if ok is None:
+                    ok = self.fits(last, piece)
             if ok:
                 out.append(piece)
                 pos, last = end, piece
@@ -195,7 +223,7 @@ class PieceModel:
             elif (less := self.shorter[piece]) is not None:
                 piece = less
             else:
-                open_[pos] = 0
+                failed |= 1 << pos
                 piece = out.pop()
                 pos -= len(piece)
                 last = out[-1] if out else None
