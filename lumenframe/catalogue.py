@@ -17,6 +17,7 @@ from .functions import geometry as G
 from .functions import identity, vector
 from .functions import text as T
 from .operators import boxes, facets, lexical, metrics, predicates, ranking
+from .operators.spread import spread
 from .plans import licences, present
 from .sources import tables
 from .streaming import keyframes, windows
@@ -398,7 +399,7 @@ TOK_ALL = TOK.replace(" WHERE doc_id < 200", "")
 
 @query(TOK_ALL + "SELECT doc_id, CAST(count(*) AS BIGINT) AS tokens, CAST(count(DISTINCT term) AS BIGINT) AS kinds FROM g GROUP BY 1")
 def tokenize_terms(spark, d):
-    out = _t(spark, d, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term"))
+    out = spread(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term"))
     return out.groupBy("doc_id", "term").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("tokens"), F.count("*").alias("kinds"))
 
 
@@ -408,7 +409,7 @@ lambda a, b: (xor(a, b) * 16777619) % 4294967296) AS id FROM (SELECT DISTINCT te
 
 @query(TOK_ALL + FNV + "SELECT term, id AS term_id FROM h")
 def fnv_term_id(spark, d):
-    out = _t(spark, d, "documents").select(F.explode(T.tokens(F.col("text"))).alias("term")).distinct()
+    out = spread(_t(spark, d, "documents").select("text")).select(F.explode(T.tokens(F.col("text"))).alias("term")).distinct()
     return out.select("term", T.term_id(F.col("term")).alias("term_id"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 #: Fixed values of the tokeniser and of text clean-up.
 MIN_TOKEN, NGRAM, NGRAM_MIN_WORD, MAX_TEXT = 2, 3, 4, 2000
 EMPTY_MARKERS = ("-", "—", "–", "n/a")
-TOKEN = r"[\p{L}\p{Nl}\p{No}]+|\p{Nd}+"
+LETTER = r"[\p{L}\p{Nl}\p{No}]"
 FNV_OFFSET, FNV_PRIME = 2166136261, 16777619
 
 
@@ -27,20 +27,22 @@ def normalise(text: Column) -> Column:
     return F.when(text.rlike(r"^[\x00-\x7f]*$"), F.lower(text)).otherwise(_folded(F.when(~text.rlike(r"^[\x00-\x7f]*$"), text)))
 
 
+def _found(text: Column, pattern: str, group: int = 0) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(group))
+
+
 def words(text: Column) -> Column:
-    """Letter runs and digit runs of two characters or more (single digits stay)."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    return F.filter(found, lambda t: (F.length(t) >= MIN_TOKEN) | t.rlike(r"^\p{Nd}"))
+    """Letter runs of two characters or more, then digit runs."""
+    return F.concat(_found(text, LETTER + "{%d,}" % MIN_TOKEN), _found(text, r"\p{Nd}+"))
 
 
 def tokens(text: Column) -> Column:
-    """Words, and for words of four letters or more their trigrams, marked by ``#``."""
-
-    def grams(t: Column) -> Column:
-        places = F.sequence(F.lit(1), F.length(t) - (NGRAM - 1))
-        return F.when((F.length(t) >= NGRAM_MIN_WORD) & ~t.rlike(r"^\p{Nd}"), F.transform(places, lambda i: F.concat(F.lit("#"), F.substring(t, i, F.lit(NGRAM))))).otherwise(F.array().cast("array<string>"))
+    """Words, and for letter runs of four or more their trigrams, marked by ``#``.
 
-    return F.flatten(F.transform(words(text), lambda t: F.concat(F.array(t), grams(t))))
+    The trigrams come from one pass of a look-ahead: three letters that stand in a run of
+    four, that is, with a letter after or before them."""
+    grams = _found(text, f"(?=({LETTER}{{{NGRAM}}}))(?:(?={LETTER}{{{NGRAM_MIN_WORD}}})|(?<={LETTER}))", 1)
+    return F.concat(words(text), F.transform(grams, lambda g: F.concat(F.lit("#"), g)))
 
 
 def term_id(term: Column) -> Column:

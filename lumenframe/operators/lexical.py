@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .ranking import reciprocal_ranks
+from .spread import spread
 
 #: Rows a lexical search looks at, and the least share of words found.
 LEXICAL_DEPTH, MIN_COVERAGE, SHOWN_TEXT = 200, 0.5, 200
@@ -15,7 +16,7 @@ LEXICAL_DEPTH, MIN_COVERAGE, SHOWN_TEXT = 200, 0.5, 200
 
 def terms(rows: DataFrame, key: str, text_col: str) -> DataFrame:
     """(key, term_id, tf): one row a distinct term of a text."""
-    told = rows.select(key, F.explode(T.tokens(F.col(text_col))).alias("term"))
+    told = spread(rows.select(key, text_col)).select(key, F.explode(T.tokens(F.col(text_col))).alias("term"))
     counted = told.groupBy(key, "term").agg(F.count("*").alias("tf"))
     # different terms may share an id; hashing after counting hashes each once a text
     return counted.select(key, T.term_id(F.col("term")).alias("term_id"), "tf").groupBy(key, "term_id").agg(F.sum("tf").alias("tf"))
@@ -33,18 +34,15 @@ def idf(df: Column, n: Column) -> Column:
 def sparse_search(rows: DataFrame, key: str, text_col: str, query: str, limit: int, digits: int = 6) -> DataFrame:
     """(key, score): the sum of tf * idf over the query's distinct terms.
 
-    Only the query's terms are kept before anything is shuffled; their document
-    frequencies are counted in the same pass.
+    The query's terms are literals of the plan, so a text's other terms go before anything
+    is exploded or shuffled; document frequencies are counted from the same hits.
     """
-    spark = rows.sparkSession
-    asked = spark.range(1).select(F.explode(F.array_distinct(F.transform(T.tokens(F.lit(query)), T.term_id))).alias("term_id"))
+    asked = rows.sparkSession.range(1).select(F.array_distinct(T.tokens(F.lit(query))).alias("t")).first()["t"]
     n = rows.agg(F.count("*").alias("n"))
-    told = rows.select(key, F.explode(T.tokens(F.col(text_col))).alias("term"))
-    words = spark.range(1).select(F.explode(F.array_distinct(T.tokens(F.lit(query)))).alias("term"), F.lit(True).alias("_q"))
-    hit = told.join(F.broadcast(words), "term").groupBy(key, "term").agg(F.count("*").alias("tf"))
+    mine = F.filter(T.tokens(F.col(text_col)), lambda t: t.isin(asked))
+    hit = spread(rows.select(key, text_col)).select(key, F.explode(mine).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
     hit = hit.select(key, T.term_id(F.col("term")).alias("term_id"), "tf").groupBy(key, "term_id").agg(F.sum("tf").alias("tf"))
-    df = document_frequency(hit).join(F.broadcast(asked), "term_id")
-    weight = df.join(F.broadcast(n), how="cross").select("term_id", idf(F.col("df"), F.col("n")).alias("w"))
+    weight = document_frequency(hit).join(F.broadcast(n), how="cross").select("term_id", idf(F.col("df"), F.col("n")).alias("w"))
     score = hit.join(F.broadcast(weight), "term_id").groupBy(key).agg(F.round(F.sum(F.col("tf") * F.col("w")), digits).alias("score"))
     return score.orderBy(F.desc("score"), key).limit(limit)
 

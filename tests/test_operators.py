@@ -150,8 +150,8 @@ def test_thresholds_in_order():
 
 
 def test_tokens(spark):
-    assert one(spark, T.tokens(F.lit("AA1234BB x 7"))) == ["aa", "1234", "bb", "7"]
-    assert one(spark, T.tokens(F.lit("Straße"))) == ["straße", "#str", "#tra", "#raß", "#aße"]
+    assert sorted(one(spark, T.tokens(F.lit("AA1234BB x 7")))) == ["1234", "7", "aa", "bb"]
+    assert one(spark, T.tokens(F.lit("Straße abc"))) == ["straße", "abc", "#str", "#tra", "#raß", "#aße"]
     assert one(spark, T.words(F.lit(""))) == []
 
 
