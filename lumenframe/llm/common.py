@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.spread import spread
+
 #: Characters that separate words: space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -49,13 +51,14 @@ def discard(df: DataFrame) -> None:
 
 
 def in_small_batches(df: DataFrame, rows: int = 256) -> DataFrame:
-    """The same frame; from here on the session hands texts to Python in batches of
-    ``rows`` rows at most, so that a batch of long texts stays small."""
+    """The same rows, dealt out to idle cores if a plain scan leaves any; from here on the
+    session hands texts to Python in batches of ``rows`` rows at most, so that a batch of
+    long texts stays small."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(name)) <= rows:
         conf.set(name, str(rows))
-    return df
+    return spread(df)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.spread import spread
+
 #: Queries broadcast at once, vectors in a block, segments of a component.
 CHUNK, BLOCK, SEGMENTS = 4096, 8192, 32
 LIMIT = float(1 << 24)
@@ -109,9 +111,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull())
     asked = rows.where(is_query).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    most = spark.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < most:
-        rows = rows.repartition(most)
+    rows = spread(rows)
     chunks = max(1, -(-asked.count() // CHUNK))
     out = None
     for c in range(chunks):
