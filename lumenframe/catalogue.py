@@ -844,6 +844,13 @@ def as_of_orders(spark, d):
     return line.where("event_id is not null and last_order is not null").select("event_id", "last_order")
 
 
+@query("""SELECT l_orderkey, l_linenumber, round(CASE WHEN l_linenumber % 4 = 0 THEN l_discount ELSE least(l_discount, 1 - l_tax) END, 6) AS sure FROM lineitem""")
+def facet_confidence(spark, d):
+    """The least certain of a region's conditions; unknown scores are left out."""
+    rows = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_discount").alias("cat_person_score"), F.when(F.col("l_linenumber") % 4 != 0, F.col("l_tax")).alias("attr_mask_score"))
+    return rows.select("l_orderkey", "l_linenumber", F.round(facets.confidence({"cat_person": True, "attr_mask": False, "attr_color": "red"}, rows.columns), 6).alias("sure"))
+
+
 @query()
 def search_dense(spark, d):
     """The whole search plan by similarity; invariants are tested."""

@@ -7,7 +7,7 @@ or null, an attribute as true or false where its gate passed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -159,6 +159,19 @@ def exclusive(rows: DataFrame, group: str, scores: dict[str, Column], allowed: C
     return out.withColumn(f"attr_{group}_confidence", F.when(won, F.round(lead, 4))).drop("_o")
 
 
+def confidence(conditions: Mapping[str, object], columns: Sequence[str]) -> Column:
+    """How sure a row's facets are of all conditions: the least of their stored scores (or
+    confidences), one minus it for a condition that is false; null if none is known."""
+    known = []
+    for k, v in conditions.items():
+        held = next((c for c in (f"{k}_score", f"{k}_confidence") if c in columns), None)
+        if held is not None:
+            known.append(1 - F.col(held) if v is False else F.col(held))
+    if not known:
+        return F.lit(None).cast("double")
+    return F.array_min(F.array(*[c.cast("double") for c in known]))  # nulls are skipped
+
+
 def report(rows: DataFrame, facet: str) -> DataFrame:
     """scanned, updated, positive, gated_out and rate of one facet column."""
     c = F.col(facet)

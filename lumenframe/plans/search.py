@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vector
-from ..operators import predicates, ranking
+from ..operators import facets, predicates, ranking
 from ..operators.lexical import LEXICAL_DEPTH, merge_lexical, sparse_search
 from .plugins import Detector, Embedder, NoTranslator, Translator, phrase_vector
 from .query import StructuredQuery, attribute_negatives, attribute_phrases, object_phrases, parse
@@ -94,7 +94,8 @@ class Searcher:
         return out.distinct()
 
     def strict(self, parsed: StructuredQuery, vectors: np.ndarray, canonical: int, extra: Column | None, exclusions: Sequence[dict]) -> tuple[DataFrame, list[str]]:
-        """(frame_id, score) of frames on which every entity has its own region."""
+        """(frame_id, score, entity_confidence) of frames on which every entity has its own
+        region; the confidence is that of the least certain entity's nearest region."""
         known = self.known_facets()
         unknown = sorted({k for e in parsed.must for k in e.conditions() if k not in known})
         rows = self.regions if extra is None else self.regions.where(extra)
@@ -110,11 +111,19 @@ class Searcher:
                 boost = mine.select("point_id", F.round(FLY_WEIGHT * sum(fly, F.lit(0.0)), 6).alias("boost"))
                 runs = runs.join(boost, "point_id").withColumn("score", F.col("score") + F.col("boost")).drop("boost")
             fused = ranking.fuse_by_frame(runs, "frame_id", canonical).withColumnRenamed("fused", "score")
-            hits = fused if hits is None else hits.join(fused.withColumnRenamed("score", "_s"), "frame_id").withColumn("score", F.least("score", "_s")).drop("_s")
+            near = F.round(vector.dot(F.col(self.vector_col), vector.literal(vectors[canonical])), 6)
+            sure = facets.confidence({k: v for k, v in conditions.items() if k in known}, mine.columns)
+            shown = mine.select("frame_id", F.struct(near.alias("s"), "point_id", sure.alias("c")).alias("x")).groupBy("frame_id").agg(F.max("x").alias("x"))
+            fused = fused.join(shown.select("frame_id", F.col("x.c").alias("entity_confidence")), "frame_id")
+            if hits is None:
+                hits = fused
+                continue
+            other = fused.select("frame_id", F.col("score").alias("_s"), F.col("entity_confidence").alias("_c"))
+            hits = hits.join(other, "frame_id").select("frame_id", F.least("score", "_s").alias("score"), F.least("entity_confidence", "_c").alias("entity_confidence"))
         no = [e.conditions() for e in parsed.must_not] + list(exclusions)
         if hits is None:
             runs = self._channels(rows, vectors, None)
-            hits = ranking.fuse_by_frame(runs, "frame_id", canonical).withColumnRenamed("fused", "score")
+            hits = ranking.fuse_by_frame(runs, "frame_id", canonical).withColumnRenamed("fused", "score").withColumn("entity_confidence", F.lit(None).cast("double"))
         return predicates.without(hits, self.banned(no, known, hits), "frame_id"), unknown
 
     def dense(self, vectors: np.ndarray, canonical: int, depth: int, scope: str, extra: Column | None) -> DataFrame:
@@ -171,11 +180,11 @@ class Searcher:
                 degraded, hits = True, None
                 notices.append("too few exact results: answered by similarity alone")
         if hits is None:
-            hits = self.dense(vectors, canonical, depth, scope, where)
+            hits = self.dense(vectors, canonical, depth, scope, where).withColumn("entity_confidence", F.lit(None).cast("double"))
         best = self._canonical(hits, plain)
         out = best.withColumn("probability", F.round(vector.probability(F.col("score"), *self.embedder.calibration), 6))
         out = out.withColumn("position", F.row_number().over(W.orderBy(F.desc("score"), "frame_id")))
-        out = out.withColumn("entity_confidence", F.lit(None).cast("double")).withColumn("detection_confidence", F.lit(None).cast("double"))
+        out = out.withColumn("detection_confidence", F.lit(None).cast("double"))
         out = ranking.fuse_evidence(out).drop("position").withColumnRenamed("place", "position")
         if lexical and "ocr_text" in self.frames.columns:
             rows = self.frames if where is None else self.frames.where(where)
@@ -193,10 +202,10 @@ class Searcher:
 
     def _canonical(self, hits: DataFrame, q: np.ndarray) -> DataFrame:
         """Each frame's best inner product with the canonical text, one scale for all."""
-        few = F.broadcast(hits.select("frame_id"))
+        few = F.broadcast(hits.select("frame_id", "entity_confidence"))
         v = F.round(vector.dot(F.col(self.vector_col), vector.literal(q)), 6)
         both = self.regions.select("frame_id", self.vector_col).unionByName(self.frames.select("frame_id", self.vector_col))
-        return both.join(few, "frame_id").groupBy("frame_id").agg(F.max(v).alias("score"))
+        return both.join(few, "frame_id").groupBy("frame_id").agg(F.max(v).alias("score"), F.first("entity_confidence").alias("entity_confidence"))
 
     def _feedback(self, vectors: np.ndarray, positive: Sequence[str], negative: Sequence[str]) -> tuple[np.ndarray, list[str]]:
         """Query vectors moved towards marked frames; marks that aren't indexed."""

@@ -44,6 +44,10 @@ def test_negation_is_exact(searcher):
     got = searcher.search("a person without glasses", 60, hide_weak=False)
     assert got.parsed.must[0].conditions() == {"cat_person": True, "attr_glasses": False}
     assert got.results.count() > 0 and all(i % 6 == 0 for i in ids(got))
+    assert got.results.where("entity_confidence is not null").isEmpty()  # no scores are stored
+    scored = Searcher(searcher.frames, searcher.regions.withColumn("cat_person_score", F.lit(0.9)).withColumn("attr_glasses_score", F.lit(0.3)), E)
+    sure = {r.entity_confidence for r in scored.search("a person without glasses", 60, hide_weak=False).results.collect()}
+    assert sure == {0.7}
     banned = searcher.search("anything", 60, exclusions=[{"cat_vehicle": True}], hide_weak=False, lexical=False)
     assert not [i for i in ids(banned) if i % 6 == 2]
 
