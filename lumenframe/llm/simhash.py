@@ -173,15 +173,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Rows that share this id are told apart by their content, so one of them stays; a group
     whose rows all lack an id keeps one of them in the same way.
     """
-    classes = near_duplicates(docs, id_col, text_col, **how).select(F.col(id_col).alias("_id"), F.col("component_id").alias("_part"), "fingerprint")
+    classes = near_duplicates(docs, id_col, text_col, **how).select(F.col(id_col).alias("_id"), F.col("component_id").alias("_part"))
+    classes = materialise(classes, "classes")
     named = classes.where(F.col("_id") == F.col("_part")).select("_id").distinct()
     kept = docs.join(named, docs[id_col] == named["_id"], "left_semi")
     first = F.struct(*[F.col(c) for c in docs.columns])
     out = kept.groupBy(F.col(id_col).alias("_id")).agg(F.min(first).alias("_row"))
-    nameless = docs.where(F.col(id_col).isNull()) if classes.where("_part is null").limit(1).count() else None
-    if nameless is not None:
-        lone = near_duplicates(nameless.withColumn("_n", F.monotonically_increasing_id()), "_n", text_col, **how)
-        raise_ids = lone.select(F.col("component_id")).distinct()
-        tagged = nameless.withColumn("_n", F.monotonically_increasing_id()).join(raise_ids, F.col("_n") == F.col("component_id"), "left_semi").drop("_n")
-        return out.select("_row.*").unionByName(tagged)
-    return out.select("_row.*")
+    if classes.where("_part is null").isEmpty():
+        return out.select("_row.*")
+    numbered = materialise(docs.where(F.col(id_col).isNull()).withColumn("_n", F.monotonically_increasing_id()), "without_ids")
+    lone = near_duplicates(numbered, "_n", text_col, **how).groupBy("fingerprint").agg(F.min("component_id").alias("_n"))
+    named_too = near_duplicates(docs, id_col, text_col, **how).where("component_id is null").select("fingerprint").distinct()
+    first_ones = lone.join(named_too, "fingerprint", "left_semi").select("_n").distinct()  # groups without any id
+    return out.select("_row.*").unionByName(numbered.join(first_ones, "_n", "left_semi").drop("_n"))
