@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm import mixing, queries, secrets, simhash, toxicity
-from lumenframe.llm.common import materialise
+from lumenframe.llm.common import discard, materialise, sweep, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -57,7 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
+        mark = written()
         docs = materialise(stage(spark, docs, sf_dir), name)
+        sweep(spark, mark, keep=(docs.written_to,))  # what the stage wrote on its way
+        if before is not None:
+            discard(before)
+        before = docs
     return docs

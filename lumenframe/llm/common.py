@@ -30,6 +30,23 @@ def shared_folder(spark: SparkSession) -> str:
     return given.rstrip("/")
 
 
+#: Folders that this process has written, oldest first.
+_written: list[str] = []
+
+
+def written() -> int:
+    """A mark for ``sweep``: how many tables there are so far."""
+    return len(_written)
+
+
+def sweep(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) -> None:
+    """Removes the tables written after the mark ``since``, but for those to keep.  Frames
+    that still read them can't be evaluated again."""
+    for path in [p for p in _written[since:] if p not in keep]:
+        _remove(spark, path)
+        _written.remove(path)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and return a scan of it.
 
@@ -40,13 +57,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)  # no direct buffers, unlike the default
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    _written.append(path)
     return out
 
 
 def discard(df: DataFrame) -> None:
     """Remove a table that ``materialise`` wrote."""
-    spark = df.sparkSession
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    _remove(df.sparkSession, df.written_to)
+    _written.remove(df.written_to)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
