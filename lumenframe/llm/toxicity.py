@@ -25,6 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,9 @@ from .common import bounded_sample, held_out, in_small_batches, materialise
 #: Bounds of the fit: labelled documents read, candidate terms counted, terms kept.
 MOST_LABELLED, MOST_CANDIDATES, MOST_INCIDENT, MOST_TERMS = 12_000, 40_000, 2_000, 160
 #: Evidence (G squared) that a term needs.
-LEAST_RATIO = 25.0
+LEAST_RATIO = 14.0
+#: Word hashes kept of a text to tell near copies.
+SIGNATURE = 16
 SHORTEST, LONGEST_STEM = 4, 8
 #: Words whose look-up a worker keeps.
 MOST_CACHED = 150_000
@@ -248,23 +251,45 @@ def candidate_terms(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int)
     return [k for _, k in scored[:MOST_INCIDENT]]
 
 
-def choose_terms(keys: list[str], held: list[list[int]], clean: Counter, n_toxic: int, n_clean: int, most: int = MOST_TERMS) -> list[tuple[str, bool]]:
-    """A greedy cover: the key that says most about toxic documents not yet covered twice,
-    again and again.  Keys that only copies of few documents share, or that are nested in
-    chosen ones, find nothing left to cover.  ``held``: keys of each toxic document."""
+def _signature(text: str) -> list[int]:
+    """Least hashes of a text's words under SIGNATURE multipliers; near copies share most."""
+    words = set(_WORD.findall(text.lower())) or {""}
+    h = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+    with np.errstate(over="ignore"):
+        return [int((h * np.uint64(2 * i + 1) + np.uint64(i * 0x9E3779B9)).min() >> np.uint64(1)) for i in range(SIGNATURE)]
+
+
+def distinct_contents(signatures: list[list[int]], share: float = 0.5) -> list[int]:
+    """Places of the first of each group of near copies (``share`` of the signature equal
+    to a group's first).  The texts are the bounded sample's toxic ones."""
+    out: list[int] = []
+    kept = np.zeros((len(signatures), SIGNATURE), np.int64)
+    for i, s in enumerate(np.array(signatures, np.int64).reshape(-1, SIGNATURE)):
+        if not out or ((kept[: len(out)] == s).mean(axis=1) < share).all():
+            kept[len(out)] = s
+            out.append(i)
+    return out
+
+
+def choose_terms(keys: list[str], held: list[list[int]], clean: Counter, n_clean: int, most: int = MOST_TERMS) -> list[tuple[str, bool]]:
+    """The terms of the lexicon.  ``held``: candidate keys of each toxic document, near
+    copies left out.
+
+    First a greedy cover: the key that says most about documents not yet covered twice,
+    again and again; then every other key whose evidence is beyond what the best of so
+    many keys would show by chance.  Of nested keys one stays.
+    """
+    n_toxic = len(held)
     of: dict[int, list[int]] = {}
     for d, ks in enumerate(held):
         for k in ks:
             of.setdefault(k, []).append(d)
-    need = [2] * len(held)
+    need = [2] * n_toxic
     open_ = {k: len(v) for k, v in of.items()}
     least = max(4, 0.004 * n_toxic)
     out: list[str] = []
-    while open_ and len(out) < most:
-        gain = {k: likelihood_ratio(a, clean[keys[k]], n_toxic, n_clean) for k, a in open_.items() if a >= least}
-        best = min(gain, key=lambda k: (-round(gain[k], 6), k), default=None)
-        if best is None or gain[best] < LEAST_RATIO:
-            break
+
+    def take(best: int) -> None:
         out.append(keys[best])
         for d in of[best]:
             if need[d]:
@@ -273,10 +298,24 @@ def choose_terms(keys: list[str], held: list[list[int]], clean: Counter, n_toxic
                     for k in held[d]:
                         if k in open_:
                             open_[k] -= 1
-        del open_[best]
-        bare = keys[best].rstrip("*")
-        for k in [k for k in open_ if (x := keys[k].rstrip("*")).startswith(bare) and keys[best].endswith("*") or bare.startswith(x) and x != bare and open_[k] < 1.25 * len(of[best])]:
-            del open_[k]
+        open_.pop(best, None)
+        bare, stem = keys[best].rstrip("*"), keys[best].endswith("*")
+        for k in list(open_):
+            other = keys[k].rstrip("*")
+            if stem and other.startswith(bare) or bare.startswith(other) and len(of[k]) < 1.25 * len(of[best]):
+                del open_[k]
+
+    while open_ and len(out) < most:
+        gain = {k: likelihood_ratio(a, clean[keys[k]], n_toxic, n_clean) for k, a in open_.items() if a >= least}
+        best = min(gain, key=lambda k: (-round(gain[k], 6), k), default=None)
+        if best is None or gain[best] < LEAST_RATIO:
+            break
+        take(best)
+    bar = LEAST_RATIO + 2 * math.log(MOST_CANDIDATES)
+    rest = sorted((-round(likelihood_ratio(len(of[k]), clean[keys[k]], n_toxic, n_clean), 6), k) for k in open_ if len(of[k]) >= least)
+    for g, k in rest:
+        if -g >= bar and k in open_ and len(out) < most:
+            take(k)
     return [(k.rstrip("*"), k.endswith("*")) for k in out]
 
 
@@ -319,11 +358,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def incidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held = [sorted(place[k] for k in _keys(t.as_py()) if k in place) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.int32()))], ["held"])
-
-    held = sorted(list(r["held"]) for r in in_small_batches(distinct_texts(True)).mapInArrow(incidence, "held array<int>").collect())
-    model = ToxicityModel(choose_terms(keys, held, clean, n_toxic, n_clean))
+            texts = [t.as_py() for t in b.column(1)]
+            held = [sorted(place[k] for k in _keys(t) if k in place) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.int32())), pa.array([_signature(t) for t in texts], pa.list_(pa.int64()))], ["held", "signature"])
+
+    told = in_small_batches(distinct_texts(True)).mapInArrow(incidence, "held array<int>, signature array<long>").collect()
+    told.sort(key=lambda r: (r["signature"], r["held"]))  # rows arrive in no fixed order
+    held = [list(told[i]["held"]) for i in distinct_contents([list(r["signature"]) for r in told])]
+    model = ToxicityModel(choose_terms(keys, held, clean, n_clean))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
