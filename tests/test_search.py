@@ -184,6 +184,8 @@ def test_keyframe_stream_equals_batch(spark, tmp_path):
     df, _ = _frames(spark)
     for i, (a, b) in enumerate(((0, 15_000), (15_000, 28_000), (28_000, 99_000))):
         df.where(f"ts_ms >= {a} and ts_ms < {b}").coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+        for f in (tmp_path / f"in/{i}").iterdir():
+            os.utime(f, (1_700_000_000 + 60 * i,) * 2)  # a stream takes older files first
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
     q = keyframes.select_stream(stream, interval_ms=2000).writeStream.format("memory").queryName("kf").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
