@@ -390,14 +390,13 @@ def facet_frequencies(spark, d):
 
 # --- lexical layer ---------------------------------------------------------------------------
 
-TOK = r"""WITH w AS (SELECT doc_id, lower(text) AS t FROM documents WHERE doc_id < 200), x AS (SELECT doc_id, unnest(regexp_extract_all(t, '[\p{L}\p{Nl}\p{No}]+|\p{Nd}+')) AS tok FROM w),
+TOK = r"""WITH w AS (SELECT doc_id, lower(text) AS t FROM documents), x AS (SELECT doc_id, unnest(regexp_extract_all(t, '[\p{L}\p{Nl}\p{No}]+|\p{Nd}+')) AS tok FROM w),
 y AS (SELECT doc_id, tok, regexp_matches(tok, '^\p{Nd}') AS num FROM x), wd AS (SELECT doc_id, tok, num FROM y WHERE length(tok) >= 2 OR num),
 g AS (SELECT doc_id, tok AS term FROM wd UNION ALL SELECT doc_id, '#' || substr(tok, i, 3) FROM (SELECT doc_id, tok, unnest(range(1, CAST(length(tok) - 1 AS BIGINT))) AS i FROM wd WHERE length(tok) >= 4 AND NOT num))
 """
-TOK_ALL = TOK.replace(" WHERE doc_id < 200", "")
 
 
-@query(TOK_ALL + "SELECT doc_id, CAST(count(*) AS BIGINT) AS tokens, CAST(count(DISTINCT term) AS BIGINT) AS kinds FROM g GROUP BY 1")
+@query(TOK + "SELECT doc_id, CAST(count(*) AS BIGINT) AS tokens, CAST(count(DISTINCT term) AS BIGINT) AS kinds FROM g GROUP BY 1")
 def tokenize_terms(spark, d):
     out = spread(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term"))
     return out.groupBy("doc_id", "term").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("tokens"), F.count("*").alias("kinds"))
@@ -407,19 +406,19 @@ FNV = """, h AS (SELECT term, list_reduce([2166136261::BIGINT] || list_transform
 lambda a, b: (xor(a, b) * 16777619) % 4294967296) AS id FROM (SELECT DISTINCT term FROM g))"""
 
 
-@query(TOK_ALL + FNV + "SELECT term, id AS term_id FROM h")
+@query(TOK + FNV + "SELECT term, id AS term_id FROM h")
 def fnv_term_id(spark, d):
     out = spread(_t(spark, d, "documents").select("text")).select(F.explode(T.tokens(F.col("text"))).alias("term")).distinct()
     return out.select("term", T.term_id(F.col("term")).alias("term_id"))
 
 
-@query(TOK_ALL + FNV + "SELECT doc_id, id AS term_id, CAST(count(*) AS BIGINT) AS tf FROM g JOIN h USING (term) GROUP BY 1, 2")
+@query(TOK + FNV + "SELECT doc_id, id AS term_id, CAST(count(*) AS BIGINT) AS tf FROM g JOIN h USING (term) GROUP BY 1, 2")
 def term_tf(spark, d):
     return lexical.terms(_t(spark, d, "documents"), "doc_id", "text")
 
 
 ASK = "the thand reading of other station 1998"
-SPARSE = TOK_ALL + f""", qx AS (SELECT unnest(regexp_extract_all(lower('{ASK}'), '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+|\\p{{Nd}}+')) AS tok), qy AS (SELECT tok, regexp_matches(tok, '^\\p{{Nd}}') AS num FROM qx WHERE length(tok) >= 2),
+SPARSE = TOK + f""", qx AS (SELECT unnest(regexp_extract_all(lower('{ASK}'), '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+|\\p{{Nd}}+')) AS tok), qy AS (SELECT tok, regexp_matches(tok, '^\\p{{Nd}}') AS num FROM qx WHERE length(tok) >= 2),
 qt AS (SELECT tok AS term FROM qy UNION SELECT '#' || substr(tok, i, 3) FROM (SELECT tok, unnest(range(1, CAST(length(tok) - 1 AS BIGINT))) AS i FROM qy WHERE length(tok) >= 4 AND NOT num)),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM g JOIN qt USING (term) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), nn AS (SELECT count(*) AS n FROM documents),
 sc AS (SELECT doc_id, round(sum(tf * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))), 6) AS score FROM tf JOIN df USING (term), nn GROUP BY 1)
@@ -451,16 +450,16 @@ def lexical_coverage(spark, d):
     return t.select("item_id", F.round(T.coverage(q, F.col("text")), 6).alias("share"), F.array_join(T.matched(q, F.col("text")), ", ").alias("found"))
 
 
-@query(r"""WITH r AS (SELECT item_id, row_number() OVER (ORDER BY item_id) AS position, round(0.9 - CAST(item_id AS DOUBLE) / 100, 6) AS p FROM benchmark WHERE item_id % 2 = 0),
-h AS (SELECT item_id, round(CAST(len(list_intersect(['the', 'of', 'and', 'reading'], list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{Nl}\p{No}]+|\p{Nd}+'), lambda t: length(t) >= 2 OR regexp_matches(t, '^\p{Nd}'))))) AS DOUBLE) / 4, 6) AS c FROM benchmark WHERE item_id % 3 = 0),
+@query(r"""WITH r AS (SELECT item_id, row_number() OVER (ORDER BY item_id) AS position, round(0.9 - CAST(item_id AS DOUBLE) / 100, 6) AS p FROM benchmark WHERE length(text) > 400),
+h AS (SELECT item_id, round(CAST(len(list_intersect(['the', 'of', 'and', 'reading'], list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{Nl}\p{No}]+|\p{Nd}+'), lambda t: length(t) >= 2 OR regexp_matches(t, '^\p{Nd}'))))) AS DOUBLE) / 4, 6) AS c FROM benchmark),
 m AS (SELECT coalesce(r.item_id, h.item_id) AS item_id, greatest(coalesce(p, 0.0), coalesce(c, 0.0)) AS probability, c IS NOT NULL AS lexical, position FROM r FULL JOIN (SELECT * FROM h WHERE c >= 0.5) h ON r.item_id = h.item_id)
 SELECT item_id, probability, lexical, CAST(row_number() OVER (ORDER BY lexical DESC, CASE WHEN lexical THEN -probability END, position NULLS LAST, item_id) AS INTEGER) AS place FROM m""")
 def lexical_merge_full_outer(spark, d):
     from pyspark.sql import Window as W
 
     b = _t(spark, d, "benchmark")
-    results = b.where("item_id % 2 = 0").select("item_id", F.round(F.lit(0.9) - F.col("item_id") / F.lit(100.0), 6).alias("probability"), F.row_number().over(W.orderBy("item_id")).alias("position"))
-    out = lexical.merge_lexical(results, b.where("item_id % 3 = 0").select("item_id", F.col("text").alias("ocr_text")), "item_id", "the of and reading")
+    results = b.where("length(text) > 400").select("item_id", F.round(F.lit(0.9) - F.col("item_id") / F.lit(100.0), 6).alias("probability"), F.row_number().over(W.orderBy("item_id")).alias("position"))
+    out = lexical.merge_lexical(results, b.select("item_id", F.col("text").alias("ocr_text")), "item_id", "the of and reading")
     return out.select("item_id", "probability", "lexical", "place")
 
 
@@ -543,7 +542,7 @@ def tile_grid(spark, d):
 
 EVAL = R + """, rk AS (SELECT qv.label AS query_id, s2.vec_id AS item, row_number() OVER (PARTITION BY qv.label ORDER BY round(list_dot_product(CAST(s2.embedding AS DOUBLE[]), CAST(qv.embedding AS DOUBLE[])), 6) DESC, s2.vec_id) AS rank
 FROM embeddings s2, (SELECT label, embedding FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)) qv), top AS (SELECT * FROM rk WHERE rank <= 30),
-tr AS (SELECT label AS query_id, vec_id AS item, CAST(1 + vec_id % 3 AS DOUBLE) AS gain, FALSE AS forbidden FROM embeddings WHERE vec_id % 5 = 0 UNION ALL SELECT (label + 1) % 10, vec_id, 0.0, TRUE FROM embeddings WHERE vec_id % 7 = 0),
+tr AS (SELECT label AS query_id, vec_id AS item, CAST(1 + vec_id % 3 AS DOUBLE) AS gain, FALSE AS forbidden FROM embeddings UNION ALL SELECT (label + 1) % 10, vec_id, 0.0, TRUE FROM embeddings),
 j AS (SELECT top.query_id, top.item, rank, gain, coalesce(gain > 0, FALSE) AS rel, coalesce(forbidden, FALSE) AS forb FROM top LEFT JOIN tr ON top.query_id = tr.query_id AND top.item = tr.item)
 """
 
@@ -559,8 +558,8 @@ def _ranked(spark, d):
 
 def _truth(spark, d):
     e = _t(spark, d, "embeddings")
-    good = e.where("vec_id % 5 = 0").select(F.col("label").alias("query_id"), F.col("vec_id").alias("item"), (F.col("vec_id") % 3 + F.lit(1.0)).alias("gain"), F.lit(False).alias("forbidden"))
-    return good.unionByName(e.where("vec_id % 7 = 0").select(((F.col("label") + 1) % 10).alias("query_id"), F.col("vec_id").alias("item"), F.lit(0.0).alias("gain"), F.lit(True).alias("forbidden")))
+    good = e.select(F.col("label").alias("query_id"), F.col("vec_id").alias("item"), (F.col("vec_id") % 3 + F.lit(1.0)).alias("gain"), F.lit(False).alias("forbidden"))
+    return good.unionByName(e.select(((F.col("label") + 1) % 10).alias("query_id"), F.col("vec_id").alias("item"), F.lit(0.0).alias("gain"), F.lit(True).alias("forbidden")))
 
 
 @query(EVAL + """, jj AS (SELECT *, sum(CAST(rel AS INTEGER)) OVER (PARTITION BY query_id ORDER BY rank) AS seen FROM j), n AS (SELECT query_id, count(*) FILTER (gain > 0) AS rel FROM tr GROUP BY 1),
@@ -585,12 +584,12 @@ def percentile_latency(spark, d):
     return metrics.latency(_t(spark, d, "events"), "event_type", "value")
 
 
-@query("""WITH q AS (SELECT o_orderkey % 5000 AS query_id, [o_custkey] AS rel, CASE WHEN o_orderkey % 4 = 0 THEN [o_custkey + 100000000] ELSE [] END AS forb FROM orders WHERE o_orderkey % 3 = 0),
+@query("""WITH q AS (SELECT o_orderkey % 5000 AS query_id, [o_custkey] AS rel, CASE WHEN o_orderkey % 4 = 0 THEN [o_custkey + 100000000] ELSE [] END AS forb FROM orders),
 a AS (SELECT query_id, 'repeated query id' AS problem FROM q GROUP BY 1 HAVING count(*) > 1), b AS (SELECT query_id, 'unknown forbidden asset ' || f AS problem FROM (SELECT query_id, unnest(forb) AS f FROM q) WHERE f NOT IN (SELECT c_custkey FROM customer)),
 c AS (SELECT query_id, 'unknown relevant asset ' || f AS problem FROM (SELECT query_id, unnest(rel) AS f FROM q) WHERE f NOT IN (SELECT c_custkey FROM customer)) SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c""")
 def golden_validation(spark, d):
     none = F.array().cast("array<string>")
-    q = _t(spark, d, "orders").where("o_orderkey % 3 = 0").select((F.col("o_orderkey") % 5000).alias("query_id"), F.array(F.col("o_custkey").cast("string")).alias("relevant"), F.when(F.col("o_orderkey") % 4 == 0, F.array((F.col("o_custkey") + 100000000).cast("string"))).otherwise(none).alias("forbidden"))
+    q = _t(spark, d, "orders").select((F.col("o_orderkey") % 5000).alias("query_id"), F.array(F.col("o_custkey").cast("string")).alias("relevant"), F.when(F.col("o_orderkey") % 4 == 0, F.array((F.col("o_custkey") + 100000000).cast("string"))).otherwise(none).alias("forbidden"))
     return metrics.problems(_t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("asset_id")), q)
 
 
@@ -608,12 +607,12 @@ def configuration_choice(spark, d):
 # --- catalogue tables, identity ------------------------------------------------------------------
 
 
-@query("""WITH t AS (SELECT c_custkey AS asset_id, c_acctbal AS size, 1 AS version FROM customer), s AS (SELECT c_custkey + 500 AS asset_id, c_acctbal + 1 AS size, 2 AS version FROM customer WHERE c_custkey % 2 = 0)
+@query("""WITH t AS (SELECT c_custkey AS asset_id, c_acctbal AS size, 1 AS version FROM customer), s AS (SELECT c_custkey + 500 AS asset_id, c_acctbal + 1 AS size, 2 AS version FROM customer WHERE c_acctbal > 0)
 SELECT * FROM s UNION ALL SELECT * FROM t WHERE asset_id NOT IN (SELECT asset_id FROM s)""")
 def upsert_latest(spark, d):
     c = _t(spark, d, "customer")
     t = c.select(F.col("c_custkey").alias("asset_id"), F.col("c_acctbal").alias("size"), F.lit(1).alias("version"))
-    s = c.where("c_custkey % 2 = 0").select((F.col("c_custkey") + 500).alias("asset_id"), (F.col("c_acctbal") + 1).alias("size"), F.lit(2).alias("version"))
+    s = c.where("c_acctbal > 0").select((F.col("c_custkey") + 500).alias("asset_id"), (F.col("c_acctbal") + 1).alias("size"), F.lit(2).alias("version"))
     return tables.upsert(t, s, ["asset_id"])
 
 
@@ -628,10 +627,10 @@ def latest_version(spark, d):
     return tables.latest(_t(spark, d, "events"), ["user_id"], "ts", "event_id").select("user_id", "event_id", "value")
 
 
-@query("""SELECT d.doc_id, coalesce(k.h, sha256(d.text)) AS asset_id, k.h IS NOT NULL AS cached FROM documents d LEFT JOIN (SELECT doc_id, n_chars, sha256('cached ' || doc_id) AS h FROM documents WHERE doc_id % 2 = 0) k ON d.doc_id = k.doc_id AND d.n_chars = k.n_chars""")
+@query("""SELECT d.doc_id, coalesce(k.h, sha256(d.text)) AS asset_id, k.h IS NOT NULL AS cached FROM documents d LEFT JOIN (SELECT doc_id, n_chars, sha256('cached ' || doc_id) AS h FROM documents WHERE n_chars > 1000) k ON d.doc_id = k.doc_id AND d.n_chars = k.n_chars""")
 def hash_cache_lookup(spark, d):
     docs = _t(spark, d, "documents")
-    known = docs.where("doc_id % 2 = 0").select("doc_id", "n_chars", identity.content_id(F.concat(F.lit("cached "), F.col("doc_id").cast("string"))).alias("h"))
+    known = docs.where("n_chars > 1000").select("doc_id", "n_chars", identity.content_id(F.concat(F.lit("cached "), F.col("doc_id").cast("string"))).alias("h"))
     out = docs.select("doc_id", "n_chars", "text").join(known, ["doc_id", "n_chars"], "left")
     return out.select("doc_id", F.coalesce("h", identity.content_id(F.col("text"))).alias("asset_id"), F.col("h").isNotNull().alias("cached"))
 
@@ -648,12 +647,12 @@ def point_uuid5(spark, d):
     return _t(spark, d, "documents").select("doc_id", identity.point_id(F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))).alias("point_id"))
 
 
-@query("""WITH n AS (SELECT c_custkey AS asset_id, 'f' || (c_custkey % 700) AS path FROM customer WHERE c_custkey % 3 = 0), f AS (SELECT 'f' || k AS path, CAST(k AS VARCHAR) AS now FROM (SELECT DISTINCT c_custkey % 500 AS k FROM customer))
+@query("""WITH n AS (SELECT c_custkey AS asset_id, 'f' || (c_custkey % 700) AS path FROM customer), f AS (SELECT 'f' || k AS path, CAST(k AS VARCHAR) AS now FROM (SELECT DISTINCT c_custkey % 500 AS k FROM customer))
 SELECT CAST(n.asset_id AS VARCHAR) AS asset_id, CASE WHEN f.now IS NULL THEN 'file missing' WHEN f.now <> CAST(n.asset_id AS VARCHAR) THEN 'content changed' WHEN n.asset_id > 300 THEN 'out of index' ELSE 'current' END AS state FROM n LEFT JOIN f USING (path)""")
 def notes_state(spark, d):
     c = _t(spark, d, "customer")
     key = F.col("c_custkey")
-    notes = c.where("c_custkey % 3 = 0").select(key.cast("string").alias("asset_id"), F.concat(F.lit("f"), (key % 700).cast("string")).alias("path"))
+    notes = c.select(key.cast("string").alias("asset_id"), F.concat(F.lit("f"), (key % 700).cast("string")).alias("path"))
     files = c.select((key % 500).alias("k")).distinct().select(F.concat(F.lit("f"), F.col("k").cast("string")).alias("path"), F.col("k").cast("string").alias("sha256"))
     out = tables.notes_with_state(notes, c.where("c_custkey <= 300").select(key.cast("string").alias("asset_id")), files)
     return out.select("asset_id", "state")
