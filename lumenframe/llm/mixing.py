@@ -4,8 +4,8 @@ Every row has a 60-bit hash of its id.  A source takes whole copies of all its r
 many as fit its target, and then the rows whose hash lies below a threshold.  The
 threshold is found level by level: token sums by source and hash bucket (4096 buckets a
 level), the bucket in which the running sum would pass the budget, and then the same
-inside that bucket alone.  No row is sorted; a level reads only the rows of boundary
-buckets, and the rows are chosen by a filter.
+inside that bucket alone, until it holds one hash.  No row is sorted; a level reads only
+the rows of boundary buckets, and the rows are chosen by a filter.
 
 The threshold of a smaller budget is never above that of a larger one, so mixtures are
 nested.  Rows with equal ids share a hash and are taken or left together.
@@ -74,27 +74,35 @@ def thresholds(sizes: DataFrame, budgets: dict[str, float]) -> dict[str, int]:
     What is known of a source (its boundary so far and the sum before it) stands in the
     plan as a small table; one row a source returns from each level."""
     spark = sizes.sparkSession
-    state = {s: (b, 0, 0) for s, b in budgets.items()}  # budget, below, sum before it
-    few = len(state) <= MOST_BROADCAST
+    out = dict.fromkeys(budgets, 1 << (LEVEL_BITS * LEVELS))  # every row, unless a boundary is found
+    out |= {s: 0 for s, b in budgets.items() if b <= 0}
+    state = {s: (b, 0, 0) for s, b in budgets.items() if b > 0}  # budget, start of the boundary bucket, sum before it
     for level in range(LEVELS):
+        if not state:
+            break
         shift = LEVEL_BITS * (LEVELS - 1 - level)
         table = spark.createDataFrame([(s, *x) for s, x in state.items()], "src string, budget double, below long, sum long").coalesce(1)
-        rows = sizes.join(F.broadcast(table) if few else table, "src")
+        rows = sizes.join(F.broadcast(table) if len(state) <= MOST_BROADCAST else table, "src")
         if level:  # only the boundary bucket of each source
             rows = rows.where(F.shiftright("h", shift + LEVEL_BITS) == F.shiftright("below", shift + LEVEL_BITS))
-        sums = rows.groupBy("src", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("size"), F.first("budget").alias("budget"), F.first("sum").alias("sum"))
+        sums = rows.groupBy("src", F.shiftright("h", shift).alias("bucket")).agg(
+            F.sum("size").alias("size"), F.min("h").alias("low"), F.max("h").alias("high"), F.first("budget").alias("budget"), F.first("sum").alias("sum")
+        )
         run = sums.withColumn("run", F.col("sum") + F.sum("size").over(W.partitionBy("src").orderBy("bucket")))
         # the first bucket that doesn't fit is the boundary; before it everything is taken
-        first = run.where(F.col("run") > F.col("budget")).groupBy("src").agg(F.min_by(F.struct("bucket", "run", "size"), "bucket").alias("f"))
+        first = run.where(F.col("run") > F.col("budget")).groupBy("src").agg(F.min_by(F.struct("bucket", "run", "size", "low", "high"), "bucket").alias("f"))
         found = {r["src"]: r["f"] for r in first.collect()}
-        for s, (budget, below, before) in state.items():
+        asked, state = state, {}
+        for s, (budget, _, _) in asked.items():
             if (f := found.get(s)) is None:
-                state[s] = (budget, below if level else 1 << (LEVEL_BITS * LEVELS), before)
-                continue
+                continue  # all its rows fit
             before = f["run"] - f["size"]
-            nearer = level == LEVELS - 1 and f["run"] - budget < budget - before
-            state[s] = (budget, (f["bucket"] << shift) + nearer, before)
-    return {s: below for s, (_, below, _) in state.items()}
+            out[s] = f["bucket"] << shift
+            if f["low"] == f["high"]:  # one hash alone is the boundary: no finer level is needed
+                out[s] = f["low"] + (f["run"] - budget < budget - before)
+            else:
+                state[s] = (budget, out[s], before)
+    return out
 
 
 def _source_key(source: Column) -> Column:
