@@ -450,7 +450,7 @@ def lexical_coverage(spark, d):
     return t.select("item_id", F.round(T.coverage(q, F.col("text")), 6).alias("share"), F.array_join(T.matched(q, F.col("text")), ", ").alias("found"))
 
 
-@query(r"""WITH r AS (SELECT item_id, row_number() OVER (ORDER BY item_id) AS position, round(0.9 - CAST(item_id AS DOUBLE) / 100, 6) AS p FROM benchmark WHERE length(text) > 400),
+@query(r"""WITH r AS (SELECT item_id, row_number() OVER (ORDER BY item_id) AS position, round(0.9 - CAST(item_id AS DOUBLE) / 100, 6) AS p FROM benchmark WHERE length(text) > 230),
 h AS (SELECT item_id, round(CAST(len(list_intersect(['the', 'of', 'and', 'reading'], list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{Nl}\p{No}]+|\p{Nd}+'), lambda t: length(t) >= 2 OR regexp_matches(t, '^\p{Nd}'))))) AS DOUBLE) / 4, 6) AS c FROM benchmark),
 m AS (SELECT coalesce(r.item_id, h.item_id) AS item_id, greatest(coalesce(p, 0.0), coalesce(c, 0.0)) AS probability, c IS NOT NULL AS lexical, position FROM r FULL JOIN (SELECT * FROM h WHERE c >= 0.5) h ON r.item_id = h.item_id)
 SELECT item_id, probability, lexical, CAST(row_number() OVER (ORDER BY lexical DESC, CASE WHEN lexical THEN -probability END, position NULLS LAST, item_id) AS INTEGER) AS place FROM m""")
@@ -458,7 +458,7 @@ def lexical_merge_full_outer(spark, d):
     from pyspark.sql import Window as W
 
     b = _t(spark, d, "benchmark")
-    results = b.where("length(text) > 400").select("item_id", F.round(F.lit(0.9) - F.col("item_id") / F.lit(100.0), 6).alias("probability"), F.row_number().over(W.orderBy("item_id")).alias("position"))
+    results = b.where("length(text) > 230").select("item_id", F.round(F.lit(0.9) - F.col("item_id") / F.lit(100.0), 6).alias("probability"), F.row_number().over(W.orderBy("item_id")).alias("position"))
     out = lexical.merge_lexical(results, b.select("item_id", F.col("text").alias("ocr_text")), "item_id", "the of and reading")
     return out.select("item_id", "probability", "lexical", "place")
 
