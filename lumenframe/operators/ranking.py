@@ -15,6 +15,9 @@ from ..functions import vector
 #: channel, the least depth of a search and the factor for regions.
 RRF_K, CANONICAL_WEIGHT, MIN_DEPTH, REGION_FACTOR, FRAME_FACTOR = 60, 3.0, 120, 6, 2
 
+#: Buckets of one unit of score where ranks are counted without a sort.
+SCORE_BUCKETS = 4096
+
 
 def depth(limit: int, regions: bool) -> int:
     """How many rows a channel looks at; never less than MIN_DEPTH."""
@@ -56,11 +59,27 @@ def roll_up(regions: DataFrame, frames: DataFrame, scope: str = "auto", frame: s
     return out.select(frame, F.col(f"b.{key}").alias(key), (-F.col("b.s")).alias("score"), "siblings")
 
 
-def reciprocal_ranks(runs: DataFrame, key: str, channel: str = "channel", score: str = "score", weight: Column | None = None, digits: int = 10) -> DataFrame:
+def rank_in_channel(runs: DataFrame, key: str, channel: str = "channel", score: str = "score", pool: bool = True) -> DataFrame:
+    """Adds ``_rank``, the place from 0 by score, ties to the smaller key.
+
+    For a pool (bounded by a search depth) this is one window.  For any number of rows the
+    scores are cut into buckets: a row's place is the number of rows in higher buckets,
+    from a small histogram, plus its place in its own bucket; no task sees a whole channel.
+    """
+    if pool:
+        return runs.withColumn("_rank", F.row_number().over(W.partitionBy(channel).orderBy(F.desc(score), key)) - 1)
+    rows = runs.withColumn("_bucket", F.floor(F.col(score) * SCORE_BUCKETS))
+    sums = rows.groupBy(channel, "_bucket").agg(F.count("*").alias("_n"))
+    higher = F.sum("_n").over(W.partitionBy(channel).orderBy(F.desc("_bucket"))) - F.col("_n")
+    rows = rows.withColumn("_place", F.row_number().over(W.partitionBy(channel, "_bucket").orderBy(F.desc(score), key)) - 1)
+    out = rows.join(sums.withColumn("_higher", higher).drop("_n"), [channel, "_bucket"])
+    return out.withColumn("_rank", F.col("_higher") + F.col("_place")).drop("_bucket", "_place", "_higher")
+
+
+def reciprocal_ranks(runs: DataFrame, key: str, channel: str = "channel", score: str = "score", weight: Column | None = None, digits: int = 10, pool: bool = True) -> DataFrame:
     """(key, fused): the sum over channels of weight / (61 + rank from 0)."""
-    rank = F.row_number().over(W.partitionBy(channel).orderBy(F.desc(score), key)) - 1
-    share = (F.lit(1.0) if weight is None else weight) / (F.lit(float(RRF_K + 1)) + rank)
-    return runs.withColumn("_s", share).groupBy(key).agg(F.round(F.sum("_s"), digits).alias("fused"))
+    share = (F.lit(1.0) if weight is None else weight) / (F.lit(float(RRF_K + 1)) + F.col("_rank"))
+    return rank_in_channel(runs, key, channel, score, pool).withColumn("_s", share).groupBy(key).agg(F.round(F.sum("_s"), digits).alias("fused"))
 
 
 def fuse_by_key(runs: DataFrame, key: str, canonical: object, limit: int, channel: str = "channel", score: str = "score") -> DataFrame:
@@ -72,12 +91,12 @@ def fuse_by_key(runs: DataFrame, key: str, canonical: object, limit: int, channe
     return fused.join(shown, key).orderBy(F.desc("fused"), key).limit(limit)
 
 
-def fuse_by_frame(runs: DataFrame, frame: str, canonical: object, channel: str = "channel", score: str = "score", key: str = "point_id") -> DataFrame:
+def fuse_by_frame(runs: DataFrame, frame: str, canonical: object, channel: str = "channel", score: str = "score", key: str = "point_id", pool: bool = True) -> DataFrame:
     """Ranks over distinct frames: only a frame's best row of a channel counts."""
     best = F.row_number().over(W.partitionBy(channel, frame).orderBy(F.desc(score), key))
     first = runs.where(F.col(frame).isNotNull()).withColumn("_n", best).where("_n = 1").drop("_n")
     weight = F.when(F.col(channel) == canonical, CANONICAL_WEIGHT).otherwise(1.0)
-    return reciprocal_ranks(first, frame, channel, score, weight)
+    return reciprocal_ranks(first, frame, channel, score, weight, pool=pool)
 
 
 def fuse_evidence(results: DataFrame, position: str = "position", digits: int = 10) -> DataFrame:

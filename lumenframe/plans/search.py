@@ -110,7 +110,7 @@ class Searcher:
             if fly:
                 boost = mine.select("point_id", F.round(FLY_WEIGHT * sum(fly, F.lit(0.0)), 6).alias("boost"))
                 runs = runs.join(boost, "point_id").withColumn("score", F.col("score") + F.col("boost")).drop("boost")
-            fused = ranking.fuse_by_frame(runs, "frame_id", canonical).withColumnRenamed("fused", "score")
+            fused = ranking.fuse_by_frame(runs, "frame_id", canonical, pool=False).withColumnRenamed("fused", "score")
             near = F.round(vector.dot(F.col(self.vector_col), vector.literal(vectors[canonical])), 6)
             sure = facets.confidence({k: v for k, v in conditions.items() if k in known}, mine.columns)
             shown = mine.select("frame_id", F.struct(near.alias("s"), "point_id", sure.alias("c")).alias("x")).groupBy("frame_id").agg(F.max("x").alias("x"))
@@ -123,7 +123,7 @@ class Searcher:
         no = [e.conditions() for e in parsed.must_not] + list(exclusions)
         if hits is None:
             runs = self._channels(rows, vectors, None)
-            hits = ranking.fuse_by_frame(runs, "frame_id", canonical).withColumnRenamed("fused", "score").withColumn("entity_confidence", F.lit(None).cast("double"))
+            hits = ranking.fuse_by_frame(runs, "frame_id", canonical, pool=False).withColumnRenamed("fused", "score").withColumn("entity_confidence", F.lit(None).cast("double"))
         return predicates.without(hits, self.banned(no, known, hits), "frame_id"), unknown
 
     def dense(self, vectors: np.ndarray, canonical: int, depth: int, scope: str, extra: Column | None) -> DataFrame:

@@ -210,3 +210,11 @@ def test_metrics_by_hand(spark):
     assert inverted["q"] is True
     with pytest.raises(ValueError):
         metrics.evaluate(ranked, truth, 0)
+
+
+def test_ranks_by_buckets_are_the_window(spark):
+    r = random.Random(9)
+    rows = [(i % 3, i, round(r.gauss(0, 0.3), 2)) for i in range(900)]
+    df = spark.createDataFrame(rows, "channel int, k int, score double")
+    told = lambda pool: sorted((x.channel, x.k, x._rank) for x in ranking.rank_in_channel(df, "k", pool=pool).collect())
+    assert told(True) == told(False)
