@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.spread import spread
 
@@ -83,6 +85,27 @@ def in_small_batches(df: DataFrame, rows: int = 256) -> DataFrame:
     return spread(df)
 
 
+def numbered_rows(docs: DataFrame, id_col: str, text_col: str, run: Callable, added: str) -> DataFrame:
+    """(row, id, n, digest and the columns ``added``) of each row: the row as a struct, its
+    id, a number and a digest of its content.  ``run`` gets batches of row, id and text and
+    appends its columns.  To be written before use: numbers change when computed again."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    schema = StructType([*rows.schema.fields, *StructType.fromDDL(added).fields])
+    out = in_small_batches(rows).mapInArrow(run, schema).drop("text")
+    return out.withColumn("digest", F.xxhash64("row")).withColumn("n", F.monotonically_increasing_id())
+
+
+def one_of_each_part(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """The rows of ``numbered_rows`` (column ``fp``) that stay when each part keeps one: that of
+    the smallest id, rows without one last, rows that share it by a digest of their content.
+    ``parts``: (node, part) of linked fingerprints; any other is a part of its own."""
+    order = F.struct(F.col("id").isNull().alias("nameless"), "id", "digest", "n")
+    least = rows.groupBy("fp").agg(F.min(order).alias("first"))
+    of = least.join(parts, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("part", "fp").alias("part"))
+    kept = of.agg(F.min("first").alias("first")).select("first.n")
+    return rows.join(kept, "n", "left_semi").select("row.*")
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """crc32 of the id's decimal text, modulo 4, is 2 (null id: false)."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, in_small_batches, materialise
+from .common import connected_components, in_small_batches, materialise, numbered_rows, one_of_each_part
 
 SEED = 42
 BITS = 64
@@ -146,19 +146,24 @@ def hamming_links(nodes: DataFrame, max_distance: int = 4, segments: tuple = THR
     return asked.join(held, ["seg", "key"]).where(near).select("a", "b").distinct()
 
 
+def parts_of(nodes: DataFrame, max_distance: int = 4) -> DataFrame:
+    """(node, part) of each linked fingerprint of ``nodes`` (one row per fingerprint ``fp``);
+    part is the smallest fingerprint reachable over links."""
+    spark: SparkSession = nodes.sparkSession
+    segments = THREE_SEGMENTS if max_distance == 4 and nodes.count() <= SMALL_TABLE else TWO_SEGMENTS
+    stars = materialise(star_links(nodes, max_distance, segments), "star_links")
+    known = nodes.join(connected_components(spark, stars), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("part", "fp").alias("part"))
+    known = materialise(known, "known_parts")
+    links = materialise(hamming_links(known, max_distance, segments), "links")
+    return connected_components(spark, links.unionByName(stars))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4) -> DataFrame:
     """One row per document: ``id_col``, ``fingerprint`` (16 hex digits), ``component_id``
     (smallest id reachable over links, its own included)."""
-    spark: SparkSession = docs.sparkSession
     fps = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = materialise(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct_fingerprints")
-    segments = THREE_SEGMENTS if max_distance == 4 and nodes.count() <= SMALL_TABLE else TWO_SEGMENTS
-    stars = materialise(star_links(nodes, max_distance, segments), "star_links")
-    known = nodes.join(connected_components(spark, stars), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("part", "fp").alias("part"))
-    known = materialise(known, "known_parts")
-    links = materialise(hamming_links(known, max_distance, segments), "links")
-    parts = connected_components(spark, links.unionByName(stars))
-    label = nodes.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("part", "fp").alias("part"))
+    label = nodes.join(parts_of(nodes, max_distance), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("part", "fp").alias("part"))
     label = materialise(label, "parts")
     least = label.groupBy("part").agg(F.min("least").alias("component_id"))
     of = label.join(least, "part").select("fp", "component_id")
@@ -167,22 +172,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4) -> DataFrame:
     """One row of each group of near copies: that of the group's smallest id.
 
-    Rows that share this id are told apart by their content, so one of them stays; a group
-    whose rows all lack an id keeps one of them in the same way.
+    Groups are told apart by their fingerprints, so an id that stands in several groups is
+    kept once in each where it is the smallest.  Rows of a group that share this id are told
+    apart by their content; a group whose rows all lack an id keeps one of them in that way.
     """
-    classes = near_duplicates(docs, id_col, text_col, **how).select(F.col(id_col).alias("_id"), F.col("component_id").alias("_part"))
-    classes = materialise(classes, "classes")
-    named = classes.where(F.col("_id") == F.col("_part")).select("_id").distinct()
-    kept = docs.join(named, docs[id_col] == named["_id"], "left_semi")
-    first = F.struct(*[F.col(c) for c in docs.columns])
-    out = kept.groupBy(F.col(id_col).alias("_id")).agg(F.min(first).alias("_row"))
-    if classes.where("_part is null").isEmpty():
-        return out.select("_row.*")
-    numbered = materialise(docs.where(F.col(id_col).isNull()).withColumn("_n", F.monotonically_increasing_id()), "without_ids")
-    lone = near_duplicates(numbered, "_n", text_col, **how).groupBy("fingerprint").agg(F.min("component_id").alias("_n"))
-    named_too = near_duplicates(docs, id_col, text_col, **how).where("component_id is null").select("fingerprint").distinct()
-    first_ones = lone.join(named_too, "fingerprint", "left_semi").select("_n").distinct()  # groups without any id
-    return out.select("_row.*").unionByName(numbered.join(first_ones, "_n", "left_semi").drop("_n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.int64())], ["row", "id", "text", "fp"])
+
+    rows = materialise(numbered_rows(docs, id_col, text_col, run, "fp long"), "fingerprinted_rows")
+    nodes = materialise(rows.select("fp").distinct(), "distinct_fingerprints")
+    return one_of_each_part(rows, parts_of(nodes, max_distance))

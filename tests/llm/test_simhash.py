@@ -115,3 +115,11 @@ def test_keep_one(make_docs):
     assert got == want
     nameless = [(None, "x y z w v"), (None, "x y z w v"), (None, "other words stand in here"), (1, "p q r s")]
     assert simhash.keep_one(make_docs(nameless)).count() == 3
+
+
+def test_keep_one_tells_texts_of_one_id_apart(make_docs):
+    a, b = "the text that stands here is a copy", "quite another matter is told in these words"
+    got = lambda rows: sorted((r.doc_id, r.text) for r in simhash.keep_one(make_docs(rows, clash=True)).collect())
+    assert got([(5, a), (5, b)]) == sorted([(5, a), (5, b)])
+    assert got([(3, a), (5, a), (5, b)]) == sorted([(3, a), (5, b)])
+    assert len(got([(7, f"text {i} " * 5) for i in range(40)] * 2)) == 40
