@@ -1,7 +1,8 @@
 """Secret scans: pattern candidates, judged by a random forest.
 
-Candidates are assignments to a secret-like name, long runs of letters and digits with a
-digit, and private key blocks.  A random forest removes false positives; its features
+Candidates are assignments to a secret-like name (any of ``SECRET_NAMES``; quoted values up to
+their closing quote), what follows such a name by a space unless it is a plain word, long
+runs of letters and digits with a digit, and private key blocks.  A random forest removes false positives; its features
 are the candidate's length and alphabet, its character transitions, how much of it a
 dictionary covers, the path of the document, and the words about it.
 
@@ -43,8 +44,14 @@ DICTIONARY = tuple(
     "module package import export return false true null none todo fixme dummy fake placeholder redacted hidden".split()
 )
 _RUN = re.compile(r"(?<![A-Za-z0-9_+/\-])[A-Za-z0-9_+/\-]{16,}+={0,2}")
-_NAMED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|credentials?)[\"']?[ \t]*[:=][ \t]*[\"']?([^\s\"',;<>]{6,})")
-_HINTS = ("token", "secret", "passw", "pwd", "key", "credential")
+_NAME = "|".join(dict.fromkeys(re.sub("[_-]", "[_-]?", n) for n in sorted(SECRET_NAMES, key=len, reverse=True))) + "|credentials"
+#: A name and its value: up to the closing quote, or else up to a space or separator.  The
+#: value stands in a look-ahead, since it can be the name of the next one.
+_NAMED = re.compile(rf"(?i)(?:{_NAME})(?=[\"']?[ \t]*[:=][ \t]*(?:\"((?:\\.|[^\"\\\n]){{6,}})\"|'((?:\\.|[^'\\\n]){{6,}})'|[\"']?([^\s\"',;<>]{{6,}})))")
+#: A name and its value by a space, as in ``Bearer ...``; plain words aren't values.
+_SPACED = re.compile(rf"(?i)(?:{_NAME})(?=[ \t]+([^\s\"',;<>]{{6,}}))")
+_PLAIN = re.compile(r"[^\W\d_]?[^\W\d_A-Z]*(?:[-./:()][^\W\d_]?[^\W\d_A-Z]*)*[!?]*")
+_HINTS = tuple(dict.fromkeys(re.split("[_-]", n)[-1] for n in SECRET_NAMES))
 _BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----")
 #: Characters of text on each side that the features read.
 NEAR = 40
@@ -66,7 +73,8 @@ def candidates(text: str | None) -> list[tuple[int, int]]:
     spans = [m.span() for m in _BLOCK.finditer(text)] if "-----BEGIN" in text else []
     low = text.lower()
     if any(h in low for h in _HINTS):
-        spans += [m.span(1) for m in _NAMED.finditer(text)]
+        spans += [m.span(m.lastindex) for m in _NAMED.finditer(text)]
+        spans += [m.span(1) for m in _SPACED.finditer(text) if not _PLAIN.fullmatch(m.group(1))]
     for m in _RUN.finditer(text):
         s = m.group()
         if any(c.isdigit() for c in s):

@@ -214,6 +214,24 @@ def test_forest_on_findings_it_has_not_seen():
     assert right > 0.95
 
 
+def test_every_positive_is_a_candidate():
+    for t in secrets.labelled_findings(3000, seed=5):
+        if t.label:
+            at, text = len(t.before), t.before + t.value + t.after
+            assert any(a <= at and b >= at + len(t.value) for a, b in secrets.candidates(text)), text
+    key = "k3$Tq9!xPz2"
+    quoted = {f'{n} = "{v}"': v for n in secrets.SECRET_NAMES for v in (key, "ab,k3Tq9xPz2", "ab;k3'Tq9<xPz2")}
+    for text, value in (quoted | {"Authorization: Bearer k3Tq9.xPz2Lm": "k3Tq9.xPz2Lm", f"auth: bearer {key}": key, f"secret: access_key = '{key}'": key}).items():
+        assert value in [text[a:b] for a, b in secrets.candidates(text)], text
+    assert secrets.candidates("the author: told; a token economy, the secret garden. auth = no") == []
+
+
+def test_named_secrets_are_redacted(make_docs):
+    texts = ['auth = "k3$Tq9!xPz2" end', 'private_key = "k3$Tq9!xPz2" end', 'bearer = "k3$Tq9!xPz2" end', "Authorization: Bearer k3Tq9.xPz2Lm end", 'password = "ab,k3Tq9xPz2" end']
+    out = [r.text for r in secrets.redact(make_docs(list(enumerate(texts)))).orderBy("doc_id").collect()]
+    assert all("[secret]" in t and "Pz2" not in t and t.endswith("end") for t in out), out
+
+
 def test_planted_tokens_are_found(spark, mid):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{mid}/documents.parquet").collect()}
     out = {r.doc_id: r for r in queries.op2_secret_scans(spark, mid).collect()}
