@@ -86,12 +86,15 @@ def gap_threshold(rows: DataFrame, raw: str) -> DataFrame:
     """One row (threshold): the middle of the widest gap among the highest values.
 
     No positive value: 0.  The gap is looked for in the first 25 %, then 60 %, of the
-    corpus; one below MIN_GAP counts as none, and then the threshold is null.
+    corpus; one below MIN_GAP counts as none, and then the threshold is null.  Equal values
+    are counted first, so the window holds distinct values, not rows.
     """
     total = rows.agg(F.count("*").alias("n"))
     # only positive values are ordered; the closing zero stands for the rest
-    pos = rows.where(F.col(raw) > 0).select(F.col(raw).alias("v")).unionByName(rows.sparkSession.range(1).select(F.lit(0.0).alias("v")))
-    spread = pos.withColumn("i", F.row_number().over(W.orderBy(F.desc("v"))) - 1).withColumn("below", F.lead("v").over(W.orderBy(F.desc("v"))))
+    pos = rows.where(F.col(raw) > 0).groupBy(F.col(raw).alias("v")).agg(F.count("*").alias("c"))
+    pos = pos.unionByName(rows.sparkSession.range(1).select(F.lit(0.0).alias("v"), F.lit(1).cast("long").alias("c")))
+    # the last row of each value is the one above a gap
+    spread = pos.withColumn("i", F.sum("c").over(W.orderBy(F.desc("v"))) - 1).withColumn("below", F.lead("v").over(W.orderBy(F.desc("v"))))
     spread = spread.join(F.broadcast(total), how="cross").withColumn("gap", F.col("v") - F.col("below"))
     last = spread.agg(F.max("i").alias("last"))
     spread = spread.join(F.broadcast(last), how="cross").where("below is not null")

@@ -30,8 +30,6 @@ from .search import BACKGROUND, Searcher
 
 FRAME = "point_id string, frame_id string, asset_id string, media_type string, ts_ms long, shot_id string, path string, indexed_at long, source_damaged boolean, ocr_text string, vector array<double>"
 REGION = "point_id string, frame_id string, asset_id string, path string, media_type string, ts_ms long, shot_id string, region_type string, label string, bbox array<double>, area_ratio double, indexed_at long, vector array<double>"
-#: A threshold is learned from at most so many rows.
-SAMPLE = 5000
 
 
 def default_prototypes(embedder, names: Sequence[str] = CATEGORIES, attributes: Sequence[str] = PERSON_ATTRIBUTES) -> list[facets.Prototype]:
@@ -112,8 +110,7 @@ class Index:
             if not facets.needs_refresh(told["n"], n):
                 return told["threshold"]
         scale, bias = self.embedder.calibration
-        few = rows if n <= SAMPLE else rows.where(F.pmod(F.xxhash64("point_id"), F.lit(1 << 20)) < int(SAMPLE / n * (1 << 20)))
-        raw = few.select(F.round(facets.raw_score(p, F.col("vector"), scale, bias), 6).alias("raw"))
+        raw = rows.select(F.round(facets.raw_score(p, F.col("vector"), scale, bias), 6).alias("raw"))
         cut = facets.gap_threshold(raw, "raw").first()["threshold"]
         self.catalog.upsert("meta", self.spark.createDataFrame([(key, json.dumps({"n": n, "threshold": cut}))], tables.SCHEMAS["meta"]))
         return cut

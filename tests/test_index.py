@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from lumenframe import cli
 from lumenframe.operators import facets
@@ -100,3 +101,21 @@ def test_command_line(index, spark, tmp_path, capsys):
     (tmp_path / "assets.jsonl").write_text('{"asset_id":"x","path":"p"}\n')
     (tmp_path / "queries.jsonl").write_text('{"query_id":"1","text":"t","relevant":["y"]}\n')
     assert cli.main(["golden", str(tmp_path / "assets.jsonl"), str(tmp_path / "queries.jsonl")], spark) == 1 and "unknown relevant asset y" in capsys.readouterr().out
+
+
+def test_threshold_is_learned_from_all_rows(spark, tmp_path):
+    e = HashEmbedder()
+    i = Index(spark, str(tmp_path), e, profile("balanced"), prototypes=[])
+    p = default_prototypes(e, ("person",), ())[0]
+    near, n = [float(x) for x in p.positive], 12_000
+    rows = spark.range(n, numPartitions=4).select(F.col("id").cast("string").alias("point_id"), F.transform(F.array(*map(F.lit, near)), lambda x: x * F.when(F.col("id") >= n - 12, 0.5 + 0.02 * (F.col("id") - n + 12)).otherwise(F.col("id") / n * 0.3)).alias("vector"))
+    scale, bias = e.calibration
+    raw = rows.select(F.round(facets.raw_score(p, F.col("vector"), scale, bias), 6).alias("raw"))
+    values = sorted((r.raw for r in raw.where("raw > 0").collect()), reverse=True) + [0.0]
+    want = None
+    for share in facets.GAP_SHARES:
+        head = max(1, min(len(values) - 1, int(n * share) + 1))
+        gap, at = max((values[k] - values[k + 1], -k) for k in range(head))
+        if want is None and gap >= facets.MIN_GAP:
+            want = (values[-at] + values[1 - at]) / 2
+    assert want is not None and i.corpus_threshold(p, rows) == pytest.approx(want, abs=1e-12)
