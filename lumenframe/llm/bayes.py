@@ -8,8 +8,11 @@ evidence plus what its site says beyond the global prior, its own share taken ou
 
 Rows
     null or empty text: all counts are zero; scored like any row.
-    null host or path: a site of its own ("no host", "no path").
-    null id: scored; it has no label.  Repeated ids and rows: each is scored and counts.
+    very long texts: counted whole.  Ties: scores depend on the row alone, in no order.
+    null host or path: a site of its own (shown as "no host", "no path"), apart from a site
+    that is really called so.
+    null id: scored; it has no label.  Repeated ids and rows: each is scored and counts
+    for its site; equal labelled rows count once for the evidence.
     without labels of both kinds the evidence is neutral (0.5 for every document).
     empty table: empty result.  Other columns are ignored, whatever their names.
 """
@@ -20,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, materialise
+from .common import bounded_sample, discard, materialise
 from .textstats import document_counts, ratios
 
 #: Bound on the labelled rows that the document model is fitted on.
@@ -74,17 +77,19 @@ def _strength(groups: DataFrame, prior: float) -> float:
 
 def quality_posterior(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, most: int = MOST_LABELLED) -> DataFrame:
     """(id, host, path, evidence, host_prior, site_prior, quality, kept) for every document."""
-    told = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(host, F.lit("no host")).alias("host"), F.coalesce(path, F.lit("no path")).alias("path"))
+    site = lambda c: F.to_json(F.struct(c.cast("string").alias("s")))  # noqa: E731  # null is a key of its own
+    told = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), site(host).alias("host"), site(path).alias("path"))
     counts = materialise(document_counts(told, "id", "text", ("host", "path")), "site_counts")
-    known = labels.where("quality is not null").select(F.col("doc_id").cast("long").alias("id"), (F.col("quality") != 0).cast("double").alias("good"))
+    known = labels.where("quality is not null").select(F.col("doc_id").cast("long").alias("id"), (F.col("quality") != 0).cast("double").alias("good")).distinct()
     names = list(_squashed())
-    pdf = bounded_sample(known.join(counts, "id"), "id", most).select("good", *[c.alias(k) for k, c in _squashed().items()]).toPandas()
+    rows = known.join(counts, "id").select("id", "good", *[c.alias(k) for k, c in _squashed().items()])
+    pdf = bounded_sample(rows, most).toPandas().sort_values(["id", "good", *names], kind="stable")
     w, centre, scale = fit_evidence(pdf[names].to_numpy(float), pdf["good"].to_numpy(float))
     z = F.lit(float(w[-1]))
     for k, weight, c, s in zip(names, w, centre, scale, strict=False):
         z = z + (_squashed()[k] - F.lit(float(c))) * F.lit(float(weight / s))
     rows = materialise(counts.select("id", "host", "path", (1 / (1 + F.exp(-z))).alias("evidence")), "evidence")
-
+    discard(counts)
     paths = materialise(rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("evidence").alias("s")), "paths")
     hosts = materialise(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s")), "hosts")
     total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
@@ -92,6 +97,8 @@ def quality_posterior(docs: DataFrame, labels: DataFrame, host: Column, path: Co
     kh, kp = _strength(hosts, prior), _strength(paths, prior)
     sites = paths.join(hosts.select("host", F.col("n").alias("hn"), F.col("s").alias("hs")), "host")
     sites = materialise(sites, "sites")
+    discard(paths)
+    discard(hosts)
     if sites.count() <= MOST_BROADCAST:
         sites = F.broadcast(sites)
     host_prior = (F.col("hs") - F.col("evidence") + kh * prior) / (F.col("hn") - 1 + kh)
@@ -99,4 +106,5 @@ def quality_posterior(docs: DataFrame, labels: DataFrame, host: Column, path: Co
     out = rows.join(sites, ["host", "path"]).withColumn("host_prior", host_prior).withColumn("site_prior", site_prior)
     odds = _logit(F.col("evidence")) + _logit(F.col("site_prior")) - _logit(F.lit(prior))
     out = out.withColumn("quality", 1 / (1 + F.exp(-odds))).withColumn("kept", F.col("quality") >= threshold)
-    return out.select(F.col("id").alias(id_col), "host", "path", "evidence", "host_prior", "site_prior", "quality", "kept")
+    name = lambda c, none: F.coalesce(F.get_json_object(c, "$.s"), F.lit(none)).alias(c)
+    return out.select(F.col("id").alias(id_col), name("host", "no host"), name("path", "no path"), "evidence", "host_prior", "site_prior", "quality", "kept")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -14,21 +15,24 @@ from ..operators.spread import spread
 
 #: Characters that separate words: space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of one long that are broadcast at most.
+MOST_BROADCAST = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
+    """The folder that all executors share: ``spark.checkpoint.dir`` of the session, or the
+    checkpoint folder that is set.
 
-    Only where neither that setting nor a checkpoint folder is given (single-machine
-    tests) a temporary folder is made and set as the checkpoint folder.
+    Only on a single machine (a local master) a temporary folder is made where neither is
+    given; on a cluster that is an error, since executors don't share their disks.
     """
     sc = spark.sparkContext
-    given = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    given = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not given:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lumenframe-"))
         given = sc.getCheckpointDir()
-        if not given:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="lumenframe-"))
-            given = sc.getCheckpointDir()
     return given.rstrip("/")
 
 
@@ -52,10 +56,12 @@ def sweep(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) -> None:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and return a scan of it.
 
-    This cuts lineage: a lost executor costs the tasks it held, not the table.
+    This cuts lineage: a lost executor costs the tasks it held, not the table.  A table that
+    isn't discarded before is removed when the session's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _files(spark, path, lambda fs, at: fs.deleteOnExit(at))
     df.write.option("compression", "zstd").parquet(path)  # no direct buffers, unlike the default
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
@@ -69,20 +75,26 @@ def discard(df: DataFrame) -> None:
     _written.remove(df.written_to)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def _files(spark: SparkSession, path: str, ask: Callable) -> object:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return ask(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    _files(spark, path, lambda fs, at: fs.delete(at, True))
+
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows, ``rows`` at most a batch, so that what is made of a batch of long
+    texts stays small however many rows Spark hands over at once."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
 
-def in_small_batches(df: DataFrame, rows: int = 256) -> DataFrame:
-    """The same rows, dealt out to idle cores if a plain scan leaves any; from here on the
-    session hands texts to Python in batches of ``rows`` rows at most, so that a batch of
-    long texts stays small."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(name)) <= rows:
-        conf.set(name, str(rows))
-    return spread(df)
+
+def in_arrow(df: DataFrame, run: Callable, schema: StructType | str, rows: int = 256) -> DataFrame:
+    """``mapInArrow`` over small slices, dealt out to idle cores if a plain scan leaves any."""
+    return spread(df).mapInArrow(lambda batches: run(slices(batches, rows)), schema)
 
 
 def numbered_rows(docs: DataFrame, id_col: str, text_col: str, run: Callable, added: str) -> DataFrame:
@@ -91,19 +103,25 @@ def numbered_rows(docs: DataFrame, id_col: str, text_col: str, run: Callable, ad
     appends its columns.  To be written before use: numbers change when computed again."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = StructType([*rows.schema.fields, *StructType.fromDDL(added).fields])
-    out = in_small_batches(rows).mapInArrow(run, schema).drop("text")
+    out = in_arrow(rows, run, schema).drop("text")
     return out.withColumn("digest", F.xxhash64("row")).withColumn("n", F.monotonically_increasing_id())
 
 
 def one_of_each_part(rows: DataFrame, parts: DataFrame) -> DataFrame:
     """The rows of ``numbered_rows`` (column ``fp``) that stay when each part keeps one: that of
     the smallest id, rows without one last, rows that share it by a digest of their content.
-    ``parts``: (node, part) of linked fingerprints; any other is a part of its own."""
+    ``parts``: (node, part) of linked fingerprints; any other is a part of its own.
+
+    The rows themselves aren't shuffled while the numbers of those that go can be broadcast."""
     order = F.struct(F.col("id").isNull().alias("nameless"), "id", "digest", "n")
     least = rows.groupBy("fp").agg(F.min(order).alias("first"))
     of = least.join(parts, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("part", "fp").alias("part"))
-    kept = of.agg(F.min("first").alias("first")).select("first.n")
-    return rows.join(kept, "n", "left_semi").select("row.*")
+    kept = materialise(of.agg(F.min("first").alias("first")).select("first.n"), "kept_numbers")
+    gone = materialise(rows.select("n").join(kept, "n", "left_anti"), "dropped_numbers")
+    discard(kept)
+    if gone.count() <= MOST_BROADCAST:
+        gone = F.broadcast(gone)
+    return rows.join(gone, "n", "left_anti").select("row.*")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -111,16 +129,27 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def bounded_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
-    """About ``bound`` rows at most, chosen by the hash of ``key`` alone.
+def bounded_sample(df: DataFrame, bound: int) -> DataFrame:
+    """About ``bound`` of the distinct rows, chosen by a hash of the whole row.
 
-    For fitting classifiers on labelled rows only.  All rows if there are fewer.
-    """
+    For fitting classifiers on labelled rows only.  All distinct rows if there are fewer; equal
+    rows count once, so neither copies nor a key with many rows pass the bound."""
+    df = df.distinct()
     n = df.count()
     if n <= bound:
         return df
-    share = bound / n
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return df.where(F.pmod(F.xxhash64(*df.columns, F.lit("sample")), F.lit(1 << 30)) < int(bound / n * (1 << 30)))
+
+
+def bounded_texts(df: DataFrame, bound: int, text_col: str = "text") -> DataFrame:
+    """``bounded_sample`` for rows with a whole text: copies are told by a hash, and only the
+    sample's own texts are shuffled, one of a partition's copies each."""
+    others = [c for c in df.columns if c != text_col]
+    keyed = df.withColumn("h", F.xxhash64(*df.columns))
+    n = keyed.select("h").distinct().count()
+    if n > bound:
+        keyed = keyed.where(F.pmod(F.xxhash64("h", F.lit("sample")), F.lit(1 << 30)) < int(bound / n * (1 << 30)))
+    return keyed.groupBy("h", *others).agg(F.first(text_col).alias(text_col)).select(*df.columns)
 
 
 def connected_components(spark: SparkSession, links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -133,6 +162,8 @@ def connected_components(spark: SparkSession, links: DataFrame, most_rounds: int
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = materialise(edges, "edges")
+    if edges.isEmpty():
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("part"))
     mark = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -1,19 +1,23 @@
-"""Near copies: texts whose sets of word shingles have a Jaccard similarity of 0.8 or more.
-
-A 64-bit fingerprint of two texts of similarity 0.8 differs in about ten bits, and segments
-with radii that cover so many are too short to leave anything out.  So candidates come from
-MinHash: each set has 32 bands of four minima, and sets that share a band are compared (two
-sets of similarity 0.8 share none with a chance of 5e-8).  Each candidate pair is then
-checked on the complete shingle sets, so texts below the similarity are never linked.
-
-As in ``simhash``, a first pass compares each set with the smallest one of its band; the
-second compares only sets of different parts, so a group of n near copies costs about n
+"""Near copies for ``simhash.keep_one``: word shingle sets of a Jaccard similarity of 0.8 or more.
+
+First SimHash: fingerprints of the texts that link by multi-index hashing are candidates, and
+each candidate pair is checked on the complete shingle sets, so texts below the similarity
+are never linked.  The 64-bit fingerprints of two texts of similarity 0.8 differ in about ten
+bits, though, and segments with radii that cover so many are too short to leave anything out
+(four of 16 bits with radius 3: 2800 probes, each met by a 65 536th of all rows).  So the
+index has further keys for what lies beyond: each set has 32 bands of four minima, and sets
+of different parts that share a band are compared too (two sets of similarity 0.8 share none
+with a chance of 5e-8).
+
+A first pass over the bands compares each set with the smallest one of its band, the second
+compares only sets of parts that are still apart, so a group of n near copies costs about n
 comparisons.  Everything works on *distinct* shingle sets, so exact copies are one node.
 
 Rows
     null text or a text without words: the empty set, a group of its own.
     fewer words than a shingle: the whole word sequence is the only shingle.
-    null ids, repeated rows and ids, other columns: as in ``simhash.keep_one``.
+    very long texts: whole.  Ties, null ids, repeated rows and ids, other columns: as in
+    ``simhash.keep_one``.
 """
 
 from __future__ import annotations
@@ -27,8 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, in_small_batches, materialise, numbered_rows, one_of_each_part
-from .simhash import shingle_hashes
+from .common import connected_components, discard, in_arrow, materialise, numbered_rows, one_of_each_part
+from .simhash import fingerprint_of, links_of, shingle_hashes
 
 SIMILARITY, SHINGLE = 0.8, 5
 BANDS, MINIMA = 32, 4
@@ -87,10 +91,10 @@ def _similar(pairs: DataFrame, texts: DataFrame, least: float, shingle: int) ->
                 told.append(similarity(known[a], np.unique(shingle_hashes(y, shingle))) >= least)
             yield batch.select([0, 1]).filter(pa.array(told, pa.bool_()))
 
-    return in_small_batches(rows).mapInArrow(run, "a long, b long")
+    return in_arrow(rows, run, "a long, b long")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, shingle: int = SHINGLE, max_distance: int = 4) -> DataFrame:
     """One row of each group of near copies: that of the group's smallest id.  Groups are
     connected over pairs of at least the similarity ``least`` (0.8 or more)."""
     if least < SIMILARITY:
@@ -99,25 +103,50 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(shingle_hashes(t, shingle)) for t in b.column(2).to_pylist()]
-            cols = [pa.array([_signed(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *cols], ["row", "id", "text", "fp", "bands"])
+            all_ = [shingle_hashes(t, shingle) for t in b.column(2).to_pylist()]
+            sets = [np.unique(h) for h in all_]
+            sims = np.array([fingerprint_of(h) for h in all_], np.uint64).view(np.int64)
+            cols = [pa.array([_signed(s) for s in sets], pa.int64()), pa.array(sims, pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], ["row", "id", "text", "fp", "sim", "bands"])
 
-    rows = materialise(numbered_rows(docs, id_col, text_col, run, "fp long, bands array<long>"), "shingled_rows")
-    firsts = materialise(rows.groupBy("fp").agg(F.min("n").alias("n")), "distinct_sets")
-    keyed = rows.select("n", "fp", "bands").join(firsts.select("n"), "n", "left_semi").select("fp", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("key", "a")
-    shared = materialise(keyed.join(shared, "key"), "shared_bands")
+    rows = materialise(numbered_rows(docs, id_col, text_col, run, "fp long, sim long, bands array<long>"), "shingled_rows")
+    firsts = materialise(rows.groupBy("fp").agg(F.min(F.struct("n", "sim")).alias("x")).select("fp", "x.n", "x.sim"), "distinct_sets")
 
     def similar(pairs: DataFrame, name: str) -> DataFrame:
         pairs = materialise(pairs, f"{name}_pairs")
+        if pairs.isEmpty():
+            return pairs
         asked = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(firsts, "fp").select("n")
         texts = materialise(rows.join(asked, "n", "left_semi").select("fp", F.col("row")[text_col].cast("string").alias("text")), f"{name}_texts")
-        return materialise(_similar(pairs, texts, least, shingle), f"{name}_links")
+        out = materialise(_similar(pairs, texts, least, shingle), f"{name}_links")
+        discard(pairs)
+        discard(texts)
+        return out
+
+    def with_part(sets: DataFrame, parts: DataFrame) -> DataFrame:
+        return sets.join(parts, F.col("fp") == F.col("node"), "left").drop("node").withColumn("part", F.coalesce("part", "fp"))
+
+    # fingerprints: sets of one fingerprint with the smallest of them, and these over the links
+    sims = materialise(firsts.groupBy("sim").agg(F.min("fp").alias("head")), "distinct_fingerprints")
+    near = links_of(sims.select(F.col("sim").alias("fp")), max_distance)
+    of = lambda x, y: sims.select(F.col("sim").alias(x), F.col("head").alias(y))
+    pairs = firsts.join(sims, "sim").where("head <> fp").select(F.col("head").alias("a"), F.col("fp").alias("b"))
+    pairs = pairs.unionByName(near.withColumnsRenamed({"a": "x", "b": "y"}).join(of("x", "a"), "x").join(of("y", "b"), "y").select("a", "b"))
+    links = similar(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "fingerprint")
+    discard(near)
+    discard(sims)
+
+    # bands: the smallest set of each with those that aren't in its part yet
+    keyed = rows.select("n", "fp", "bands").join(firsts.select("n"), "n", "left_semi").select("fp", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("key", "a")
+    shared = materialise(keyed.join(shared, "key"), "shared_bands")
+    parts = connected_components(spark, links)
+    heads = parts.select(F.col("node").alias("a"), F.col("part").alias("part_a"))
+    apart = with_part(shared, parts).join(heads, "a", "left").where(F.col("part") != F.coalesce("part_a", "a"))
+    links = links.unionByName(similar(apart.select("a", F.col("fp").alias("b")).distinct(), "star"))
 
-    stars = similar(shared.where("a <> fp").select("a", F.col("fp").alias("b")).distinct(), "star")
-    parts = connected_components(spark, stars)
-    held = shared.select("key", "fp").join(parts, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("part", "fp").alias("part"))
+    # bands whose sets are still in several parts: the pairs of different parts
+    held = with_part(shared.select("key", "fp"), connected_components(spark, links))
     apart = held.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("z")).where("a <> z").select("key")
     held = materialise(held.join(apart, "key", "left_semi"), "open_bands")
     here = held.select("key", "part").distinct()
@@ -125,5 +154,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     one = held.select("key", F.col("part").alias("p"), F.col("fp").alias("x"))
     other = held.select("key", F.col("part").alias("q"), F.col("fp").alias("y"))
     pairs = two.join(one, ["key", "p"]).join(other, ["key", "q"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = similar(pairs, "other")
-    return one_of_each_part(rows, connected_components(spark, links.unionByName(stars)))
+    links = links.unionByName(similar(pairs, "other"))
+    discard(shared)
+    discard(held)
+    discard(firsts)
+    return one_of_each_part(rows, connected_components(spark, links))

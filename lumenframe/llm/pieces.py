@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_small_batches
+from .common import in_arrow
 
 SPACE = "▁"
 #: Units kept a worker, and their longest length in characters.
@@ -319,7 +319,7 @@ def tokenise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([few.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())], ["id", "ids", "decoded"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return in_small_batches(rows).mapInArrow(run, "id long, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    return in_arrow(rows, run, "id long, ids array<int>, decoded string").withColumnRenamed("id", id_col)
 
 
 def decode_ids(rows: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

@@ -54,7 +54,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hosts are the sources; a path is a source's section in one language."""
     docs = _table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("no host")), F.coalesce("lang", F.lit("-")))
+    path = F.to_json(F.struct("source", "lang"))
     return bayes.quality_posterior(docs, _table(spark, sf_dir, "labels"), F.col("source"), path)
 
 
@@ -96,6 +96,7 @@ WITH v AS (
   SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS at,
          unnest(list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))) AS x
   FROM v
+  UNION ALL SELECT vec_id, 0, 0 FROM v  -- a vector without components scores zero
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
   FROM c AS q JOIN c ON q.at = c.at AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, c.vec_id
@@ -125,7 +126,7 @@ FROM u LEFT JOIN m ON m.page_id = u.page_id AND m.host = u.host AND m.path = u.p
 WITH d AS (
   SELECT doc_id, source, coalesce(source, '') AS s, source IS NULL AS no_s,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS h
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(md5(text), 'null')), 1, 15) AS BIGINT) AS h
   FROM documents
 ), t AS (
   SELECT s, no_s, CAST(sum(size) AS BIGINT) AS source_size,
@@ -149,12 +150,11 @@ WITH d AS (
   SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE least(CAST(floor(target / source_size) AS INTEGER), 2) END AS whole FROM g
 ), c AS (
   SELECT d.doc_id, d.size, b.source_size, b.target, b.whole, b.target - b.whole * b.source_size AS budget,
-         CAST(sum(d.size) OVER (PARTITION BY d.s, d.no_s ORDER BY d.h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS run,
-         CAST(sum(d.size) OVER (PARTITION BY d.s, d.no_s, d.h) AS BIGINT) AS tie
+         CAST(sum(d.size) OVER (PARTITION BY d.s, d.no_s ORDER BY d.h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS run
   FROM d JOIN b ON d.s = b.s AND d.no_s = b.no_s
 )
 SELECT doc_id, size, source_size, target,
-       CAST(size * (whole + CASE WHEN whole < 2 AND (run <= budget OR run - budget < budget - (run - tie)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+       CAST(size * (whole + CASE WHEN whole < 2 AND (run <= budget OR run - budget < budget - (run - size)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM c
 """,
 }

@@ -1,8 +1,8 @@
 """Quality rules: decision lists learned by sequential covering.
 
 Each rule is a short conjunction of thresholds over text statistics.  Rules are grown
-one condition at a time on two thirds of the labelled rows (highest information gain),
-pruned on the remaining third (drop last conditions while (p - n) / (p + n) doesn't
+one condition at a time on two thirds of the labelled rows (highest information gain; rows
+of equal statistics, such as copies, stand on one side), pruned on the remaining third (drop last conditions while (p - n) / (p + n) doesn't
 fall), kept while they are precise enough there, and the rows they cover are set aside.
 Thresholds are moved to the middle of the gap between what they hold and keep out.
 The list becomes one ordered ``CASE WHEN`` expression, so that judging documents is a
@@ -11,7 +11,8 @@ plain projection.
 Rows
     null or empty text: all counts are zero; the base rule rejects it.
     null id: judged like any row; it has no label.
-    repeated ids and repeated rows: each row is judged; each labelled row counts.
+    very long texts: counted whole.  Ties between conditions: the first statistic and cut.
+    repeated ids and repeated rows: each row is judged; equal labelled rows count once.
     null labels are left out; without labels of both kinds the list is empty and only
     the base rule rejects.  Empty table: empty result.
     other columns of the input are ignored, whatever their names.
@@ -22,6 +23,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,10 +130,12 @@ def _centre(rule: Rule, x: dict[str, np.ndarray], y: np.ndarray) -> None:
 
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, most_rules: int = 12, most_conditions: int = 4, precision: float = 0.8, least: int = 3) -> DecisionList:
     """A list of rules for ``bad`` rows.  ``precision``: what a rule must reach on the
-    rows kept apart for pruning.  The split depends on the row's position alone."""
+    rows kept apart for pruning.  The split depends on a row's statistics alone, so copies
+    never stand on both sides."""
     out = DecisionList()
     bad = np.asarray(bad, bool)
-    grow = np.arange(len(bad)) % 3 != 2
+    table = np.column_stack([np.asarray(x[k], np.float64) for k in sorted(x)])
+    grow = np.array([xxhash.xxh64_intdigest(r.tobytes(), 1) % 3 != 2 for r in table], bool)
     left = np.ones(len(bad), bool)
     while len(out.rules) < most_rules:
         a, b = left & grow, left & ~grow
@@ -153,10 +157,11 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, most_rules: int = 12, most_
 
 def learn_from(counts: DataFrame, labels: DataFrame, label: str = "quality", label_id: str = "doc_id", most: int = MOST_LABELLED, **how) -> DecisionList:
     """Learn from labelled rows of ``document_counts`` (label 0: bad), ``most`` at most."""
-    known = labels.where(F.col(label).isNotNull()).select(F.col(label_id).cast("long").alias("id"), (F.col(label) == 0).alias("bad"))
-    rows = bounded_sample(known.join(counts, "id"), "id", most)
-    pdf = rows.select("id", "bad", *[c.alias(k) for k, c in ratios().items()]).toPandas().sort_values("id", kind="stable")
-    return learn({k: pdf[k].to_numpy(float) for k in ratios()}, pdf["bad"].to_numpy(bool), **how)
+    known = labels.where(F.col(label).isNotNull()).select(F.col(label_id).cast("long").alias("id"), (F.col(label) == 0).alias("bad")).distinct()
+    rows = known.join(counts, "id").select("id", "bad", *[c.alias(k) for k, c in ratios().items()])
+    names = list(ratios())
+    pdf = bounded_sample(rows, most).toPandas().sort_values(["id", "bad", *names], kind="stable")
+    return learn({k: pdf[k].to_numpy(float) for k in names}, pdf["bad"].to_numpy(bool), **how)
 
 
 def base_failed(min_words: int = 50, most_repeated: int = 50) -> Column:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_small_batches
+from .common import in_arrow
 
 #: The characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -86,7 +86,7 @@ def document_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).cast("string").alias(k) for c, k in zip(keep, kept, strict=True)])
     kind = "id long" + "".join(f", {k} string" for k in kept) + "".join(f", {c} long" for c in COUNTS)
-    out = in_small_batches(rows).mapInArrow(run, kind)
+    out = in_arrow(rows, run, kind)
     return out.withColumnsRenamed(dict(zip(kept, keep, strict=True)))
 
 

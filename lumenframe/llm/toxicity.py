@@ -1,15 +1,19 @@
 """Toxicity by a learned lexicon, Levenshtein automata over its trie and context windows.
 
 The lexicon (whole words and word beginnings) is learned from labelled rows outside the
-held-out fold: terms that mark toxic documents far beyond chance.  A word of a text is
+held-out fold: terms that mark toxic documents far beyond chance, as many as there are.
+Whole words that a beginning covers stay beside it as further forms, so that they are found
+misspelled too.  A word of a text is
 looked up by running its Levenshtein automaton against the lexicon's trie, which finds
 misspelled terms too.  Each hit is weighed by a window about it: inside quotation marks
 or near a reporting word it counts as a mention, not as abuse.  A logistic model over
-the weighed hits, fitted on the same rows, gives the score.
+the weighed hits and over the numbers of mentioned and of misspelled ones, fitted on the
+same rows, gives the score; so what a window is worth is learned too.
 
 Rows
     null or empty text: no hits; the score of a text without hits.
-    null ids are never held out; repeated rows: each is scored; repeated labels: each counts.
+    very long texts: read whole.  Ties between words of one distance: the stronger term.
+    null ids are never held out; repeated rows: each is scored; equal labelled texts count once.
     without labels of both kinds the lexicon is empty and every score is the toxic share
     (zero without labels).  Empty table: empty result.
     other columns are ignored, whatever their names.
@@ -30,10 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bayes import fit_evidence
-from .common import bounded_sample, held_out, in_small_batches, materialise
+from .common import bounded_sample, bounded_texts, discard, held_out, in_arrow, materialise
 
-#: Bounds of the fit: labelled documents read, candidate terms counted, terms kept.
-MOST_LABELLED, MOST_CANDIDATES, MOST_INCIDENT, MOST_TERMS = 12_000, 40_000, 2_000, 160
+#: Labelled documents read by the fit.
+MOST_LABELLED = 12_000
 #: Evidence (G squared) that a term needs.
 LEAST_RATIO = 14.0
 #: Word hashes kept of a text to tell near copies.
@@ -52,15 +56,16 @@ _WORD = re.compile(r"\w+")
 
 
 class Trie:
-    """Terms as nested nodes; a stem's node accepts every continuation."""
+    """Forms (text, it is a word beginning, its term) as nested nodes; a stem's node accepts
+    every continuation."""
 
-    def __init__(self, terms: Iterable[tuple[str, bool]] = ()):
+    def __init__(self, forms: Iterable[tuple[str, bool, int]] = ()):
         self.root: dict = {}
-        for i, (term, stem) in enumerate(terms):
+        for form, stem, term in forms:
             node = self.root
-            for c in term:
+            for c in form:
                 node = node.setdefault(c, {})
-            node.setdefault(None, []).append((i, len(term), stem))
+            node.setdefault(None, []).append((term, len(form), stem))
 
 
 def allowed(length: int, stem: bool) -> int:
@@ -111,21 +116,23 @@ def intersect(word: str, trie: Trie, edits: int = 2) -> tuple[int, int] | None:
 @dataclass
 class ToxicityModel:
     terms: list[tuple[str, bool]]  # (term, it is a word beginning)
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))  # by term, two sums, bias
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))  # by term, four sums, bias
     bias_only: float = -9.0
+    further: list[tuple[str, int]] = field(default_factory=list)  # (whole word, its term)
     _cache: dict = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
         self._prepare()
 
     def _prepare(self) -> None:
-        self.trie = Trie(self.terms)
-        self.exact = {t: i for i, (t, stem) in reversed(list(enumerate(self.terms))) if not stem}
-        self.stems = {t: i for i, (t, stem) in reversed(list(enumerate(self.terms))) if stem}
+        forms = [(t, stem, i) for i, (t, stem) in enumerate(self.terms)] + [(w, False, i) for w, i in self.further]
+        self.trie = Trie(forms)
+        self.exact = {t: i for t, stem, i in reversed(forms) if not stem}
+        self.stems = {t: i for t, stem, i in reversed(forms) if stem}
         self.stem_sizes = sorted({len(t) for t in self.stems}, reverse=True)
         # a word within d edits of a term holds one of d + 1 parts of the term, moved by d at most
         self.parts: dict[tuple[int, str], list[tuple[int, int]]] = {}
-        for t, stem in self.terms:
+        for t, stem, _ in forms:
             if d := allowed(len(t), stem):
                 cuts = [len(t) * k // (d + 1) for k in range(d + 2)]
                 sizes = (len(t) - d, len(t) + d if not stem else 1 << 30)
@@ -181,16 +188,21 @@ class ToxicityModel:
                 out.append((hit[1], value * (MENTIONED if _mentioned(low, m.start(), m.end(), quotes) else 1.0)))
         return len(words), out
 
-    def features(self, text: str | None) -> np.ndarray:
+    def features(self, text: str | None) -> dict[int, float]:
+        """The features that aren't zero, by place: terms, then four sums."""
         return self._features(*self.hits(text))
 
-    def _features(self, n: int, hits: list[tuple[int, float]]) -> np.ndarray:
-        x = np.zeros(len(self.terms) + 2)
+    def _features(self, n: int, hits: list[tuple[int, float]]) -> dict[int, float]:
+        if not hits:
+            return {}
+        sums: dict[int, float] = {}
         for i, v in hits:
-            x[i] += v
-        x[: len(self.terms)] = np.log1p(x[: len(self.terms)])
-        total = sum(v for _, v in hits)
-        x[-2], x[-1] = math.log1p(total), math.log1p(100 * total / max(n, 20))
+            sums[i] = sums.get(i, 0.0) + v
+        x = {i: math.log1p(v) for i, v in sums.items()}
+        total, at = sum(v for _, v in hits), len(self.terms)
+        x |= {at: math.log1p(total), at + 1: math.log1p(100 * total / max(n, 20))}
+        x[at + 2] = math.log1p(sum(v in (MENTIONED, MENTIONED * MISSPELLED) for _, v in hits))
+        x[at + 3] = math.log1p(sum(v in (MISSPELLED, MENTIONED * MISSPELLED) for _, v in hits))
         return x
 
     def judge(self, text: str | None) -> tuple[float, int]:
@@ -201,11 +213,11 @@ class ToxicityModel:
         elif not hits:
             z = float(self.weights[-1])
         else:
-            z = float(self._features(n, hits) @ self.weights[:-1] + self.weights[-1])
+            z = float(sum(v * self.weights[i] for i, v in self._features(n, hits).items()) + self.weights[-1])
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), len(hits)
 
     def __getstate__(self) -> dict:
-        return {"terms": self.terms, "weights": self.weights, "bias_only": self.bias_only}
+        return {"terms": self.terms, "weights": self.weights, "bias_only": self.bias_only, "further": self.further}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state, _cache={})
@@ -237,18 +249,22 @@ def _keys(text: str) -> set[str]:
 def likelihood_ratio(a: float, c: float, n_toxic: float, n_clean: float) -> float:
     """G squared of a term in ``a`` toxic and ``c`` clean documents; zero unless it is much
     more frequent in toxic ones."""
-    if (a + 0.5) / (n_toxic + 1) < 2.5 * (c + 0.5) / (n_clean + 1):
+    if not a or (a + 0.5) / (n_toxic + 1) < 2.5 * (c + 0.5) / (n_clean + 1):
         return 0.0
     p = (a + c) / (n_toxic + n_clean)
     return 2 * (a * math.log(max(a, 1e-9) / (n_toxic * p)) + (c * math.log(c / (n_clean * p)) if c else 0.0))
 
 
+def least_documents(n_toxic: int) -> float:
+    """Toxic documents that a term must stand in to be a candidate."""
+    return max(4, 0.004 * n_toxic)
+
+
 def candidate_terms(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> list[str]:
     """Keys that mark toxic documents beyond chance, the strongest first."""
-    least = max(4, 0.004 * n_toxic)
-    scored = [(g, k) for k, a in toxic.items() if a >= least and (g := likelihood_ratio(a, clean[k], n_toxic, n_clean)) > LEAST_RATIO]
+    scored = [(g, k) for k, a in toxic.items() if a >= least_documents(n_toxic) and (g := likelihood_ratio(a, clean[k], n_toxic, n_clean)) > LEAST_RATIO]
     scored.sort(key=lambda x: (-round(x[0], 6), x[1].endswith("*"), -len(x[1]), x[1]))
-    return [k for _, k in scored[:MOST_INCIDENT]]
+    return [k for _, k in scored]
 
 
 def _signature(text: str) -> list[int]:
@@ -271,13 +287,13 @@ def distinct_contents(signatures: list[list[int]], share: float = 0.5) -> list[i
     return out
 
 
-def choose_terms(keys: list[str], held: list[list[int]], clean: Counter, n_clean: int, most: int = MOST_TERMS) -> list[tuple[str, bool]]:
-    """The terms of the lexicon.  ``held``: candidate keys of each toxic document, near
-    copies left out.
+def choose_terms(keys: list[str], held: list[list[int]], clean: Counter, n_clean: int) -> tuple[list[tuple[str, bool]], list[tuple[str, int]]]:
+    """The terms of the lexicon, and whole words that its beginnings cover, each with its
+    term.  ``held``: candidate keys of each toxic document, near copies left out.
 
     First a greedy cover: the key that says most about documents not yet covered twice,
     again and again; then every other key whose evidence is beyond what the best of so
-    many keys would show by chance.  Of nested keys one stays.
+    many keys would show by chance.  Of nested keys one stays.  Evidence alone ends both.
     """
     n_toxic = len(held)
     of: dict[int, list[int]] = {}
@@ -286,8 +302,11 @@ def choose_terms(keys: list[str], held: list[list[int]], clean: Counter, n_clean
             of.setdefault(k, []).append(d)
     need = [2] * n_toxic
     open_ = {k: len(v) for k, v in of.items()}
-    least = max(4, 0.004 * n_toxic)
+    ratio = {k: likelihood_ratio(len(v), clean[keys[k]], n_toxic, n_clean) for k, v in of.items()}
+    gain = dict(ratio)
+    least = least_documents(n_toxic)
     out: list[str] = []
+    further: list[tuple[str, int]] = []
 
     def take(best: int) -> None:
         out.append(keys[best])
@@ -298,61 +317,64 @@ def choose_terms(keys: list[str], held: list[list[int]], clean: Counter, n_clean
                     for k in held[d]:
                         if k in open_:
                             open_[k] -= 1
-        open_.pop(best, None)
+                            gain[k] = likelihood_ratio(open_[k], clean[keys[k]], n_toxic, n_clean)
+        del open_[best], gain[best]
         bare, stem = keys[best].rstrip("*"), keys[best].endswith("*")
         for k in list(open_):
             other = keys[k].rstrip("*")
-            if stem and other.startswith(bare) or bare.startswith(other) and len(of[k]) < 1.25 * len(of[best]):
-                del open_[k]
-
-    while open_ and len(out) < most:
-        gain = {k: likelihood_ratio(a, clean[keys[k]], n_toxic, n_clean) for k, a in open_.items() if a >= least}
-        best = min(gain, key=lambda k: (-round(gain[k], 6), k), default=None)
+            covers = stem and other.startswith(bare)
+            if covers and not keys[k].endswith("*") and allowed(len(other), False):
+                further.append((other, len(out) - 1))
+            if covers or bare.startswith(other) and len(of[k]) < 1.25 * len(of[best]):
+                del open_[k], gain[k]
+
+    while open_:
+        best = min((k for k in gain if open_[k] >= least), key=lambda k: (-round(gain[k], 6), k), default=None)
         if best is None or gain[best] < LEAST_RATIO:
             break
         take(best)
-    bar = LEAST_RATIO + 2 * math.log(MOST_CANDIDATES)
-    rest = sorted((-round(likelihood_ratio(len(of[k]), clean[keys[k]], n_toxic, n_clean), 6), k) for k in open_ if len(of[k]) >= least)
-    for g, k in rest:
-        if -g >= bar and k in open_ and len(out) < most:
+    bar = LEAST_RATIO + 2 * math.log(max(1, len(keys)))
+    for k in sorted((k for k in open_ if len(of[k]) >= least and ratio[k] >= bar), key=lambda k: (-round(ratio[k], 6), k)):
+        if k in open_:
             take(k)
-    return [(k.rstrip("*"), k.endswith("*")) for k in out]
+    return [(k.rstrip("*"), k.endswith("*")) for k in out], further
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", most: int = MOST_LABELLED) -> ToxicityModel:
     """Lexicon and weights from ``most`` labelled rows at about, none of them held out."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
-    known = bounded_sample(known.select(F.col("doc_id").cast("long").alias("id"), (F.col(label) == 1).alias("bad")), "id", most)
+    known = bounded_sample(known.select(F.col("doc_id").cast("long").alias("id"), (F.col(label) == 1).alias("bad")), most)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = texts.join(F.broadcast(known), "id").select("bad", F.coalesce("text", F.lit("")).alias("text"))  # bounded by ``most``
     rows = materialise(rows, "labelled_texts")
+    once = materialise(bounded_texts(rows, most), "distinct_texts")  # copies of one text say no more than the text
+    discard(rows)
+    sizes = dict(map(tuple, once.groupBy("bad").count().collect()))
+    n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
+    if not n_toxic or not n_clean:
+        discard(once)
+        return ToxicityModel([], bias_only=-30.0 if not n_toxic else 30.0)
 
-    def counted(bad: bool, among: frozenset | None) -> tuple[Counter, int]:
+    def counted(bad: bool, among: frozenset | None, least: float) -> Counter:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found: Counter = Counter()
+
+            def told() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["key", "n"])
+
             for b in batches:
                 for t in b.column(1):
-                    found[""] += 1
                     found.update(_keys(t.as_py()) if among is None else among & _keys(t.as_py()))
                     if len(found) > 100_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array(list(found.values()), pa.int64())], ["key", "n"])
+                        yield told()
                         found.clear()
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array(list(found.values()), pa.int64())], ["key", "n"])
-
-        sums = in_small_batches(distinct_texts(bad)).mapInArrow(run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        sums = sums.where("key = '' or n >= 4").orderBy(F.col("key") != "", F.desc("n"), "key").limit(MOST_CANDIDATES)
-        out = Counter({r["key"]: r["n"] for r in sums.collect()})
-        return out, out.pop("", 0)
+            yield told()
 
-    def distinct_texts(bad: bool) -> DataFrame:  # copies of one text say no more than the text
-        once = rows.where(F.col("bad") == bad).groupBy(F.xxhash64("text").alias("h")).agg(F.first("bad").alias("bad"), F.first("text").alias("text"))
-        return once.select("bad", "text")
+        sums = in_arrow(once.where(F.col("bad") == bad), run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        return Counter({r["key"]: r["n"] for r in sums.where(F.col("n") >= least).collect()})
 
-    toxic, n_toxic = counted(True, None)
-    clean, n_clean = counted(False, frozenset(toxic))
-    if not n_toxic or not n_clean:
-        return ToxicityModel([], bias_only=-30.0 if not n_toxic else 30.0)
+    toxic = counted(True, None, least_documents(n_toxic))
+    clean = counted(False, frozenset(toxic), 1)
     keys = candidate_terms(toxic, clean, n_toxic, n_clean)
     place = {k: i for i, k in enumerate(keys)}
 
@@ -362,21 +384,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             held = [sorted(place[k] for k in _keys(t) if k in place) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.int32())), pa.array([_signature(t) for t in texts], pa.list_(pa.int64()))], ["held", "signature"])
 
-    told = in_small_batches(distinct_texts(True)).mapInArrow(incidence, "held array<int>, signature array<long>").collect()
+    told = in_arrow(once.where("bad"), incidence, "held array<int>, signature array<long>").collect()
     told.sort(key=lambda r: (r["signature"], r["held"]))  # rows arrive in no fixed order
     held = [list(told[i]["held"]) for i in distinct_contents([list(r["signature"]) for r in told])]
-    model = ToxicityModel(choose_terms(keys, held, clean, n_clean))
+    terms, further = choose_terms(keys, held, clean, n_clean)
+    model = ToxicityModel(terms, further=further)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [model.features(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tolist() for v in x], pa.list_(pa.float64()))], ["bad", "x"])
-
-    width = len(model.terms) + 2
-    pdf = in_small_batches(rows).mapInArrow(featured, "bad boolean, x array<double>").toPandas()
-    x = np.array(pdf["x"].tolist(), float).reshape(-1, width)
-    order = np.lexsort(x.T)  # rows arrive in no fixed order
-    w, centre, scale = fit_evidence(x[order], pdf["bad"].to_numpy(float)[order], ridge=2.0)
+            cols = [pa.array([sorted(v) for v in x], pa.list_(pa.int32())), pa.array([[v[i] for i in sorted(v)] for v in x], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["bad", "at", "x"])
+
+    found = sorted(map(tuple, in_arrow(once, featured, "bad boolean, at array<int>, x array<double>").collect()))  # rows arrive in no fixed order
+    discard(once)
+    x = np.zeros((len(found), len(terms) + 4))
+    for r, (_, at, v) in enumerate(found):
+        x[r, at] = v
+    w, centre, scale = fit_evidence(x, np.array([bad for bad, _, _ in found], float), ridge=2.0)
     plain = w[:-1] / scale
     model.weights = np.append(plain, w[-1] - float(plain @ centre))
     return model
@@ -391,7 +416,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in out], pa.float64()), pa.array([n for _, n in out], pa.int64())], ["id", "score", "hits"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = in_small_batches(rows).mapInArrow(run, "id long, score double, hits long")
+    out = in_arrow(rows, run, "id long, score double, hits long")
     return out.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "hits")
 
 
@@ -404,4 +429,4 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text", th
             keep = [model.judge(t.as_py())[0] < threshold for t in b.column(at)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return in_small_batches(docs).mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)

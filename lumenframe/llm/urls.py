@@ -8,28 +8,32 @@ answers are exact for the corpus and no join is needed: each URL tests its own k
 projection.  Filters are built and tested with DataFrame functions only.
 
 A key is ``host + path`` where host is one of the URL's host suffixes at a dot and path
-one of the URL's path prefixes that ends with ``/`` (rule paths end with ``/``).
+one of the URL's path prefixes that ends with ``/`` (rule paths end with ``/``).  Only pairs
+of a number of host labels and a number of slashes that some rule has can match, so a URL
+has one key for each such pair, however long it is.
 
-Size.  Level 1 takes ``BITS_PER_KEY`` bits for each listed key.  A later level holds the
-keys passed wrongly; with 20 bits and 13 hashes about one key of 15 000.  All levels are
-literals of the plan; ``MOST_BITS`` bounds each, and a larger one is an error that asks
-for more bits per key.
+Size.  The first level is sized by the universe (``bits_for``): at most half as many keys
+pass wrongly as are listed, so that the levels shrink.  A later level holds the keys passed wrongly.  All levels are literals of the plan,
+in pieces of ``PIECE_BITS``, which a hash of the key chooses among; no size is an error.
 
 Rows
     null URL or one without ``://``: host and path are empty, no rule, default verdict.
     null ids, repeated rows: each row is judged.  Empty table: empty result.
+    very long URLs, with however many slashes or dots: handled whole, in one pass each.
+    ties between rules of one length: the one with the longer host.
     no rules: every URL gets the default verdict.
     other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 #: (host, path, verdict).  Fixed values of the query's contract.
 RULES = (
@@ -40,9 +44,10 @@ RULES = (
     ("net", "/fr/", "block"),
 )
 BITS_PER_KEY, HASHES = 20, 13
-#: Bits of one level at most: 8 MB as literals.
-MOST_BITS = 1 << 26
-MOST_LEVELS = 24
+#: Bits of one piece of a level: 1 MB.
+PIECE_BITS = 1 << 23
+#: Bits of a level over a known universe at least.
+LEAST_BITS = 1 << 16
 
 
 def _after_scheme(url: Column) -> Column:
@@ -61,16 +66,28 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_after_scheme(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def candidate_keys(host: Column, path: Column) -> Column:
-    """Every key the URL can match, longest first within a host, hosts longest first."""
-    labels = F.split(host, r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    parts = F.split(path, "/")
-    stems = F.when(
-        F.size(parts) > 1,
-        F.transform(F.sequence(F.size(parts) - 1, F.lit(1)), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))),
-    ).otherwise(F.array().cast("array<string>"))
-    return F.flatten(F.transform(hosts, lambda h: F.transform(stems, lambda p: F.concat(h, p))))
+def depths(rules: Sequence[tuple[str, str, str]]) -> list[tuple[int, int]]:
+    """(host labels, slashes) of the rules, longest hosts first, then longest paths."""
+    return sorted({(h.count(".") + 1, p.count("/")) for h, p, _ in rules}, reverse=True)
+
+
+def candidate_keys(host: Column, path: Column, at: Sequence[tuple[int, int]]) -> Column:
+    """The keys of the URL for the pairs ``at`` of ``depths``; null where it is too short."""
+    labels = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    slashes = F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
+    keys = [F.when((labels >= n) & (slashes >= m), F.concat(F.substring_index(host, ".", -n), F.substring_index(path, "/", m), F.lit("/"))) for n, m in at]
+    return F.array(*keys) if keys else F.array().cast("array<string>")
+
+
+def bits_for(listed: int, universe: int, least: int = BITS_PER_KEY) -> int:
+    """Bits, a power of two, with which at most half as many keys of the universe pass
+    wrongly as there are listed ones: 13 places, each taken with the chance
+    (listed / 2 / universe) ** (1 / 13).  A universe of zero is an unknown one."""
+    need = listed * least
+    if universe:
+        taken = min(0.5, (listed / 2 / universe) ** (1 / HASHES))
+        need = max(need, LEAST_BITS, -HASHES * listed / math.log1p(-taken))
+    return 1 << max(10, math.ceil(math.log2(need)))
 
 
 def _bit(at: Column) -> Column:
@@ -78,50 +95,59 @@ def _bit(at: Column) -> Column:
 
 
 class Bloom:
-    """One level: bits as a literal array of longs, tested by double hashing."""
+    """One level: bits as literal arrays of longs, tested by double hashing.  The step is
+    odd and the size a power of two, so a key's places are all different."""
 
     def __init__(self, keys: DataFrame, level: int, bits: int):
         self.level, self.bits = level, bits
+        self.piece = min(bits, PIECE_BITS)
         at = keys.select(F.explode(F.array(*self._places(F.col("key")))).alias("at"))
         words = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(_bit(F.col("at"))).alias("v"))
         held = {r["w"]: r["v"] for r in words.collect()}
-        self.words = [held.get(i, 0) for i in range((bits + 63) // 64)]
+        per = self.piece // 64
+        self.words = [[held.get(i, 0) for i in range(at, at + per)] for at in range(0, bits // 64, per)]
 
     def _places(self, key: Column) -> list[Column]:
-        mask = F.lit((1 << 47) - 1)  # sums of 13 stay below 2 ** 63
-        a, b = (F.xxhash64(key, F.lit(2 * self.level + i)).bitwiseAND(mask) for i in (0, 1))
-        return [F.pmod(a + b * F.lit(i).cast("long"), F.lit(self.bits).cast("long")) for i in range(HASHES)]
+        a, b, c = (F.xxhash64(key, F.lit(3 * self.level + i)) for i in range(3))
+        start = c.bitwiseAND(F.lit(self.bits // self.piece - 1)) * F.lit(self.piece)  # of the key's piece
+        step = b.bitwiseAND(F.lit((1 << 47) - 1)).bitwiseOR(F.lit(1))  # sums of 13 stay below 2 ** 63
+        return [start + (a.bitwiseAND(F.lit((1 << 47) - 1)) + step * F.lit(i).cast("long")).bitwiseAND(F.lit(self.piece - 1)) for i in range(HASHES)]
 
     def passes(self, key: Column) -> Column:
-        table = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")  # folded to one literal
+        pieces = [F.split(F.lit(",".join(map(str, p))), ",").cast("array<bigint>") for p in self.words]  # folded to literals
+        table, per = F.array(*pieces), self.piece // 64
         out = F.lit(True)
         for at in self._places(key):
-            word = F.get(table, F.shiftright(at, 6).cast("int"))
+            w = F.shiftright(at, 6)
+            piece = F.get(table, F.shiftright(w, per.bit_length() - 1).cast("int")) if len(pieces) > 1 else pieces[0]
+            word = F.get(piece, w.bitwiseAND(F.lit(per - 1)).cast("int"))
             out = out & (F.lit(0) != word.bitwiseAND(_bit(at)))
         return out
 
 
 class Cascade:
-    """Exact membership of listed keys among the keys of ``universe`` (column key)."""
+    """Exact membership of listed keys among the keys of ``universe`` (column key; null and
+    repeated keys are welcome).  ``size``: an upper estimate of the universe's keys."""
 
-    def __init__(self, listed: DataFrame, universe: DataFrame, bits_per_key: int = BITS_PER_KEY):
+    def __init__(self, listed: DataFrame, universe: DataFrame, size: int = 0, bits_per_key: int = BITS_PER_KEY):
         self.levels: list[Bloom] = []
-        inside = listed.select("key").distinct()
-        outside = universe.select("key").where("key is not null")
-        n = inside.count()
-        first = True
+        listed = listed.select("key").distinct()
+        inside, outside = listed, universe.select("key").where("key is not null")
+        n, kept = listed.count(), []
+        listed = F.broadcast(listed) if n <= 10_000 else listed
         while n:
-            if len(self.levels) == MOST_LEVELS or (bits := 64 * -(-n * bits_per_key // 64)) > MOST_BITS:
-                raise ValueError("the cascade doesn't settle: use more bits per key")
-            level = Bloom(inside, len(self.levels), bits)
+            level = Bloom(inside, len(self.levels), bits_for(n, size, bits_per_key))
             self.levels.append(level)
             passed = outside.where(level.passes(F.col("key")))
-            if first:  # the universe holds listed keys too; they pass rightly
-                passed = passed.join(F.broadcast(listed.select("key").distinct()), "key", "left_anti") if n <= 10_000 else passed.join(listed.select("key").distinct(), "key", "left_anti")
-                first = False
+            if len(self.levels) == 1:  # the universe holds listed keys too; they pass rightly
+                passed = passed.join(listed, "key", "left_anti")
             passed = materialise(passed.distinct(), "passed_wrongly")
-            inside, outside = passed, inside
-            n = inside.count()
+            kept.append(passed)
+            inside, outside, size, m = passed, inside, 0, passed.count()
+            bits_per_key *= 2 if len(self.levels) > 8 else 1  # settles in any case
+            n = m
+        for table in kept:
+            discard(table)
 
     def holds(self, key: Column) -> Column:
         """Passing an odd number of levels before the first miss means listed."""
@@ -139,9 +165,10 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
     rows = rows.select("id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     listed = spark.range(1).select(F.explode(F.array(*[F.lit(h + p) for h, p, _ in rules]) if rules else F.array().cast("array<string>")).alias("key"))
-    asked = rows.select(F.explode(candidate_keys(F.col("host"), F.col("path"))).alias("key"))
-    cascade = Cascade(listed, asked)
-    fits = F.filter(candidate_keys(F.col("host"), F.col("path")), cascade.holds)
+    at = depths(rules)
+    keys = candidate_keys(F.col("host"), F.col("path"), at)
+    cascade = Cascade(listed, rows.select(F.explode(keys).alias("key")), rows.count() * len(at))
+    fits = F.filter(keys, lambda k: k.isNotNull() & cascade.holds(k))
     longest = F.aggregate(fits, F.lit(""), lambda a, k: F.when(F.length(k) > F.length(a), k).otherwise(a))
     out = rows.withColumn("rule", F.when(longest != "", longest))
     verdict = F.lit(default)

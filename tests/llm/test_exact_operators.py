@@ -41,11 +41,11 @@ def test_against_sql(spark, mid, name):
 
 
 def plain_topk(rows, k=5, step=50):
-    ok = [(i, [math.floor(min(max(256 * x, -(2**24)), 2**24)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    ok = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = set()
     for i, q in ok:
         if i % step == 0:
-            s = sorted((-sum(a * b for a, b in zip(q, v, strict=False)), j) for j, v in ok if j != i)[:k]
+            s = sorted((-min(max(sum(a * b for a, b in zip(q, v, strict=False)), -(1 << 63)), (1 << 63) - 1), j) for j, v in ok if j != i)[:k]
             out |= {(i, n, j, -x) for n, (x, j) in enumerate(s, 1)}
     return out
 
@@ -60,6 +60,47 @@ def test_topk_against_brute_force(spark):
     assert got == plain_topk(rows)
 
 
+def test_topk_of_large_components_and_empty_vectors(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, (r.normal(size=8) * 10.0 ** int(r.integers(0, 9))).tolist()) for i in range(400)]  # to 10^8 and beyond
+    rows += [(500, []), (501, []), (550, [1.0]), (600, [70_000.0, 0.0]), (601, [90_000.0, 0.0]), (650, [3e15] * 8)]
+    for part in (rows, [(50, [1.0]), (51, []), (52, [])], [(0, []), (1, [])]):
+        df = spark.createDataFrame(part, "vec_id long, embedding array<double>")
+        assert {tuple(x) for x in topk.search(df, F.col("vec_id") % 50 == 0).collect()} == plain_topk(part)
+
+
+def test_topk_sql_on_large_components_and_empty_vectors(spark, tmp_path):
+    rows = [(0, [1e6, -2e6]), (1, [3e6, 4.0]), (2, []), (50, []), (51, [0.5]), (52, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in queries.op5_topk(spark, str(tmp_path)).collect()}
+    assert got == set(c.sql(queries.ORACLE_SQL["op5_topk"]).fetchall()) == plain_topk(rows)
+
+
+def test_topk_scores_few_vectors_exactly():
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(40, 32))
+    for m in (r.normal(size=(4000, 32)), centres[r.integers(0, 40, 4000)] + r.normal(0, 0.2, (4000, 32))):
+        m = np.floor(64 * m).astype(np.int32)
+        index = topk.ImpactIndex(np.arange(4000), m)
+        for i in range(0, 4000, 200):
+            ids, scores = index.top(m[i].astype(float), 5, i, -np.inf)
+            plain = m.astype(float) @ m[i]
+            plain[i] = -np.inf
+            assert ids.tolist() == np.lexsort((np.arange(4000), -plain))[:5].tolist() and scores.tolist() == plain[ids].tolist()
+        assert index.scored <= (topk.REMAIN + 0.01) * index.seen
+
+
+def test_plans_do_not_depend_on_what_ran_before(spark, make_docs):
+    """Operators leave no setting behind that another one reads."""
+    told = lambda: [spark.conf.get(f"spark.sql.{k}") for k in ("execution.arrow.maxRecordsPerBatch", "shuffle.partitions", "autoBroadcastJoinThreshold")]
+    before = told()
+    queries.token_digests(make_docs([(1, "a b")])).collect()
+    mixing.mix(make_docs([(1, "a b")])).collect()
+    assert before == told()
+
+
 def test_topk_proof_and_chunks(spark, monkeypatch):
     monkeypatch.setattr(topk, "CHUNK", 7)
     rows = [(i, [float((i * 7) % 5), float(i % 3), 1.0]) for i in range(400)]  # many ties
@@ -96,6 +137,23 @@ def test_urls_against_brute_force(spark):
     assert {r.verdict for r in urls.judge_urls(df, rules=()).collect()} == {"allow"}
 
 
+def test_long_urls(spark):
+    rows = ["http://www.example.com" + "/" * 100_000, "http://www.example.com/en" + "/x" * 100_000, "http://" + "a." * 100_000 + "example.com/en/", "http://" + "." * 100_000 + "/" * 100_000, "http://net/es/" + "y" * 100_000]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = sorted(tuple(r) for r in urls.judge_urls(df).select("page_id", "host", "path", "rule", "verdict").collect())
+    assert got == [(i, *plain_url(u)) for i, u in enumerate(rows)]
+
+
+def test_cascade_of_several_pieces(spark, monkeypatch):
+    monkeypatch.setattr(urls, "PIECE_BITS", 1 << 10)
+    df = spark.createDataFrame([(f"k{i}",) for i in range(4000)], "key string")
+    listed = df.where(F.xxhash64("key") % 7 == 0)
+    for size in (0, 4000):
+        c = urls.Cascade(listed, df, size, bits_per_key=8)
+        assert len(c.levels[0].words) > 1
+        assert {r.key for r in df.where(c.holds(F.col("key"))).collect()} == {r.key for r in listed.collect()}
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     """Few bits a key, so that several levels are needed."""
     keys = [f"k{i}" for i in range(3000)]
@@ -139,6 +197,42 @@ def test_mixture(spark, make_docs):
     assert mixing.mix(make_docs([])).count() == 0 and mixing.take(make_docs([])).count() == 0
 
 
+@pytest.mark.parametrize("text", ["w w w w w", None])
+def test_repeated_rows_and_null_ids_are_split_at_the_boundary(spark, make_docs, tmp_path, text):
+    """A source of equal rows, and one of different texts without ids."""
+    r = random.Random(8)
+    rows = [(None, "a b c d e f g", "same")] * 100 + [(7, "a b c", "same")] * 40 + [(None, prose(r, r.randrange(1, 9)), "nameless") for _ in range(200)] + [(i, prose(r, 20), "other") for i in range(60)] + [(1, text, None)] * 50
+    docs = make_docs(rows, clash=True)
+    out = mixing.mix(docs).collect()
+    by = {}
+    for x in out:
+        by.setdefault(x.source, []).append(x)
+    for name, held in by.items():
+        assert abs(sum(x.taken for x in held) - held[0].target) <= max(x.size for x in held), name
+    assert sorted(map(repr, mixing.mix(docs.repartition(5)).collect())) == sorted(map(repr, out))
+    taken = mixing.take(docs)
+    assert taken.columns == docs.columns
+    count = lambda rows_: sorted(((str(k), n) for k, n in rows_.items()))
+    want, got = {}, {}
+    for x in out:
+        want[x.doc_id, x.source, x.size] = want.get((x.doc_id, x.source, x.size), 0) + x.copies
+    for x in taken.collect():
+        k = x.doc_id, x.source, len((x.text or "").split())
+        got[k] = got.get(k, 0) + 1
+    assert count(got) == count({k: n for k, n in want.items() if n})
+    make_docs(rows).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    sql = c.sql(queries.ORACLE_SQL["op7_mixing"])
+    mine = queries.op7_mixing(spark, str(tmp_path)).select(*sql.columns).collect()
+    assert sorted(map(repr, map(tuple, mine))) == sorted(map(repr, sql.fetchall()))
+
+
+def test_many_sources_are_shared_out_in_one_pass():
+    t = mixing.targets({f"s{i:06d}": i % 977 for i in range(200_000)})
+    assert sum(t.values()) == pytest.approx(1.5 * sum(i % 977 for i in range(200_000)))
+
+
 def test_budgets_are_nested(make_docs):
     r = random.Random(6)
     docs = make_docs([(i, prose(r, r.randrange(1, 40)), f"s{i % 3}") for i in range(400)])

@@ -7,7 +7,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from lumenframe.llm import near_copies
+from lumenframe.llm import near_copies, simhash
 
 from .conftest import prose
 
@@ -60,9 +60,9 @@ def test_stage_against_brute_force(spark, make_docs):
 def test_texts_of_one_id_and_rows_without_ids(make_docs):
     a, b = "the text that stands here is a copy", "quite another matter is told in these words"
     rows = [(3, a), (5, a), (5, b), (None, a), (None, "lonely text"), (None, "lonely text")]
-    out = near_copies.keep_one(make_docs(rows, clash=True))
+    out = simhash.keep_one(make_docs(rows, clash=True), shingle=5, similarity=0.8)
     assert sorted((str(r.doc_id), r.text) for r in out.collect()) == sorted([("3", a), ("5", b), ("None", "lonely text")])
-    assert near_copies.keep_one(make_docs([])).count() == 0
+    assert simhash.keep_one(make_docs([]), shingle=5, similarity=0.8).count() == 0
 
 
 def test_bands_find_similar_sets():

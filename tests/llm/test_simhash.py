@@ -94,6 +94,22 @@ def test_every_link_is_found(spark, segments):
     assert got == want and want
 
 
+@pytest.mark.parametrize("parts", ["own", "two", "near"])
+def test_a_segment_that_all_share_is_split(spark, parts):
+    """Many fingerprints of one segment value, some of them linked."""
+    r = np.random.default_rng(4)
+    fps = {int(x) << 22 | 777 for x in r.integers(0, 1 << 41, 600)}
+    for b in list(fps)[:60]:
+        fps |= {b ^ (1 << int(i)) ^ (1 << int(j)) for i, j in r.integers(22, 63, (3, 2))}
+    fps = sorted(fps)
+    assert len(fps) > 4 * simhash.HOT
+    part = {f: f if parts == "own" else i % 2 if parts == "two" else f >> 40 for i, f in enumerate(fps)}
+    nodes = spark.createDataFrame([(f, part[f]) for f in fps], "fp long, part long")
+    got = {(a, b) for a, b in simhash.hamming_links(nodes).collect()}
+    want = {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if (a ^ b).bit_count() <= 4 and part[a] != part[b]}
+    assert got == want and want
+
+
 def test_segments_must_cover():
     with pytest.raises(ValueError):
         simhash.hamming_links(None, 5)
