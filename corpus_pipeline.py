@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import mixing, near_copies, queries, secrets, toxicity
+from lumenframe.llm import mixing, queries, secrets, simhash, toxicity
 from lumenframe.llm.common import discard, materialise, sweep, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (Jaccard similarity of five-word shingles 0.8 or more)
     the document with the smallest id stays."""
-    return near_copies.keep_one(docs.select(*COLUMNS)).select(*COLUMNS)
+    return simhash.keep_one(docs.select(*COLUMNS), shingle=5, similarity=0.8).select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
