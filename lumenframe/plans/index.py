@@ -25,7 +25,7 @@ from ..sources.tables import Catalog
 from ..streaming import keyframes
 from .plugins import phrase_vector
 from .profiles import Profile, profile
-from .query import CATEGORIES, PERSON_ATTRIBUTES, attribute_phrases, object_phrases
+from .query import CATEGORIES, PERSON_ATTRIBUTES, phrases
 from .search import BACKGROUND, Searcher
 
 FRAME = "point_id string, frame_id string, asset_id string, media_type string, ts_ms long, shot_id string, path string, indexed_at long, source_damaged boolean, ocr_text string, vector array<double>"
@@ -36,9 +36,9 @@ def default_prototypes(embedder, names: Sequence[str] = CATEGORIES, attributes:
     """One prototype a category against a common background, and person attributes that
     are gated by ``person``."""
     ground = phrase_vector(embedder, BACKGROUND)
-    out = [facets.Prototype(n, phrase_vector(embedder, object_phrases(n)), ground) for n in names]
+    out = [facets.Prototype(n, phrase_vector(embedder, phrases(f"cat_{n}")), ground) for n in names]
     if "person" in names:
-        out += [facets.Prototype(a, phrase_vector(embedder, attribute_phrases(a, True)), ground, kind="attribute", gate="person") for a in attributes]
+        out += [facets.Prototype(a, phrase_vector(embedder, phrases(f"attr_{a}")), ground, kind="attribute", gate="person") for a in attributes]
     return out
 
 

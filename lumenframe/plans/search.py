@@ -19,7 +19,7 @@ from ..functions import vector
 from ..operators import facets, predicates, ranking
 from ..operators.lexical import LEXICAL_DEPTH, merge_lexical, sparse_search
 from .plugins import Detector, Embedder, NoTranslator, Translator, phrase_vector
-from .query import StructuredQuery, attribute_negatives, attribute_phrases, object_phrases, parse
+from .query import StructuredQuery, opposites, parse, phrases
 
 #: Results below which the strict pass falls back, the agreement that a
 #: translation needs, the weight of on-the-fly attributes, frames refined by detection.
@@ -59,10 +59,8 @@ class Searcher:
 
     def _raw(self, key: str, value: object) -> Column:
         """The contrast of an attribute that has no column."""
-        name = key.split("_", 1)[1]
-        words = object_phrases(name) if key.startswith("cat_") else attribute_phrases(name, value)
-        pos = phrase_vector(self.embedder, words)
-        neg = phrase_vector(self.embedder, attribute_negatives(name) or BACKGROUND)
+        pos = phrase_vector(self.embedder, phrases(key, value))
+        neg = phrase_vector(self.embedder, opposites(key) or BACKGROUND)
         v = F.col(self.vector_col)
         return vector.dot(v, vector.literal(pos)) - vector.dot(v, vector.literal(neg))
 
@@ -88,8 +86,8 @@ class Searcher:
             rows = rows if within is None else rows.join(within.select("frame_id").distinct(), "frame_id", "left_semi")
             best = rows.groupBy("frame_id").agg(F.max(F.round(fly, 6)).alias("s"))
             n = best.agg(F.count("*").alias("n"))
-            place = F.row_number().over(W.orderBy(F.desc("s"), "frame_id"))
-            worst = best.withColumn("i", place).join(F.broadcast(n), how="cross").where(F.col("i") <= F.greatest(F.lit(1), F.floor(F.col("n") / 4)))
+            placed = ranking.rank_in_channel(best.withColumn("channel", F.lit(0)), "frame_id", score="s", pool=False)
+            worst = placed.join(F.broadcast(n), how="cross").where(F.col("_rank") < F.greatest(F.lit(1), F.floor(F.col("n") / 4)))  # one row
             out = out.unionByName(worst.select("frame_id"))
         return out.distinct()
 
@@ -171,12 +169,15 @@ class Searcher:
         if parsed.must or parsed.must_not or exclusions:
             hits, unknown = self.strict(parsed, vectors, canonical, where, exclusions)
             total = hits.agg(F.count("*").alias("total"))
-            hits = hits.orderBy(F.desc("score"), "frame_id").limit(depth)
+            # the pool is bounded by the depth: it is read once and stands in the further plan
+            pool = hits.orderBy(F.desc("score"), "frame_id").limit(depth)
+            held = pool.collect()
+            hits = pool.sparkSession.createDataFrame(held, pool.schema)
             if scope != "auto":
                 notices.append("a query with objects is answered by regions; the scope was not applied")
             if unknown:
                 notices.append("facets that aren't indexed, judged on the fly: " + ", ".join(unknown))
-            if hits.limit(min(min_strict, depth)).count() < min(min_strict, depth):
+            if len(held) < min(min_strict, depth):
                 degraded, hits = True, None
                 notices.append("too few exact results: answered by similarity alone")
         if hits is None:

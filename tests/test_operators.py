@@ -54,22 +54,64 @@ def test_tiles_reject_nonsense():
             boxes.tiles(100, 100, *bad)
 
 
-def test_instances_prefer_objects_and_confident_facets():
+def plain_same(a, b):
+    small, large = sorted((a[2] * a[3], b[2] * b[3]))
+    w = max(0, min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0]))
+    h = max(0, min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]))
+    return plain_iou(a, b) >= 0.55 or large <= 3 * small and w * h >= 0.8 * small
+
+
+def plain_instances(rows, limit):
+    """rows: (key, kind, box, score, facet) of one frame."""
+    pool = [x for x in rows if x[1] == "object"] or rows
+    facets_ = [x[4] for x in pool if x[4] is not None]
+    if facets_:
+        pool = sorted((x for x in pool if x[4] is not None and x[4] >= max(facets_) - 0.15), key=lambda x: (-(x[2][2] * x[2][3]) if x[2] else 0, x[0]))
+    else:
+        pool = sorted(pool, key=lambda x: (-x[3], x[0]))
+    out = []
+    for x in pool:
+        if x[2] and 0 <= x[2][0] <= 1 and 0 <= x[2][1] <= 1 and x[2][2] > 0 and x[2][3] > 0 and not any(plain_same(x[2], y[2]) for y in out):
+            out.append(x)
+    return [x[0] for x in (out or pool)[:limit]]
+
+
+def test_instances_are_the_greedy_loop(spark):
+    r = random.Random(9)
+    rows = []
+    for f in range(30):
+        for i in range(r.randrange(1, 14)):
+            box = [r.random() * 0.4, r.random() * 0.4, 0.1 + r.random() * 0.5, 0.1 + r.random() * 0.5] if r.random() < 0.9 and f % 7 else None if r.random() < 0.5 else [0.2, 0.2, 0.0, 0.1]
+            rows.append((f, f * 100 + i, r.choice(["object", "tile"]) if f % 3 else "tile", box, round(r.random(), 2), round(r.random(), 2) if f % 2 and r.random() < 0.7 else None))
+    df = spark.createDataFrame(rows, "frame long, k long, kind string, box array<double>, s double, facet double")
+    got = {}
+    for x in boxes.instances(df, "frame", "k", "kind", "box", "s", "facet", 3).orderBy("frame", "place").collect():
+        got.setdefault(x.frame, []).append(x.k)
+    assert got == {f: plain_instances([x[1:] for x in rows if x[0] == f], 3) for f in range(30)}
+
+
+def test_instances_prefer_objects_and_confident_facets(spark):
     b = [0.1, 0.1, 0.2, 0.2]
-    told = [
-        {"key": 1, "kind": "tile", "box": [0, 0, 1, 1], "score": 0.9, "facet": 0.99},
-        {"key": 2, "kind": "object", "box": b, "score": 0.5, "facet": 0.8},
-        {"key": 3, "kind": "object", "box": [0.11, 0.1, 0.2, 0.2], "score": 0.6, "facet": 0.75},
-        {"key": 4, "kind": "object", "box": [0.6, 0.6, 0.3, 0.3], "score": 0.4, "facet": 0.7},
-        {"key": 5, "kind": "object", "box": [0.6, 0.1, 0.3, 0.3], "score": 0.4, "facet": 0.2},
-    ]
-    assert [x["key"] for x in boxes.choose_instances(told, 6)] == [4, 2]
-
-
-def test_named_boxes_hide_plain_ones():
-    b = {"box": [0.1, 0.1, 0.3, 0.3], "score": 1.0}
-    got = boxes.display_boxes([{**b, "entity": "woman"}, {**b, "entity": "child"}, {**b, "entity": ""}, {**b, "entity": "woman"}])
-    assert [x["entity"] for x in got] == ["woman", "child"]
+    told = [(1, "tile", [0.0, 0.0, 1.0, 1.0], 0.9, 0.99), (2, "object", b, 0.5, 0.8), (3, "object", [0.11, 0.1, 0.2, 0.2], 0.6, 0.75), (4, "object", [0.6, 0.6, 0.3, 0.3], 0.4, 0.7), (5, "object", [0.6, 0.1, 0.3, 0.3], 0.4, 0.2)]
+    df = spark.createDataFrame([(0, *x) for x in told], "frame int, key int, kind string, box array<double>, score double, facet double")
+    assert [x.key for x in boxes.instances(df, "frame", "key", "kind", "box", "score", "facet").orderBy("place").collect()] == [4, 2]
+
+
+def test_named_boxes_hide_plain_ones(spark):
+    b = [0.1, 0.1, 0.3, 0.3]
+    rows = [(0, 1, b, 1.0, "woman"), (0, 2, b, 0.9, "child"), (0, 3, b, 2.0, ""), (0, 4, b, 0.8, "woman"), (1, 5, b, 0.5, None), (1, 6, [0.12, 0.12, 0.1, 0.1], 0.4, ""), (1, 7, [0.6, 0.6, 0.2, 0.2], 0.3, None)]
+    df = spark.createDataFrame(rows, "frame int, key int, box array<double>, score double, entity string")
+    got = [(x.frame, x.place, x.key, x.entity) for x in boxes.shown_boxes(df, "frame", "key", "box", "score", "entity").orderBy("frame", "place").collect()]
+    assert got == [(0, 1, 1, "woman"), (0, 2, 2, "child"), (1, 1, 5, ""), (1, 2, 7, "")]
+
+
+def test_proposals_become_regions(spark):
+    df = spark.createDataFrame([(1, 10, 20, 60, 70, 100, 200), (2, 0, 0, 100, 199, 100, 200), (3, 0, 0, 1, 1, 1000, 1000)], "k int, l int, t int, r int, b int, w int, h int")
+    got = {x.k: x.bbox for x in boxes.regions_of(df, ("l", "t", "r", "b"), "w", "h").collect()}
+    assert set(got) == {1} and got[1] == pytest.approx([0.1, 0.1, 0.5, 0.25])
+    assert {x.k for x in boxes.regions_of(df, ("l", "t", "r", "b"), "w", "h", general=False).collect()} == {1, 2}
+    big = spark.createDataFrame([(0, 1, [0.0, 0.0, 0.1, 0.1]), (0, 2, [0.0, 0.0, 0.5, 0.5]), (0, 3, [0.5, 0.5, 0.5, 0.5]), (1, 4, None)], "f int, k int, box array<double>")
+    assert sorted(map(tuple, boxes.prominent(big, "f", "k", "box").collect())) == [(0, 2), (1, 4)]
 
 
 def test_unknown_is_not_false(spark):

@@ -94,9 +94,11 @@ def test_parse_and_conditions():
     assert query.parse("  ") == query.EMPTY
     e = query.Entity("person", (query.Attribute("gender", "female"), query.Attribute("hair", "Brunette"), query.Attribute("wearing", "a Coat")))
     assert e.conditions() == {"cat_person": True, "attr_gender_male": False, "attr_hair": "dark", "attr_wearing": "a coat"}
-    assert e.describe() == "woman (Brunette hair, a Coat)" and query.Entity("bag", (), 2).describe_count() == "2× bag"
+    assert e.describe() == "woman (Brunette hair, a Coat)" and query.Entity("bag", (), 2).describe(count=True) == "2× bag"
+    assert query.Entity("person", (query.Attribute("age_band", "senior"), query.Attribute("mask", "False"))).describe("uk") == "літня людина (без маски)" and query.Entity("other").describe() == "object"
     assert query.categories_in("a License plate and a bagged dog", None) == ["license_plate"]
-    assert query.attribute_phrases("camouflage", True) == ("something camouflage",) and query.attribute_phrases("hair", "red_hair") == ("a person with red hair hair",)
+    assert query.phrases("attr_camouflage") == ("something camouflage",) and query.phrases("attr_hair", "red_hair") == ("a person with red hair hair",)
+    assert query.phrases("cat_license_plate") == ("a license plate", "a photo of a license plate") and query.opposites("attr_wearing") and not query.opposites("cat_bag")
     bad = query.StructuredQuery("", must=(query.Entity("person"),), relations=(query.Relation(0, "near", 3),))
     assert bad.repaired("t").relations == () and bad.repaired("t").query_en == "t"
     with pytest.raises(ValueError):
