@@ -50,7 +50,7 @@ THREE_SEGMENTS = ((0, 22, 1), (22, 21, 1), (43, 21, 0))
 TWO_SEGMENTS = ((0, 32, 2), (32, 32, 1))
 SMALL_TABLE = 1 << 25
 #: Rows of one segment value from which it is split, and the number of pieces of that.
-HOT, PIECES = 64, 6
+HOT, PIECES = 256, 6
 #: Hot segment values that are broadcast at most.
 MOST_HOT = 200_000
 

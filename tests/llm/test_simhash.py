@@ -95,8 +95,9 @@ def test_every_link_is_found(spark, segments):
 
 
 @pytest.mark.parametrize("parts", ["own", "two", "near"])
-def test_a_segment_that_all_share_is_split(spark, parts):
+def test_a_segment_that_all_share_is_split(spark, parts, monkeypatch):
     """Many fingerprints of one segment value, some of them linked."""
+    monkeypatch.setattr(simhash, "HOT", 64)
     r = np.random.default_rng(4)
     fps = {int(x) << 22 | 777 for x in r.integers(0, 1 << 41, 600)}
     for b in list(fps)[:60]:
