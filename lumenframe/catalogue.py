@@ -390,7 +390,7 @@ def facet_frequencies(spark, d):
 
 # --- lexical layer ---------------------------------------------------------------------------
 
-TOK = r"""WITH w AS (SELECT doc_id, lower(text) AS t FROM documents), x AS (SELECT doc_id, unnest(regexp_extract_all(t, '[\p{L}\p{Nl}\p{No}]+|\p{Nd}+')) AS tok FROM w),
+TOK = r"""WITH w AS (SELECT doc_id, replace(lower(nfc_normalize(text)), 'ß', 'ss') AS t FROM documents), x AS (SELECT doc_id, unnest(regexp_extract_all(t, '[\p{L}\p{Nl}\p{No}]+|\p{Nd}+')) AS tok FROM w),
 y AS (SELECT doc_id, tok, regexp_matches(tok, '^\p{Nd}') AS num FROM x), wd AS (SELECT doc_id, tok, num FROM y WHERE length(tok) >= 2 OR num),
 g AS (SELECT doc_id, tok AS term FROM wd UNION ALL SELECT doc_id, '#' || substr(tok, i, 3) FROM (SELECT doc_id, tok, unnest(range(1, CAST(length(tok) - 1 AS BIGINT))) AS i FROM wd WHERE length(tok) >= 4 AND NOT num))
 """
@@ -398,8 +398,8 @@ g AS (SELECT doc_id, tok AS term FROM wd UNION ALL SELECT doc_id, '#' || substr(
 
 @query(TOK + "SELECT doc_id, CAST(count(*) AS BIGINT) AS tokens, CAST(count(DISTINCT term) AS BIGINT) AS kinds FROM g GROUP BY 1")
 def tokenize_terms(spark, d):
-    out = spread(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term"))
-    return out.groupBy("doc_id", "term").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("tokens"), F.count("*").alias("kinds"))
+    out = spread(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.tokens(F.col("text")).alias("terms"))
+    return out.where(F.size("terms") > 0).select("doc_id", F.size("terms").cast("long").alias("tokens"), F.size(F.array_distinct("terms")).cast("long").alias("kinds"))
 
 
 FNV = """, h AS (SELECT term, list_reduce([2166136261::BIGINT] || list_transform(range(0, octet_length(encode(term))), lambda i: CAST(('0x' || substr(hex(encode(term)), 2 * i + 1, 2)) AS BIGINT)),
@@ -408,7 +408,7 @@ lambda a, b: (xor(a, b) * 16777619) % 4294967296) AS id FROM (SELECT DISTINCT te
 
 @query(TOK + FNV + "SELECT term, id AS term_id FROM h")
 def fnv_term_id(spark, d):
-    out = spread(_t(spark, d, "documents").select("text")).select(F.explode(T.tokens(F.col("text"))).alias("term")).distinct()
+    out = spread(_t(spark, d, "documents").select("text")).select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")).distinct()
     return out.select("term", T.term_id(F.col("term")).alias("term_id"))
 
 
@@ -445,7 +445,7 @@ a AS (SELECT list_distinct(list_filter(regexp_extract_all(lower('the report of t
 
 @query(COV + "SELECT item_id, round(CAST(len(list_intersect(q, w)) AS DOUBLE) / len(q), 6) AS share, coalesce(array_to_string(list_sort(list_intersect(q, w)), ', '), '') AS found FROM c, a")
 def lexical_coverage(spark, d):
-    q = F.lit("the report of the northern station and the reading")
+    q = "the report of the northern station and the reading"
     t = _t(spark, d, "benchmark")
     return t.select("item_id", F.round(T.coverage(q, F.col("text")), 6).alias("share"), F.array_join(T.matched(q, F.col("text")), ", ").alias("found"))
 
@@ -476,9 +476,9 @@ def detect_script(spark, d):
     return _t(spark, d, "documents").groupBy(T.script_language(t).alias("language")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT conv_id, turn, 'this is a photo of ' || lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) || '.' AS prompt FROM conversations WHERE role = 'user'""")
+@query("""SELECT conv_id, turn, 'this is a photo of ' || lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) || '.' AS prompt FROM conversations""")
 def prepare_prompts(spark, d):
-    return _t(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", T.prepare_prompt(F.col("text")).alias("prompt"))
+    return _t(spark, d, "conversations").select("conv_id", "turn", T.prepare_prompt(F.col("text")).alias("prompt"))
 
 
 # --- geometry ----------------------------------------------------------------------------------
@@ -752,13 +752,11 @@ def media_types(spark, d):
 SELECT item_id, CASE WHEN contains(j, ' person ') THEN 'person,' ELSE '' END || CASE WHEN contains(j, ' license plate ') THEN 'license_plate,' ELSE '' END || CASE WHEN contains(j, ' bag ') THEN 'bag,' ELSE '' END || CASE WHEN contains(j, ' night ') THEN 'night,' ELSE '' END AS found FROM t""")
 def literal_categories(spark, d):
     """Whole words or phrases of a text that name a category."""
-    from .plans.query import CATEGORIES
+    from .plans.query import named_categories
 
     extra = F.when(F.col("item_id") % 3 == 0, " a Person with a bag, at NIGHT").when(F.col("item_id") % 3 == 1, " license plate; bagged").otherwise("")
-    words = F.filter(F.split(F.lower(F.concat("text", extra)), r"[^\w]+"), lambda x: x != "")
-    joined = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-    named = [F.when(F.contains(F.col("j"), F.lit(f" {c.replace('_', ' ')} ")), F.lit(c + ",")).otherwise("") for c in CATEGORIES]
-    return _t(spark, d, "benchmark").select("item_id", joined.alias("j")).select("item_id", F.concat(*named).alias("found"))
+    found = named_categories(F.concat("text", extra))
+    return _t(spark, d, "benchmark").select("item_id", F.array_join(F.transform(found, lambda c: F.concat(c, F.lit(","))), "").alias("found"))
 
 
 @query("""SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN TRUE WHEN '2-HIGH' THEN FALSE WHEN '3-MEDIUM' THEN TRUE END AS holds FROM orders""")
@@ -821,12 +819,11 @@ def content_first_seen(spark, d):
     return first.groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
 
 
-@query(r"""SELECT conv_id, turn, regexp_matches(lower(text), '\b(without|no|not|без|не|немає|ohne|bez)\b') AS negated FROM conversations WHERE role = 'user'""")
+@query(r"""SELECT conv_id, turn, regexp_matches(lower(text), '(^|[^\w])(without|no|not|без|не|немає|ohne|bez|except)($|[^\w])') AS negated FROM conversations""")
 def negation_markers(spark, d):
-    from .plans.query import NEGATIONS
+    from .plans.query import negated
 
-    found = F.lower("text").rlike(r"(?U)\b(" + "|".join(NEGATIONS) + r")\b")
-    return _t(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", found.alias("negated"))
+    return _t(spark, d, "conversations").select("conv_id", "turn", negated(F.col("text")).alias("negated"))
 
 
 @query("""SELECT event_id, last_order FROM (SELECT e.event_id, o.o_orderkey AS last_order, row_number() OVER (PARTITION BY e.event_id ORDER BY o.o_orderdate DESC, o.o_orderkey DESC) AS n

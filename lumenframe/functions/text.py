@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -16,9 +17,37 @@ LETTER = r"[\p{L}\p{Nl}\p{No}]"
 FNV_OFFSET, FNV_PRIME = 2166136261, 16777619
 
 
+#: Runs of letters (letters and the numbers that are no digits) or of digits.
+RUNS = re.compile(r"[^\W\d_]+|\d+")
+
+
+def folded(text: str) -> str:
+    """NFKC and case folding: one spelling for composed, full-width and capital letters."""
+    return unicodedata.normalize("NFKC", text).casefold()
+
+
+def words_of(text: str) -> list[str]:
+    """What ``words`` finds in a text, in order of the text."""
+    return [w for w in RUNS.findall(folded(text)) if len(w) >= MIN_TOKEN or w[0].isdecimal()]
+
+
+def terms_of(word: str) -> list[str]:
+    """The terms of one word: itself, and trigrams of a long run of letters."""
+    grams = [] if word[0].isdecimal() or len(word) < NGRAM_MIN_WORD else ["#" + word[i : i + NGRAM] for i in range(len(word) - NGRAM + 1)]
+    return [word, *grams]
+
+
+def fnv(term: str) -> int:
+    """What ``term_id`` gives."""
+    h = FNV_OFFSET
+    for b in term.encode("utf-8", "surrogatepass"):
+        h = (h ^ b) * FNV_PRIME & 0xFFFFFFFF
+    return h or 1
+
+
 @F.pandas_udf(StringType())
 def _folded(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+    return texts.map(lambda t: None if t is None else folded(t))
 
 
 def normalise(text: Column) -> Column:
@@ -28,7 +57,7 @@ def normalise(text: Column) -> Column:
 
 
 def _found(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(group))
+    return F.regexp_extract_all(normalise(text), F.lit(pattern), F.lit(group))
 
 
 def words(text: Column) -> Column:
@@ -54,15 +83,20 @@ def term_id(term: Column) -> Column:
     return F.when(h == 0, F.lit(1).cast("long")).otherwise(h)
 
 
-def coverage(query: Column, text: Column) -> Column:
+def _asked(query: str) -> Column:
+    asked = list(dict.fromkeys(words_of(query)))
+    return F.array(*map(F.lit, asked)) if asked else F.array().cast("array<string>")
+
+
+def coverage(query: str, text: Column) -> Column:
     """Share of the query's distinct words that the text has; zero for no words."""
-    asked = F.array_distinct(words(query))
-    return F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, words(text))) / F.size(asked)).otherwise(F.lit(0.0))
+    asked = len(set(words_of(query)))
+    return F.size(F.array_intersect(_asked(query), words(text))) / F.lit(asked) if asked else F.lit(0.0)
 
 
-def matched(query: Column, text: Column) -> Column:
+def matched(query: str, text: Column) -> Column:
     """The words that coverage counts, in order of the alphabet."""
-    return F.sort_array(F.array_intersect(F.array_distinct(words(query)), words(text)))
+    return F.sort_array(F.array_intersect(_asked(query), words(text)))
 
 
 def clean_recognised(text: Column) -> Column:

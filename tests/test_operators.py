@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lumenframe.functions import geometry as G
 from lumenframe.functions import text as T
 from lumenframe.functions import vector
-from lumenframe.operators import boxes, facets, metrics, predicates, ranking
+from lumenframe.operators import boxes, facets, lexical, metrics, predicates, ranking
 
 
 def one(spark, c):
@@ -114,6 +114,31 @@ def test_proposals_become_regions(spark):
     assert sorted(map(tuple, boxes.prominent(big, "f", "k", "box").collect())) == [(0, 2), (1, 4)]
 
 
+def test_terms_meet_in_one_spelling(spark):
+    """Composed and decomposed, full-width, ligatures, capitals and sharp s."""
+    pairs = [("caf\u00e9", "cafe\u0301"), ("\uff21\uff22\uff23\uff11", "abc1"), ("Stra\u00dfe", "STRASSE"), ("\ufb01nd", "find"), ("Київ", "КИЇВ")]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "k int, a string, b string")
+    for r in df.select("k", T.tokens(F.col("a")).alias("a"), T.tokens(F.col("b")).alias("b")).collect():
+        assert r.a == r.b and r.a, pairs[r.k]
+    assert {r.k for r in lexical.sparse_search(df, "k", "a", "strasse CAFE\u0301", 9).collect()} == {0, 2}
+    assert T.words_of("x \u00bd ab 7 Stra\u00dfe") == ["1", "2", "ab", "7", "strasse"]  # the half is folded to its digits
+
+
+def test_term_table_is_the_plain_count(spark):
+    r = random.Random(4)
+    texts = [" ".join("".join(r.choice("abcdeÄß½9_-") for _ in range(r.randrange(1, 7))) for _ in range(r.randrange(30))) for _ in range(60)] + [None, "", "  "]
+    rows = [(i % 50, t) for i, t in enumerate(texts)]  # some keys stand on two rows
+    df = spark.createDataFrame(rows, "k int, t string")
+    want = {}
+    for k, t in rows:
+        for w in T.words_of(t or ""):
+            for x in T.terms_of(w):
+                want[k, T.fnv(x)] = want.get((k, T.fnv(x)), 0) + 1
+    assert {(x.k, x.term_id): x.tf for x in lexical.terms(df, "k", "t").collect()} == want
+    jvm = df.where("t is not null").select("k", F.explode(T.tokens(F.col("t"))).alias("x")).select("k", T.term_id(F.col("x")).alias("id")).groupBy("k", "id").count().collect()
+    assert {(x.k, x.id): x["count"] for x in jvm} == want
+
+
 def test_unknown_is_not_false(spark):
     df = spark.createDataFrame([(1, True), (2, False), (3, None)], "k int, cat_mask boolean")
     assert [r.k for r in df.where(predicates.all_of(must_not={"cat_mask": True})).orderBy("k").collect()] == [2, 3]
