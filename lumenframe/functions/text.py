@@ -83,18 +83,21 @@ def term_id(term: Column) -> Column:
     return F.when(h == 0, F.lit(1).cast("long")).otherwise(h)
 
 
-def _asked(query: str) -> Column:
+def _asked(query: Column | str) -> Column:
+    """The query's distinct words; those of a plain string are literals of the plan."""
+    if isinstance(query, Column):
+        return F.array_distinct(words(query))
     asked = list(dict.fromkeys(words_of(query)))
     return F.array(*map(F.lit, asked)) if asked else F.array().cast("array<string>")
 
 
-def coverage(query: str, text: Column) -> Column:
+def coverage(query: Column | str, text: Column) -> Column:
     """Share of the query's distinct words that the text has; zero for no words."""
-    asked = len(set(words_of(query)))
-    return F.size(F.array_intersect(_asked(query), words(text))) / F.lit(asked) if asked else F.lit(0.0)
+    asked = _asked(query)
+    return F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, words(text))) / F.size(asked)).otherwise(F.lit(0.0))
 
 
-def matched(query: str, text: Column) -> Column:
+def matched(query: Column | str, text: Column) -> Column:
     """The words that coverage counts, in order of the alphabet."""
     return F.sort_array(F.array_intersect(_asked(query), words(text)))
 

@@ -218,7 +218,7 @@ def test_thresholds_in_order():
 
 def test_tokens(spark):
     assert sorted(one(spark, T.tokens(F.lit("AA1234BB x 7")))) == ["1234", "7", "aa", "bb"]
-    assert one(spark, T.tokens(F.lit("Straße abc"))) == ["straße", "abc", "#str", "#tra", "#raß", "#aße"]
+    assert one(spark, T.tokens(F.lit("Straße abc"))) == ["strasse", "abc", "#str", "#tra", "#ras", "#ass", "#sse"]
     assert one(spark, T.words(F.lit(""))) == []
 
 
