@@ -8,6 +8,7 @@ frames of recordings (users).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -573,6 +574,20 @@ def retrieval_metrics(spark, d):
     return metrics.evaluate(_ranked(spark, d), _truth(spark, d), 10)
 
 
+@query(EVAL + """, jj AS (SELECT *, sum(CAST(rel AS INTEGER)) OVER (PARTITION BY query_id ORDER BY rank) AS seen FROM j), n AS (SELECT query_id, count(*) FILTER (gain > 0) AS rel FROM tr GROUP BY 1),
+m AS (SELECT query_id, round(sum(CASE WHEN jj.rel THEN CAST(seen AS DOUBLE) / rank ELSE 0 END) / any_value(n.rel), 6) AS ap, round(coalesce(1.0::DOUBLE / min(rank) FILTER (jj.rel), 0), 6) AS rr, count(*) FILTER (forb AND rank <= 10) = 0 AS clean FROM jj JOIN n USING (query_id) GROUP BY 1)
+SELECT count(*) AS queries, round(avg(ap), 6) AS map, round(avg(rr), 6) AS mrr, round(avg(CAST(clean AS INTEGER)), 6) AS clean_rate FROM m""")
+def retrieval_summary(spark, d):
+    """Mean average precision, mean reciprocal rank, share of queries without a forbidden item."""
+    return metrics.summary(metrics.evaluate(_ranked(spark, d), _truth(spark, d), 10))
+
+
+@query(EVAL + "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank, item) AS INTEGER) AS place, item FROM (SELECT DISTINCT query_id, rank, item FROM j WHERE forb AND rank <= 10)")
+def forbidden_shown(spark, d):
+    """The forbidden items among the first ten, in order."""
+    return metrics.forbidden_items(_ranked(spark, d), _truth(spark, d), 10)
+
+
 @query(EVAL + """, n AS (SELECT query_id, max(rank) AS n FROM top GROUP BY 1), a AS (SELECT tr.query_id, forbidden, gain, coalesce(rank, n + 1) AS pl FROM tr LEFT JOIN n USING (query_id) LEFT JOIN top ON top.query_id = tr.query_id AND top.item = tr.item)
 SELECT query_id, coalesce(min(pl) FILTER (forbidden) <= max(pl) FILTER (gain > 0), FALSE) AS inverted FROM a GROUP BY 1""")
 def binding_inverted(spark, d):
@@ -631,8 +646,10 @@ def latest_version(spark, d):
 def hash_cache_lookup(spark, d):
     docs = _t(spark, d, "documents")
     known = docs.where("n_chars > 1000").select("doc_id", "n_chars", identity.content_id(F.concat(F.lit("cached "), F.col("doc_id").cast("string"))).alias("h"))
-    out = docs.select("doc_id", "n_chars", "text").join(known, ["doc_id", "n_chars"], "left")
-    return out.select("doc_id", F.coalesce("h", identity.content_id(F.col("text"))).alias("asset_id"), F.col("h").isNotNull().alias("cached"))
+    # hashed where it is read: 64 letters a row go through the join, not its text
+    fresh = docs.select("doc_id", "n_chars", identity.content_id(F.col("text")).alias("fresh"))
+    out = fresh.join(known, ["doc_id", "n_chars"], "left")
+    return out.select("doc_id", F.coalesce("h", "fresh").alias("asset_id"), F.col("h").isNotNull().alias("cached"))
 
 
 @query("""SELECT sha256(text) AS asset_id, min(doc_id) AS doc_id, CAST(count(*) AS BIGINT) AS copies FROM documents GROUP BY 1""")
@@ -647,22 +664,22 @@ def point_uuid5(spark, d):
     return _t(spark, d, "documents").select("doc_id", identity.point_id(F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))).alias("point_id"))
 
 
-@query("""WITH n AS (SELECT c_custkey AS asset_id, 'f' || (c_custkey % 700) AS path FROM customer), f AS (SELECT 'f' || k AS path, CAST(k AS VARCHAR) AS now FROM (SELECT DISTINCT c_custkey % 500 AS k FROM customer))
-SELECT CAST(n.asset_id AS VARCHAR) AS asset_id, CASE WHEN f.now IS NULL THEN 'file missing' WHEN f.now <> CAST(n.asset_id AS VARCHAR) THEN 'content changed' WHEN n.asset_id > 300 THEN 'out of index' ELSE 'current' END AS state FROM n LEFT JOIN f USING (path)""")
+@query("""WITH n AS (SELECT c_custkey AS asset_id, c_acctbal AS bal, 'f' || (c_custkey % 700) AS path FROM customer), f AS (SELECT 'f' || k AS path, CAST(k AS VARCHAR) AS now FROM (SELECT DISTINCT c_custkey % 500 AS k FROM customer))
+SELECT CAST(n.asset_id AS VARCHAR) AS asset_id, CASE WHEN f.now IS NULL THEN 'file missing' WHEN f.now <> CAST(n.asset_id AS VARCHAR) THEN 'content changed' WHEN n.bal <= 0 THEN 'out of index' ELSE 'current' END AS state FROM n LEFT JOIN f USING (path)""")
 def notes_state(spark, d):
     c = _t(spark, d, "customer")
     key = F.col("c_custkey")
     notes = c.select(key.cast("string").alias("asset_id"), F.concat(F.lit("f"), (key % 700).cast("string")).alias("path"))
     files = c.select((key % 500).alias("k")).distinct().select(F.concat(F.lit("f"), F.col("k").cast("string")).alias("path"), F.col("k").cast("string").alias("sha256"))
-    out = tables.notes_with_state(notes, c.where("c_custkey <= 300").select(key.cast("string").alias("asset_id")), files)
+    out = tables.notes_with_state(notes, c.where("c_acctbal > 0").select(key.cast("string").alias("asset_id")), files)
     return out.select("asset_id", "state")
 
 
-@query("""SELECT k AS key, s AS stored, w AS wanted FROM (SELECT coalesce(a.k, b.k) AS k, s, w FROM (SELECT n_name AS k, CAST(n_regionkey AS VARCHAR) AS s FROM nation WHERE n_nationkey < 20) a FULL JOIN (SELECT n_name AS k, CAST(n_regionkey % 3 AS VARCHAR) AS w FROM nation WHERE n_nationkey > 4) b ON a.k = b.k) WHERE s IS DISTINCT FROM w""")
+@query("""SELECT k AS key, s AS stored, w AS wanted FROM (SELECT coalesce(a.k, b.k) AS k, s, w FROM (SELECT n_name AS k, CAST(n_regionkey AS VARCHAR) AS s FROM nation WHERE n_regionkey <> 4) a FULL JOIN (SELECT n_name AS k, CAST(n_regionkey % 3 AS VARCHAR) AS w FROM nation WHERE n_regionkey <> 0) b ON a.k = b.k) WHERE s IS DISTINCT FROM w""")
 def signature_check(spark, d):
     n = _t(spark, d, "nation")
-    stored = n.where("n_nationkey < 20").select(F.col("n_name").alias("key"), F.col("n_regionkey").cast("string").alias("value"))
-    return tables.signature_differences(stored, n.where("n_nationkey > 4").select(F.col("n_name").alias("key"), (F.col("n_regionkey") % 3).cast("string").alias("value")))
+    stored = n.where("n_regionkey <> 4").select(F.col("n_name").alias("key"), F.col("n_regionkey").cast("string").alias("value"))
+    return tables.signature_differences(stored, n.where("n_regionkey <> 0").select(F.col("n_name").alias("key"), (F.col("n_regionkey") % 3).cast("string").alias("value")))
 
 
 @query("""SELECT n_name AS model, CASE n_nationkey % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'rejected' WHEN 2 THEN 'unverified' ELSE 'unknown' END AS verdict, n_nationkey % 4 IN (1, 3) AS blocks_release FROM nation""")
@@ -725,12 +742,23 @@ def facet_cube(spark, d):
     return _t(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.grouping_id().alias("level"), F.count("*").alias("regions"), F.round(F.avg("l_discount"), 4).alias("score"))
 
 
-@query("""WITH c AS (SELECT e.vec_id, r.i AS copy, e.label FROM embeddings e, (SELECT unnest(range(0, 10)) AS i) r) SELECT label, CAST(count(*) AS BIGINT) AS points, CAST(count(*) FILTER (vec_id % 5 = 0) AS BIGINT) AS banned FROM c GROUP BY 1""")
+@query("""WITH c AS (SELECT e.vec_id, r.i AS copy, e.label FROM embeddings e, (SELECT unnest(range(0, 10)) AS i) r) SELECT label, CAST(count(*) AS BIGINT) AS points, CAST(count(*) FILTER (vec_id % 5 = 0) AS BIGINT) AS banned, CAST(count(*) AS BIGINT) AS unit_vectors, CAST(count(*) AS BIGINT) AS moved FROM c GROUP BY 1""")
 def scale_inflate_negation(spark, d):
-    """Ten noisy copies of every seed; payload and bans follow the seed."""
+    """Ten noisy copies of every seed (normal noise of deviation 0.08, unit length again);
+    payload and bans follow the seed.  The vectors are read: all have unit length and none
+    is its seed."""
     e = _t(spark, d, "embeddings").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(9))))
-    noisy = vector.unit(F.transform("embedding", lambda x: x + F.lit(0.08) * (F.rand(7) - 0.5)))
-    return e.withColumn("embedding", noisy).groupBy("label").agg(F.count("*").alias("points"), F.sum((F.col("vec_id") % 5 == 0).cast("long")).alias("banned"))
+    even = lambda i, n: (F.pmod(F.xxhash64("vec_id", "copy", i, F.lit(n)), F.lit(1 << 52)) + 1) / F.lit(float(1 << 52))
+    # normal noise from hashes of seed, copy and place: a task that runs again makes the same
+    noise = lambda i: F.sqrt(-2 * F.log(even(i, 1))) * F.cos(2 * math.pi * even(i, 2))
+    e = e.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    noisy = e.withColumn("noisy", vector.unit(F.transform("embedding", lambda x, i: x + 0.08 * noise(i))))
+    long = vector.dot(F.col("noisy"), F.col("noisy"))
+    count = lambda c: F.sum(c.cast("long"))
+    return noisy.groupBy("label").agg(
+        F.count("*").alias("points"), count(F.col("vec_id") % 5 == 0).alias("banned"), count(F.abs(long - 1) < 1e-6).alias("unit_vectors"),
+        count(vector.dot(F.col("noisy"), vector.unit(F.col("embedding"))) < 0.999999).alias("moved"),
+    )
 
 
 # --- further functions and operators ----------------------------------------------------------------

@@ -29,12 +29,12 @@ def evaluate(ranked: DataFrame, truth: DataFrame, k: int) -> DataFrame:
         F.sum(F.when(top & (F.col("gain") > 0), F.col("gain") / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias("dcg"),
         F.sum((top & F.col("forbidden")).cast("long")).alias("forbidden_hits"),
     )
+    # the k best gains of a query: the group limit leaves k rows a partition before the shuffle
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("gain"), "item"))
-    ideal = told.withColumn("place", place).groupBy("query_id").agg(
-        F.sum(F.col("relevant").cast("long")).alias("relevant"),
-        F.sum(F.when(F.col("relevant") & (F.col("place") <= k), F.col("gain") / F.log2(F.col("place") + 1.0)).otherwise(0.0)).alias("idcg"),
-    )
-    out = ideal.join(per, "query_id", "left").na.fill(0, ["found", "shown", "ap", "dcg", "forbidden_hits"])
+    best = told.where("relevant").select("query_id", "item", "gain").withColumn("place", place).where(F.col("place") <= k)
+    ideal = best.groupBy("query_id").agg(F.sum(F.col("gain") / F.log2(F.col("place") + 1.0)).alias("idcg"))
+    asked = told.groupBy("query_id").agg(F.sum(F.col("relevant").cast("long")).alias("relevant"))
+    out = asked.join(ideal, "query_id", "left").join(per, "query_id", "left").na.fill(0, ["idcg", "found", "shown", "ap", "dcg", "forbidden_hits"])
     n = F.col("relevant")
     return out.select(
         "query_id",
@@ -48,6 +48,24 @@ def evaluate(ranked: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     )
 
 
+def summary(evaluated: DataFrame) -> DataFrame:
+    """One row over the queries of ``evaluate``: their number, mean average precision, mean
+    reciprocal rank, and the share of queries without a forbidden item (1 for no query)."""
+    one = lambda c, none: F.round(F.coalesce(F.avg(c), F.lit(none)), 6)
+    clean = (F.col("forbidden_hits") == 0).cast("double")
+    return evaluated.agg(F.count("*").alias("queries"), one("average_precision", 0.0).alias("map"), one("reciprocal_rank", 0.0).alias("mrr"), one(clean, 1.0).alias("clean_rate"))
+
+
+def forbidden_items(ranked: DataFrame, truth: DataFrame, k: int) -> DataFrame:
+    """(query_id, place, item): the forbidden items among the first ``k``, numbered in the
+    order in which they are shown."""
+    if k <= 0:
+        raise ValueError("k must be positive")
+    bad = ranked.where(F.col("rank") <= k).join(truth.where("forbidden").select("query_id", "item").distinct(), ["query_id", "item"], "left_semi")
+    place = F.row_number().over(W.partitionBy("query_id").orderBy("rank", "item"))
+    return bad.select("query_id", place.alias("place"), "item")
+
+
 def binding_inverted(ranked: DataFrame, truth: DataFrame) -> DataFrame:
     """(query_id, inverted): a trap stands no later than the last relevant item.  Items
     that weren't returned count as standing behind the list."""
@@ -65,7 +83,8 @@ def latency(rows: DataFrame, group: str, value: str) -> DataFrame:
 
 def problems(assets: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, problem) of a labelled set: repeated ids, unknown assets, items both
-    relevant and forbidden, queries that check nothing."""
+    relevant and forbidden, queries that check nothing; with a column ``gains`` (a map)
+    also grades of unknown assets."""
     named = assets.select(F.col("asset_id").alias("item")).distinct()
     one = lambda c, text: queries.select("query_id", F.explode_outer(c).alias("item")).where("item is not null").join(named, "item", "left_anti").select("query_id", F.concat(F.lit(text), F.col("item")).alias("problem"))
     out = [
@@ -75,12 +94,28 @@ def problems(assets: DataFrame, queries: DataFrame) -> DataFrame:
         queries.where(F.arrays_overlap("relevant", "forbidden")).select("query_id", F.lit("relevant and forbidden").alias("problem")),
         queries.where((F.size("relevant") <= 0) & (F.size("forbidden") <= 0)).select("query_id", F.lit("checks nothing").alias("problem")),
     ]
+    if "gains" in queries.columns:
+        graded = F.coalesce(F.map_keys("gains"), F.array().cast("array<string>"))
+        out.append(one(graded, "unknown graded asset "))
     all_ = out[0]
     for x in out[1:]:
         all_ = all_.unionByName(x)
     return all_
 
 
+def missing_files(assets: DataFrame, files: DataFrame) -> DataFrame:
+    """(asset_id, path) of the labelled assets whose file isn't among ``files`` (path)."""
+    return assets.select("asset_id", "path").join(files.select("path").distinct(), "path", "left_anti").select("asset_id", "path")
+
+
+def assets_with(assets: DataFrame, labels: dict[str, str]) -> DataFrame:
+    """The assets whose map ``labels`` holds all the given pairs."""
+    holds = F.lit(True)
+    for k, v in labels.items():
+        holds &= F.coalesce(F.try_element_at("labels", F.lit(k)) == v, F.lit(False))
+    return assets.where(holds)
+
+
 def spread(rows: DataFrame, group: str, probability: str, rank: str) -> DataFrame:
     """How far paraphrases of one query differ in probability and in rank."""
     return rows.groupBy(group).agg(

@@ -25,7 +25,7 @@ from ..sources.tables import Catalog
 from ..streaming import keyframes
 from .plugins import phrase_vector
 from .profiles import Profile, profile
-from .query import CATEGORIES, PERSON_ATTRIBUTES, phrases
+from .query import CATEGORIES, COLORS, HAIR, PERSON_ATTRIBUTES, phrases
 from .search import BACKGROUND, Searcher
 
 FRAME = "point_id string, frame_id string, asset_id string, media_type string, ts_ms long, shot_id string, path string, indexed_at long, source_damaged boolean, ocr_text string, vector array<double>"
@@ -42,6 +42,16 @@ def default_prototypes(embedder, names: Sequence[str] = CATEGORIES, attributes:
     return out
 
 
+#: Groups of which a region has one member at most, and the region types that may have one.
+GROUPS, GROUP_TYPES = {"color": COLORS, "hair": HAIR}, ("object", "person")
+
+
+def group_prototypes(embedder, group: str) -> list[facets.Prototype]:
+    """One prototype a member of a group, against the common background."""
+    ground = phrase_vector(embedder, BACKGROUND)
+    return [facets.Prototype(m, phrase_vector(embedder, phrases(f"attr_{group}", m)), ground, kind="attribute") for m in GROUPS[group]]
+
+
 @dataclass
 class Index:
     """An index below ``root``.
@@ -72,6 +82,9 @@ class Index:
         extra = []
         for p in self._all_prototypes():
             extra += [f"{p.key} boolean", f"{p.key}_score double"]
+        if base == REGION:
+            for g in self._groups():
+                extra += [f"attr_{g} string", f"attr_{g}_confidence double"]
         return ", ".join([base, *extra])
 
     def read(self, name: str) -> DataFrame:
@@ -135,6 +148,28 @@ class Index:
             report = one if report is None else report.unionByName(one)
         return report
 
+    def derive_group(self, group: str) -> DataFrame:
+        """``attr_<group>`` and its confidence for all regions, on demand; (value, regions).
+
+        Derived groups are remembered, and regions that are added later get theirs with the
+        other facets.  Any other region type than GROUP_TYPES has no value."""
+        if group not in GROUPS:
+            raise ValueError(f"no such group: {group}")
+        self.catalog.upsert("meta", self.spark.createDataFrame([(f"group:{group}", "derived")], tables.SCHEMAS["meta"]))
+        rows = self.read("regions")
+        self._write("regions", self._with_group(rows, group).select(*rows.columns))
+        return self.read("regions").groupBy(F.col(f"attr_{group}").alias("value")).agg(F.count("*").alias("regions"))
+
+    def _groups(self) -> list[str]:
+        told = {r["key"] for r in self.catalog.read("meta").where(F.col("key").startswith("group:")).select("key").collect()}
+        return [g for g in GROUPS if f"group:{g}" in told]
+
+    def _with_group(self, rows: DataFrame, group: str) -> DataFrame:
+        scale, bias = self.embedder.calibration
+        contrast = {p.name: facets.raw_score(p, F.col("vector"), scale, bias) for p in group_prototypes(self.embedder, group)}
+        allowed = F.coalesce(F.col("region_type").isin(*GROUP_TYPES), F.lit(False))
+        return facets.exclusive(rows.drop(f"attr_{group}", f"attr_{group}_confidence"), group, contrast, allowed)
+
     # --- ingest -------------------------------------------------------------------------
 
     def _decoded(self, files: DataFrame) -> DataFrame:
@@ -213,7 +248,10 @@ class Index:
             added = {"assets": n}
             for name, new in (("frames", frames), ("regions", regions)):
                 old = self.read(name)
-                fresh_rows = self._with_facets(new, corpus).select(*old.columns)
+                fresh_rows = self._with_facets(new, corpus)
+                for g in self._groups() if name == "regions" else ():
+                    fresh_rows = self._with_group(fresh_rows, g)
+                fresh_rows = fresh_rows.select(*old.columns)
                 self._write(name, tables.upsert(old, fresh_rows, ["point_id"]))
                 added[name] = new.count()
             asset = fresh.select("asset_id", "path", "media_type", F.col("length").alias("size_bytes"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"), F.lit(None).cast("long").alias("duration_ms"), F.lit(now).cast("long").alias("indexed_at"), F.lit(self.profile.name).alias("profile"))

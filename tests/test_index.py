@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenframe import cli
 from lumenframe.operators import facets
-from lumenframe.plans.index import Index, default_prototypes
+from lumenframe.plans.index import Index, default_prototypes, group_prototypes
 from lumenframe.plans.plugins import HashEmbedder
 from lumenframe.plans.profiles import profile
 from lumenframe.sources.registry import Registry
@@ -74,6 +74,31 @@ def test_other_settings_are_refused(index, spark):
         Index(spark, index.root, HashEmbedder(), profile("quality"), prototypes=[]).add(str(index.media))
 
 
+def test_colours_are_derived_on_demand(spark, tmp_path):
+    (tmp_path / "media").mkdir()
+    (tmp_path / "media/a.jpg").write_text("a red bag")
+    e = HashEmbedder()
+    i = Index(spark, str(tmp_path / "index"), e, profile("balanced"), Proposer(), Reader(), Decoder(), default_prototypes(e, ("person",), ()))
+    i.add(str(tmp_path / "media"))
+    assert "attr_color" not in i.read("regions").columns
+    assert sum(r["regions"] for r in i.derive_group("color").collect()) == i.read("regions").count()
+    tiles = i.read("regions").where("region_type = 'tile'")
+    assert tiles.count() and tiles.where("attr_color is not null").isEmpty()
+    (tmp_path / "media/b.jpg").write_text("a blue bag")
+    i.add(str(tmp_path / "media"))
+    rows = i.read("regions").where("region_type = 'object'").collect()
+    scale, bias = e.calibration
+    for r in rows:  # new regions have the group as well, by the same rule
+        v = F.array(*map(F.lit, r["vector"]))
+        told = spark.range(1).select(*[facets.raw_score(p, v, scale, bias).alias(p.name) for p in group_prototypes(e, "color")]).first().asDict()
+        first, second = sorted(told, key=told.get, reverse=True)[:2]
+        won = told[first] > 0 and told[first] - told[second] >= facets.EXCLUSIVE_MARGIN
+        assert r["attr_color"] == (first if won else None)
+    assert len(rows) == 2 and "attr_color" in i.searcher().known_facets()
+    with pytest.raises(ValueError):
+        i.derive_group("size")
+
+
 def test_threshold_is_remembered(index):
     p = facets.Prototype("vehicle", *(tuple(x) for x in ([1.0] + [0.0] * 63, [0.0] * 64)))
     rows = index.read("regions")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -277,6 +278,31 @@ def test_metrics_by_hand(spark):
     assert inverted["q"] is True
     with pytest.raises(ValueError):
         metrics.evaluate(ranked, truth, 0)
+    got = metrics.summary(metrics.evaluate(ranked, truth, 2)).first()
+    assert (got.queries, got.map, got.mrr, got.clean_rate) == (2, 0.625, 0.25, 0.5)
+    none = metrics.summary(metrics.evaluate(ranked, truth, 2).where("false")).first()
+    assert (none.queries, none.map, none.mrr, none.clean_rate) == (0, 0.0, 0.0, 1.0)
+    assert [tuple(r) for r in metrics.forbidden_items(ranked, truth, 2).collect()] == [("q", 1, "a")]
+    with pytest.raises(ValueError):
+        metrics.forbidden_items(ranked, truth, 0)
+
+
+def test_ideal_gains_need_no_sort_of_the_truth(spark):
+    truth = spark.createDataFrame([("q", i, float(i % 7), False) for i in range(200)], "query_id string, item long, gain double, forbidden boolean")
+    ranked = truth.select("query_id", "item", (F.col("item") + 1).cast("int").alias("rank")).where("rank <= 20")
+    out = metrics.evaluate(ranked, truth, 5)
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+    dcg = lambda gains: sum(g / math.log2(i + 2) for i, g in enumerate(gains))
+    assert out.first().ndcg == pytest.approx(dcg([0, 1, 2, 3, 4]) / dcg([6] * 5), abs=1e-6)
+
+
+def test_labelled_set_helpers(spark):
+    assets = spark.createDataFrame([("a", "p/a", {"k": "1"}), ("b", "p/b", None), ("c", None, {"k": "2"})], "asset_id string, path string, labels map<string,string>")
+    files = spark.createDataFrame([("p/a",), ("p/a",)], "path string")
+    assert sorted(r.asset_id for r in metrics.missing_files(assets, files).collect()) == ["b", "c"]
+    assert [r.asset_id for r in metrics.assets_with(assets, {"k": "1"}).collect()] == ["a"] and metrics.assets_with(assets, {}).count() == 3
+    queries = spark.createDataFrame([("q", ["a"], [], {"a": 1.0, "x": 2.0}), ("r", ["a"], [], None)], "query_id string, relevant array<string>, forbidden array<string>, gains map<string,double>")
+    assert [tuple(r) for r in metrics.problems(assets, queries).collect()] == [("q", "unknown graded asset x")]
 
 
 def test_ranks_by_buckets_are_the_window(spark):
