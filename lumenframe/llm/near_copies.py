@@ -9,9 +9,14 @@ index has further keys for what lies beyond: each set has 32 bands of four minim
 of different parts that share a band are compared too (two sets of similarity 0.8 share none
 with a chance of 5e-8).
 
-A first pass over the bands compares each set with the smallest one of its band, the second
-compares only sets of parts that are still apart, so a group of n near copies costs about n
-comparisons.  Everything works on *distinct* shingle sets, so exact copies are one node.
+A first pass over the bands compares each set with the smallest one of its band, so a group of
+n near copies costs about n comparisons.  Sets whose bands still hold several parts follow in
+blocks, without a row a pair.  First go the sets with more than a fifth of shingles that no
+open set of another part holds: they can't have a link left.  The others are clustered by
+their bands, and a cluster is dealt into at most ``BLOCKS`` blocks; each two blocks are
+compared at once, all sets with all, by a matrix product over the shingles that both hold.  So
+rows grow with the number of sets; the products still take time with the square of a cluster.
+Everything works on *distinct* shingle sets, so exact copies are one node.
 
 Rows
     null text or a text without words: the empty set, a group of its own.
@@ -28,7 +33,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, discard, in_arrow, materialise, numbered_rows, one_of_each_part
@@ -38,6 +43,10 @@ SIMILARITY, SHINGLE = 0.8, 5
 BANDS, MINIMA = 32, 4
 #: So many partners of one text are compared in one task.
 PARTNERS = 500
+#: A cluster's blocks at most, and the sets from which it has a further one.
+BLOCKS, BLOCK_ROWS = 32, 64
+#: Sets of one product's left side, and values of a matrix.
+STRIP, MOST_VALUES = 1024, 1 << 23
 
 
 @lru_cache(1)
@@ -94,6 +103,84 @@ def _similar(pairs: DataFrame, texts: DataFrame, least: float, shingle: int) ->
     return in_arrow(rows, run, "a long, b long")
 
 
+def _spanning(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """The places of pairs (a, b) that connect the same parts as all do: a forest."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    out = []
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        if (x := root(x)) != (y := root(y)):
+            up[max(x, y)] = min(x, y)
+            out.append(i)
+    return out
+
+
+def block_links(fp: np.ndarray, part: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, n: np.ndarray, flat: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) between the sets at the places ``left`` and ``right`` that connect the same
+    parts as all pairs of at least that similarity do.  Set i has ``size[i]`` shingles, and of
+    those the next ``n[i]`` in ``flat`` may be in sets of other parts."""
+    row = np.repeat(np.arange(len(n)), n)
+    _, column = np.unique(flat, return_inverse=True)
+    width = int(column.max(initial=-1)) + 1
+    at = np.full(len(n), -1)
+    sides = []
+    for side in (left, right):
+        at[:] = -1
+        at[side] = np.arange(len(side))
+        mine = at[row] >= 0
+        sides.append((at[row[mine]], column[mine]))
+    both = np.ones(width, bool)
+    for _, c in sides:
+        both &= np.bincount(c, minlength=width) > 0
+    place = np.cumsum(both) - 1
+    sides = [(r[both[c]], place[c[both[c]]]) for r, c in sides]
+    width, step = int(both.sum()), max(64, MOST_VALUES // max(STRIP, len(right)))
+    found = []
+    for top in range(0, len(left), STRIP):
+        rows = left[top : top + STRIP]
+        common = np.zeros((len(rows), len(right)), np.float32)
+        for low in range(0, width, step):
+            x, y = (np.zeros((k, min(step, width - low)), np.float32) for k in (len(rows), len(right)))
+            for m, (r, c), start in ((x, sides[0], top), (y, sides[1], 0)):
+                here = (r >= start) & (r < start + len(m)) & (c >= low) & (c < low + step)
+                m[r[here] - start, c[here] - low] = 1
+            common += x @ y.T
+        union = np.maximum(1, size[rows][:, None] + size[right][None, :] - common.astype(np.float64))
+        i, j = np.nonzero((common / union >= least) & (part[rows][:, None] != part[right][None, :]))
+        kept = _spanning(part[rows[i]], part[right[j]])
+        found.append((rows[i[kept]], right[j[kept]]))
+    i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    kept = _spanning(part[i], part[j])
+    return fp[i[kept]], fp[j[kept]]
+
+
+def _links_in_clusters(sets: DataFrame, clusters: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) of parts within each cluster.  ``sets``: (fp, part, size, tokens), the
+    tokens as bytes; ``clusters``: (node, part) of their fingerprints."""
+    of = clusters.select(F.col("node").alias("fp"), F.col("part").alias("cluster"))
+    large = of.groupBy("cluster").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK_ROWS)
+    blocks = F.coalesce(F.least(F.lit(BLOCKS), F.ceil(F.col("m") / BLOCK_ROWS)), F.lit(1)).cast("int")
+    dealt = of.join(F.broadcast(large), "cluster", "left").select("fp", "cluster", blocks.alias("blocks"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    rows = sets.join(dealt, "fp").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "fp", "part", "size", "tokens")
+
+    def run(t: pa.Table) -> pa.Table:
+        block, fp, part, size = (t.column(c).to_numpy() for c in ("block", "fp", "part", "size"))
+        tokens = t.column("tokens").to_pylist()
+        n, flat = np.array([len(x) // 8 for x in tokens]), np.frombuffer(b"".join(tokens), np.int64)
+        left, right = (np.flatnonzero(block == t.column(c)[0].as_py()) for c in ("low", "high"))
+        a, b = block_links(fp, part, size, left, right, n, flat, least)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("cluster", "low", "high").applyInArrow(run, "a long, b long")
+
+
 def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, shingle: int = SHINGLE, max_distance: int = 4) -> DataFrame:
     """One row of each group of near copies: that of the group's smallest id.  Groups are
     connected over pairs of at least the similarity ``least`` (0.8 or more)."""
@@ -123,6 +210,36 @@ def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         discard(texts)
         return out
 
+    def open_links(held: DataFrame) -> DataFrame:
+        asked = held.select("fp", "part").distinct().join(firsts, "fp").select("n", "part")
+        texts = rows.join(asked, "n").select("fp", "part", F.col("row")[text_col].cast("string").alias("text"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in b.column(2).to_pylist()]
+                cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*b.columns[:2], *cols], ["fp", "part", "size", "tokens"])
+
+        sets = materialise(in_arrow(texts, run, "fp long, part long, size long, tokens array<long>"), "open_sets")
+        of_token = Window.partitionBy("token")
+        told = sets.select("fp", "part", "size", F.explode("tokens").alias("token"))
+        told = told.select("*", F.min("part").over(of_token).alias("low"), F.max("part").over(of_token).alias("high")).where("low <> high")
+        told = told.groupBy("fp", "part", "size").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") / F.col("size") >= least)
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                packed = pa.array([x.values.to_numpy().tobytes() for x in b.column(3)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], packed], ["fp", "part", "size", "tokens"])
+
+        left = materialise(in_arrow(told, pack, "fp long, part long, size long, tokens binary"), "linkable_sets")
+        discard(sets)
+        keyed = held.select("key", "fp", "part").join(left.select("fp"), "fp", "left_semi")
+        heads = keyed.groupBy("key").agg(F.min("fp").alias("a"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key", "a")
+        met = keyed.join(heads, "key").where("a <> fp").select("a", F.col("fp").alias("b"))
+        out = materialise(_links_in_clusters(left, connected_components(spark, met), least), "other_links")
+        discard(left)
+        return out
+
     def with_part(sets: DataFrame, parts: DataFrame) -> DataFrame:
         return sets.join(parts, F.col("fp") == F.col("node"), "left").drop("node").withColumn("part", F.coalesce("part", "fp"))
 
@@ -145,16 +262,12 @@ def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     apart = with_part(shared, parts).join(heads, "a", "left").where(F.col("part") != F.coalesce("part_a", "a"))
     links = links.unionByName(similar(apart.select("a", F.col("fp").alias("b")).distinct(), "star"))
 
-    # bands whose sets are still in several parts: the pairs of different parts
+    # bands whose sets are still in several parts: blocks of what can have a link to another
     held = with_part(shared.select("key", "fp"), connected_components(spark, links))
     apart = held.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("z")).where("a <> z").select("key")
     held = materialise(held.join(apart, "key", "left_semi"), "open_bands")
-    here = held.select("key", "part").distinct()
-    two = here.select("key", F.col("part").alias("p")).join(here.select("key", F.col("part").alias("q")), "key").where("p < q")
-    one = held.select("key", F.col("part").alias("p"), F.col("fp").alias("x"))
-    other = held.select("key", F.col("part").alias("q"), F.col("fp").alias("y"))
-    pairs = two.join(one, ["key", "p"]).join(other, ["key", "q"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = links.unionByName(similar(pairs, "other"))
+    if not held.isEmpty():
+        links = links.unionByName(open_links(held))
     discard(shared)
     discard(held)
     discard(firsts)

@@ -70,3 +70,44 @@ def test_bands_find_similar_sets():
     for _ in range(300):
         h = r.integers(0, 1 << 63, 225, np.uint64)
         assert set(near_copies.bands(h[:200])) & set(near_copies.bands(h[25:]))  # 175 of 225
+
+
+def test_rows_grow_with_texts_that_share_a_passage(make_docs, monkeypatch):
+    """No table has a row a pair, and what lies about the border is still found."""
+    r = random.Random(8)
+    passage, base = prose(r, 60), prose(r, 120).split()
+    rows = [(i, passage + " " + prose(r, r.randrange(30, 60))) for i in range(400)]
+    for k in range(120):
+        w = list(base)
+        for _ in range(k % 10):
+            w[r.randrange(120)] = f"changed{r.randrange(999)}"
+        rows.append((1000 + k, " ".join(w)))
+    written = {}
+
+    def counted(df, name, write=near_copies.materialise):
+        out = write(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near_copies, "materialise", counted)
+    out = simhash.keep_one(make_docs(rows), shingle=5, similarity=0.8)
+    assert sorted(x.doc_id for x in out.collect()) == plain_kept(rows)
+    assert max(written.values()) <= near_copies.BANDS * len(rows), written
+    assert 0 < written["linkable_sets"] < written["open_sets"]
+
+
+def test_block_links_against_all_pairs(monkeypatch):
+    monkeypatch.setattr(near_copies, "STRIP", 7)
+    monkeypatch.setattr(near_copies, "MOST_VALUES", 1)  # 64 columns at once
+    r = np.random.default_rng(5)
+    base = r.integers(-(1 << 62), 1 << 62, 200)
+    sets = [np.unique(np.concatenate([r.choice(base, 170, replace=False)[: 170 - k], r.integers(0, 1 << 62, k)])) for k in r.integers(0, 30, 60)]
+    fp, part = np.arange(60), np.arange(60) // 2
+    size = n = np.array([len(x) for x in sets])
+    two = [(np.arange(60), np.arange(60)), (np.arange(0, 60, 3), np.arange(1, 60, 3)), (np.zeros(0, np.int64), np.arange(4))]
+    for left, right in two:
+        want = [(i, j) for i in left for j in right if part[i] != part[j] and near_copies.similarity(sets[i], sets[j]) >= 0.68]
+        a, b = near_copies.block_links(fp, part, size, left, right, n, np.concatenate(sets), 0.68)
+        assert {(min(x), max(x)) for x in zip(a.tolist(), b.tolist(), strict=True)} <= {(min(x), max(x)) for x in want}
+        assert len(a) == len(near_copies._spanning(*(part[[w[k] for w in want]] if want else part[:0] for k in (0, 1))))
+        assert len(want) > len(a) > 0 or not len(left)
